@@ -1,0 +1,5 @@
+"""Intentionally empty: every report in scope is a batch job over landed tables.
+
+Freshness is expressed as cut-off dates passed to the operators, so there is no
+watermark, time window or stateful operator to build here.
+"""
