@@ -20,14 +20,13 @@ BAND_BITS = 16
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str, unit: int = 1) -> DataFrame:
     """Keys plus ``name``: the interpolated median of ``value``, nulls ignored.
 
-    ``value`` must be exact in steps of ``1/unit`` (``unit=100`` for money with cents).
+    ``value`` must be an integer; the median is divided by ``unit`` (100 for cents).
     Groups without any value are absent from the result.
     """
     keys = list(keys)
-    exact = (F.col(value) * unit).cast("bigint")
     counts = (
         df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, exact.alias("_v"))
+        .groupBy(*keys, F.coalesce(F.col(value).cast("bigint"), F.lit(0)).alias("_v"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_band", F.shiftright("_v", BAND_BITS))
     )

@@ -31,6 +31,11 @@ def pct_or_zero(numerator: Column | str, denominator: Column | str) -> Column:
     return F.lit(100.0) * ratio_or_zero(numerator, denominator)
 
 
+def currency(cents: Column | str) -> Column:
+    """Double currency units from whole cents."""
+    return as_column(cents).cast("double") / F.lit(100.0)
+
+
 def sum_if(condition: Column, value: Column | str) -> Column:
     """Sum of ``value`` over rows where the condition holds; zero when none does."""
     v = as_column(value)

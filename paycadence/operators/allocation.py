@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import BILLING_CYCLE, BillingCalendar, month_diff
-from ..functions.ratios import pct, ratio, sum_if
+from ..functions.ratios import currency, pct, ratio, sum_if
 from ..sources.canonical import CARD_OR_ACH, PAYMENT_ENTRY
 from .lifecycle import between, lifecycle
 
@@ -31,7 +31,7 @@ def settled_charges(
     accounts or unknown accounts if ``accounts`` is given. ``due_month`` is null when
     the due date is not a date. ``round_charges`` rounds each charge to whole units.
     """
-    amount = F.col("_c.amount")
+    cents = F.col("_c.cents")
     lines = (
         entries.filter(
             (F.col("type") == PAYMENT_ENTRY)
@@ -42,7 +42,7 @@ def settled_charges(
         .select(
             "entry_id",
             F.col("_c.linked").alias("linked"),
-            (amount.cast("decimal(18,0)") if round_charges else amount).alias("amount"),
+            (F.round(cents, -2) if round_charges else cents).alias("cents"),
         )
     )
     charge = entries.filter(~F.col("deleted")).select(
@@ -53,7 +53,7 @@ def settled_charges(
     if accounts is not None:
         live = accounts.filter(~F.col("is_test")).select("account")
         charge = charge.join(live, "account")
-    return lines.join(charge, "linked").groupBy("entry_id", "due_month").agg(F.sum("amount").alias("charged"))
+    return lines.join(charge, "linked").groupBy("entry_id", "due_month").agg(F.sum("cents").alias("charged"))
 
 
 def _shares(offset: Column, amount: Column, buckets) -> list[Column]:
@@ -95,7 +95,7 @@ def _by_entry(payments: DataFrame, cal: BillingCalendar, *keys: str) -> DataFram
     return (
         payments.filter(F.col("method").isin(*CARD_OR_ACH))
         .groupBy(*keys, "je_id", cal.period("created").alias("period"))
-        .agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+        .agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
     )
 
 
@@ -116,7 +116,7 @@ def allocate(
     rows = paid.join(shares, paid["je_id"] == shares["entry_id"]).select(
         "period",
         month_diff("period", "due_month").alias("offset"),
-        (F.col("amount").cast("double") * F.col("share")).alias("part"),
+        (currency("cents") * F.col("share")).alias("part"),
     )
     return rows.groupBy("period").agg(
         F.sum("part").alias("allocated"), *_shares(F.col("offset"), F.col("part"), PAID_FOR)
@@ -157,6 +157,6 @@ def reactivated_charges(
     )
     buckets = BEFORE_GAP_FOR if before_gap else REACTIVATED_FOR
     return rows.groupBy(F.col("returned").alias("period")).agg(
-        F.sum("part").cast("double").alias("charged"),
+        currency(F.sum("part")).alias("charged"),
         *_shares(F.col("offset"), F.col("part"), buckets),
     )

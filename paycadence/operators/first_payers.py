@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import BILLING_CYCLE, CALENDAR_MONTH, BillingCalendar, month_diff
 from ..functions.labels import UNKNOWN, newness_label
 from ..functions.quantiles import grouped_median
-from ..functions.ratios import flag, pct, ratio, sum_if
+from ..functions.ratios import currency, flag, pct, ratio, sum_if
 from ..sources.canonical import ACH, CARD
 from .lifecycle import between, first_period, period_activity
 
@@ -73,9 +73,9 @@ def amount_stats(firsts: DataFrame, first: date, last: date) -> DataFrame:
     kept = firsts.filter(between("period", first, last))
     totals = kept.groupBy("period").agg(
         F.count("*").alias("payers"),
-        ratio(F.sum("amount"), F.count("amount")).alias("mean_amount"),
+        currency(ratio(F.sum("cents"), F.count("cents"))).alias("mean_amount"),
     )
-    median = grouped_median(kept, ["period"], "amount", "median_amount", unit=100)
+    median = grouped_median(kept, ["period"], "cents", "median_amount", unit=100)
     return totals.join(median, "period", "left")
 
 
@@ -149,17 +149,17 @@ def method_measures(method: str = CARD) -> list[Column]:
 def amount_measures() -> list[Column]:
     """Payers and dollars by method with their shares of the group."""
     card, ach = F.col("method") == CARD, F.col("method") == ACH
-    total = F.sum("amount")
+    total = F.sum("cents")
     return [
         F.count_if(card).alias("card_payers"),
         ratio(F.count_if(card), F.count("*")).alias("card_share"),
         F.count_if(ach).alias("ach_payers"),
         ratio(F.count_if(ach), F.count("*")).alias("ach_share"),
-        sum_if(card, "amount").cast("double").alias("card_amount"),
-        ratio(sum_if(card, "amount"), total).alias("card_amount_share"),
-        sum_if(ach, "amount").cast("double").alias("ach_amount"),
-        ratio(sum_if(ach, "amount"), total).alias("ach_amount_share"),
-        total.cast("double").alias("total_amount"),
+        currency(sum_if(card, "cents")).alias("card_amount"),
+        ratio(sum_if(card, "cents"), total).alias("card_amount_share"),
+        currency(sum_if(ach, "cents")).alias("ach_amount"),
+        ratio(sum_if(ach, "cents"), total).alias("ach_amount_share"),
+        currency(total).alias("total_amount"),
     ]
 
 
@@ -245,15 +245,15 @@ def population_mix(
     The payer share is card / (card + ach), as published.
     """
     card, ach = F.col("method") == CARD, F.col("method") == ACH
-    pick = F.min(F.struct("created", "method", "amount")).alias("_f")
+    pick = F.min(F.struct("created", "method", "cents")).alias("_f")
     activity = period_activity(
         payments.filter(card | ach),
         "customer_id",
         [
             flag(card).alias("card"),
             flag(ach).alias("ach"),
-            sum_if(card, "amount").alias("card_amount"),
-            sum_if(ach, "amount").alias("ach_amount"),
+            sum_if(card, "cents").alias("card_cents"),
+            sum_if(ach, "cents").alias("ach_cents"),
             pick,
         ],
         cal,
@@ -270,10 +270,10 @@ def population_mix(
         F.when(F.col("is_first"), "first_time").otherwise("returning").alias("population"),
         choose(F.when(first_card, one).otherwise(zero), "card").alias("card"),
         choose(F.when(first_card, zero).otherwise(one), "ach").alias("ach"),
-        choose(F.when(first_card, F.col("_f.amount")).otherwise(zero), "card_amount").alias("card_amount"),
-        choose(F.when(first_card, zero).otherwise(F.col("_f.amount")), "ach_amount").alias("ach_amount"),
+        choose(F.when(first_card, F.col("_f.cents")).otherwise(zero), "card_cents").alias("card_cents"),
+        choose(F.when(first_card, zero).otherwise(F.col("_f.cents")), "ach_cents").alias("ach_cents"),
     )
-    total = F.sum("card_amount") + F.sum("ach_amount")
+    total = F.sum("card_cents") + F.sum("ach_cents")
     return (
         rows.filter(between("period", first, last))
         .groupBy("period", "population")
@@ -281,10 +281,10 @@ def population_mix(
             F.count("*").alias("payers"),
             F.sum("card").alias("card_payers"),
             F.sum("ach").alias("ach_payers"),
-            F.sum("card_amount").cast("double").alias("card_amount"),
-            F.sum("ach_amount").cast("double").alias("ach_amount"),
-            total.cast("double").alias("total_amount"),
-            ratio(F.sum("card_amount"), total).alias("card_share"),
+            currency(F.sum("card_cents")).alias("card_amount"),
+            currency(F.sum("ach_cents")).alias("ach_amount"),
+            currency(total).alias("total_amount"),
+            ratio(F.sum("card_cents"), total).alias("card_share"),
             ratio(F.sum("card"), F.sum("card") + F.sum("ach")).alias("card_payer_share"),
         )
     )

@@ -25,10 +25,16 @@ def period_activity(
     measures: Sequence[Column] = (),
     cal: BillingCalendar = BILLING_CYCLE,
     day: str = "created",
+    keep: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per key and period, with the given aggregates."""
+    """One row per key and period, with the given aggregates.
+
+    ``keep`` restricts the keys to those of another frame. It is applied after the
+    reduction: joined before, the rows of a very frequent key would meet in one task.
+    """
     grouped = payments.filter(F.col(key).isNotNull()).groupBy(key, cal.period(day).alias("period"))
-    return grouped.agg(*measures) if measures else grouped.agg(F.lit(1).alias("_")).drop("_")
+    rows = grouped.agg(*measures) if measures else grouped.agg(F.lit(1).alias("_")).drop("_")
+    return rows if keep is None else rows.join(keep, key, "left_semi")
 
 
 def lifecycle(activity: DataFrame, key: str) -> DataFrame:
@@ -74,9 +80,16 @@ def landings(payments: DataFrame, key: str, first: date, last: date, cal: Billin
     )
 
 
-def churn_series(payments: DataFrame, key: str, first: date, last: date, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
+def churn_series(
+    payments: DataFrame,
+    key: str,
+    first: date,
+    last: date,
+    keep: DataFrame | None = None,
+    cal: BillingCalendar = BILLING_CYCLE,
+) -> DataFrame:
     """Keys active in a period but not in the next one, labelled with the next one."""
-    life = lifecycle(period_activity(payments, key, cal=cal), key)
+    life = lifecycle(period_activity(payments, key, cal=cal, keep=keep), key)
     return (
         life.filter(~F.col("returns_next"))
         .select(next_period("period").alias("churn_period"))
@@ -102,8 +115,8 @@ def churn_mix(
         payments,
         key,
         [
-            F.sum("amount").alias("amount"),
-            sum_if(F.col("method") == card, "amount").alias("card_amount"),
+            F.sum("cents").alias("cents"),
+            sum_if(F.col("method") == card, "cents").alias("card_cents"),
         ],
         cal,
     )
@@ -118,7 +131,7 @@ def churn_mix(
         .groupBy("label")
         .agg(
             F.count("*").alias("payers"),
-            pct(F.sum("card_amount"), F.sum("amount")).alias("card_share_pct"),
+            pct(F.sum("card_cents"), F.sum("cents")).alias("card_share_pct"),
         )
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import BILLING_CYCLE, BillingCalendar
-from ..functions.ratios import flag, pct, sum_if
+from ..functions.ratios import currency, flag, pct, sum_if
 from ..sources.canonical import CARD
 from .lifecycle import between, first_period, period_activity
 
@@ -27,8 +27,8 @@ def mix_decomposition(
         payments,
         key,
         [
-            F.sum("amount").alias("amount"),
-            sum_if(F.col("method") == method, "amount").alias("card"),
+            F.sum("cents").alias("cents"),
+            sum_if(F.col("method") == method, "cents").alias("card"),
         ],
         cal,
     )
@@ -38,10 +38,10 @@ def mix_decomposition(
         .filter(between("period", first, last))
         .groupBy("period")
         .agg(
-            pct(F.sum("card"), F.sum("amount")).alias("overall_share"),
-            pct(sum_if(new, "card"), sum_if(new, "amount")).alias("first_share"),
-            pct(sum_if(~new, "card"), sum_if(~new, "amount")).alias("returning_share"),
-            pct(sum_if(new, "amount"), F.sum("amount")).alias("first_pct_of_volume"),
+            pct(F.sum("card"), F.sum("cents")).alias("overall_share"),
+            pct(sum_if(new, "card"), sum_if(new, "cents")).alias("first_share"),
+            pct(sum_if(~new, "card"), sum_if(~new, "cents")).alias("returning_share"),
+            pct(sum_if(new, "cents"), F.sum("cents")).alias("first_pct_of_volume"),
         )
     )
 
@@ -52,31 +52,36 @@ def volume_and_fee(payments: DataFrame, period: date, cal: BillingCalendar = BIL
         payments.filter(cal.within("created", period, period))
         .groupBy("method")
         .agg(
-            F.sum("amount").cast("double").alias("volume"),
+            currency(F.sum("cents")).alias("volume"),
             F.sum("fee").cast("double").alias("fees"),
-            pct(F.sum("fee"), F.sum("amount")).alias("fee_pct"),
+            pct(F.sum("fee"), currency(F.sum("cents"))).alias("fee_pct"),
             F.count("*").alias("payments"),
         )
     )
 
 
-def totals_with_rollup(payments: DataFrame, period: date, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
+def totals_with_rollup(
+    payments: DataFrame, period: date, leases: DataFrame | None = None, cal: BillingCalendar = BILLING_CYCLE
+) -> DataFrame:
     """Payments, volume and distinct leases by method and in total, one period.
 
     The total row is recognised by ``grouping``, so a null method keeps its own row.
-    Rows are reduced per lease and method before the rollup doubles them.
+    Rows are reduced per lease and method before they are restricted to ``leases`` and
+    before the rollup doubles them.
     """
     per_lease = (
         payments.filter(cal.within("created", period, period))
         .groupBy(F.lower("method").alias("method"), "lease_id")
-        .agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+        .agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
     )
+    if leases is not None:
+        per_lease = per_lease.join(leases.select("lease_id"), "lease_id", "left_semi")
     return (
         per_lease.rollup("method")
         .agg(
             F.grouping("method").alias("_total"),
             F.sum("n").alias("payments"),
-            F.sum("amount").cast("double").alias("volume"),
+            currency(F.sum("cents")).alias("volume"),
             F.count_distinct("lease_id").alias("leases"),
         )
         .select(
@@ -110,8 +115,8 @@ def first_period_detail(
         .join(dimension, "account", "left")
         .groupBy("customer_id", cal.period("created").alias("period"), "name")
         .agg(
-            F.sum("amount").alias("amount"),
-            sum_if(is_card, "amount").alias("card_amount"),
+            F.sum("cents").alias("cents"),
+            sum_if(is_card, "cents").alias("card_cents"),
             flag(is_card).alias("used_card"),
         )
     )
@@ -126,18 +131,18 @@ def leave_one_out(detail: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
     """
     payers = detail.groupBy("period", "customer_id").agg(
         F.max("name").alias("name"),
-        F.sum("amount").alias("amount"),
-        F.sum("card_amount").alias("card_amount"),
+        F.sum("cents").alias("cents"),
+        F.sum("card_cents").alias("card_cents"),
         F.max("used_card").alias("used_card"),
     )
     outside = {
         label: ~F.coalesce(F.col("name"), F.lit("")).ilike(pattern) for label, pattern in patterns.items()
     }
     adoption: list[Column] = [pct(F.sum("used_card"), F.count("*")).alias("adoption_all")]
-    dollars: list[Column] = [pct(F.sum("card_amount"), F.sum("amount")).alias("share_all")]
+    dollars: list[Column] = [pct(F.sum("card_cents"), F.sum("cents")).alias("share_all")]
     for label, kept in outside.items():
         adoption.append(pct(sum_if(kept, "used_card"), F.count_if(kept)).alias(f"adoption_without_{label}"))
-        dollars.append(pct(sum_if(kept, "card_amount"), sum_if(kept, "amount")).alias(f"share_without_{label}"))
+        dollars.append(pct(sum_if(kept, "card_cents"), sum_if(kept, "cents")).alias(f"share_without_{label}"))
     return payers.groupBy("period").agg(F.count("*").alias("payers"), *adoption, *dollars)
 
 
@@ -148,8 +153,8 @@ def heavy_hitters(detail: DataFrame, min_size: int = 80, unmapped: str = "(unmap
         detail.groupBy("period", F.coalesce("name", F.lit(unmapped)).alias("name"))
         .agg(
             F.count("*").alias("payers"),
-            F.sum("amount").cast("double").alias("volume"),
-            pct(F.sum("card_amount"), F.sum("amount")).alias("card_share"),
+            currency(F.sum("cents")).alias("volume"),
+            pct(F.sum("card_cents"), F.sum("cents")).alias("card_share"),
         )
         .filter(F.col("payers") >= min_size)
     )
@@ -163,11 +168,11 @@ def account_timeline(detail: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return (
         detail.filter(match)
         .groupBy("period", "customer_id")
-        .agg(F.sum("amount").alias("amount"), F.sum("card_amount").alias("card_amount"))
+        .agg(F.sum("cents").alias("cents"), F.sum("card_cents").alias("card_cents"))
         .groupBy("period")
         .agg(
             F.count("*").alias("payers"),
-            F.sum("amount").cast("double").alias("volume"),
-            pct(F.sum("card_amount"), F.sum("amount")).alias("card_share"),
+            currency(F.sum("cents")).alias("volume"),
+            pct(F.sum("card_cents"), F.sum("cents")).alias("card_share"),
         )
     )

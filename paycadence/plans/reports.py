@@ -218,7 +218,7 @@ def adoption_trend(t):
 
 @entry_point("c20_first_payment_size")
 def first_payment_size(t):
-    firsts = first_payers.first_payments(t.payments(since=LOOKBACK), ["created", "amount"], ["amount"])
+    firsts = first_payers.first_payments(t.payments(since=LOOKBACK), ["created", "cents"], ["cents"])
     return first_payers.amount_stats(firsts, FIRST, LAST)
 
 
@@ -283,8 +283,8 @@ def churn_mix(t):
 @entry_point("c27_churn_series")
 def churn_series(t):
     first, last = date(1996, 2, 1), date(1997, 12, 1)
-    payments = t.payments(**_cycle_days(first, last), frequencies=FREQUENCIES)
-    return lifecycle.churn_series(payments, "lease_id", date(1996, 4, 1), last)
+    payments = t.payments(**_cycle_days(first, last), customers=False)
+    return lifecycle.churn_series(payments, "lease_id", date(1996, 4, 1), last, keep=t.recurring_leases())
 
 
 @entry_point("c28_day_distribution")
@@ -377,7 +377,8 @@ def reactivation_series(t):
 
 @entry_point("c39_totals_with_rollup")
 def totals_with_rollup(t):
-    return mix.totals_with_rollup(t.payments(**_cycle_days(MAY, MAY), frequencies=FREQUENCIES), MAY)
+    payments = t.payments(**_cycle_days(MAY, MAY), customers=False)
+    return mix.totals_with_rollup(payments, MAY, t.recurring_leases())
 
 
 # Published results ---------------------------------------------------------------
@@ -392,7 +393,7 @@ def population_mix(t):
 
 def _month_firsts(t: StarTables) -> DataFrame:
     return first_payers.first_payments(
-        t.payments(), ["created", "account", "method"], ["account", "method", "amount"], cal=CALENDAR_MONTH
+        t.payments(), ["created", "account", "method"], ["account", "method", "cents"], cal=CALENDAR_MONTH
     )
 
 

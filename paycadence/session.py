@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Building a plan takes a call per column expression; do not record a stack trace for each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

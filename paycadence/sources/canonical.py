@@ -3,8 +3,8 @@
 ========  ==============================================================
 frame     columns
 ========  ==============================================================
-payments  customer_id, lease_id, je_id, account, method, amount
-          decimal(18,2), fee decimal(18,4), created date
+payments  customer_id, lease_id, je_id, account, method, cents bigint,
+          fee decimal(18,4), created date
 returns   created date, fee decimal(18,4)
 leases    lease_id, frequency, deleted boolean,
           tenants array<struct<tenant>>
@@ -12,12 +12,14 @@ daily     lease_id, snapshot_date date, status, account, frequency,
           merchant_flag int, account_first_invoice date
 tenants   tenant_id, portal struct<accepted_at, last_sent_at>
 entries   entry_id, account, type, deleted boolean, due string,
-          charges array<struct<linked, amount decimal(18,2)>>
+          charges array<struct<linked, cents bigint>>
 accounts  account, name, segment, is_test boolean
 events    event, ts, sent_to_id, account, env, is_test boolean, source,
           sent_to_type
 ========  ==============================================================
 
+Amounts are whole cents in a bigint: sums stay exact and need no decimal
+arithmetic per row. Reports turn them into double currency units at the end.
 Key columns may have any type as long as both sides of a join agree; cast them
 once in the adapter, never in an operator.
 """

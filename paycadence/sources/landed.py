@@ -32,6 +32,12 @@ def typed(df: DataFrame, column: str, schema: str) -> Column:
     return F.col(column)
 
 
+def in_cents(amount: Column | str) -> Column:
+    """Whole cents of an amount with at most two decimals."""
+    c = F.col(amount) if isinstance(amount, str) else amount
+    return (c.cast("decimal(18,2)") * 100).cast("bigint")
+
+
 def payments(raw: DataFrame, entries: DataFrame | None = None, since: date | None = None) -> DataFrame:
     """Positive payments; with ``entries`` (canonical) the account of the ledger entry is added.
 
@@ -45,7 +51,7 @@ def payments(raw: DataFrame, entries: DataFrame | None = None, since: date | Non
         F.col("lease_id").cast("string"),
         F.col("je_id").cast("string"),
         F.lower("type").alias("method"),
-        F.col("amounttotransfer").cast("decimal(18,2)").alias("amount"),
+        in_cents("amounttotransfer").alias("cents"),
         F.col("fee").cast("decimal(18,4)"),
         F.col("created").cast("date"),
     )
@@ -110,7 +116,7 @@ def entries(raw: DataFrame) -> DataFrame:
             "_p.linkedCharges",
             lambda c: F.struct(
                 c["linkedTransaction"].cast("string").alias("linked"),
-                c["amount"].cast("decimal(18,2)").alias("amount"),
+                in_cents(c["amount"]).alias("cents"),
             ),
         ).alias("charges"),
     )

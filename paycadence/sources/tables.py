@@ -18,6 +18,19 @@ from .canonical import ACH, ACTIVE, CARD, CASH, INVITE, PAGE_VIEW, PAYMENT_ENTRY
 FREQUENCIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
 
 
+# Stored columns that the adapters read. Stating them avoids a job that infers the schema.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_extendedprice double, l_tax double, "
+    "l_returnflag string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_type string, p_size int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "events": "ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def _ntz(day: date) -> Column:
     return F.lit(datetime.combine(day, time()))
 
@@ -38,9 +51,14 @@ class StarTables:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory
+        self._tables: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        """The columns of a stored table that the adapters use."""
+        if name not in self._tables:
+            reader = self.spark.read.schema(SCHEMAS[name])
+            self._tables[name] = reader.parquet(f"{self.directory}/{name}.parquet")
+        return self._tables[name]
 
     def payments(
         self,
@@ -58,7 +76,8 @@ class StarTables:
         lines = self.read("lineitem")
         for condition in _day_range("l_shipdate", since, until):
             lines = lines.filter(condition)
-        amount = F.col("l_extendedprice").cast("decimal(18,2)")
+        cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+        fee = (cents * F.rint(F.col("l_tax") * 100).cast("bigint")).cast("decimal(18,0)") / 10000
         lines = lines.filter(F.col("l_extendedprice") > 0).select(
             F.col("l_orderkey").alias("lease_id"),
             F.col("l_orderkey").alias("je_id"),
@@ -67,8 +86,8 @@ class StarTables:
             .when(F.col("l_returnflag") == "R", ACH)
             .otherwise(CASH)
             .alias("method"),
-            amount.alias("amount"),
-            (amount * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(18,4)").alias("fee"),
+            cents.alias("cents"),
+            fee.cast("decimal(18,4)").alias("fee"),
             F.col("l_shipdate").cast("date").alias("created"),
         )
         if not customers and frequencies is None:
@@ -79,6 +98,10 @@ class StarTables:
         orders = orders.select(F.col("o_orderkey").alias("lease_id"), F.col("o_custkey").alias("customer_id"))
         return lines.join(orders, "lease_id", "inner")
 
+    def recurring_leases(self, frequencies: Sequence[str] = FREQUENCIES) -> DataFrame:
+        """lease_id of leases with one of the rent frequencies."""
+        return self.leases().filter(F.col("frequency").isin(*frequencies)).select("lease_id")
+
     def daily(self) -> DataFrame:
         """Lease snapshots, one per month from activation, 1 to 12 of them."""
         key = F.col("o_orderkey")
@@ -129,12 +152,11 @@ class StarTables:
     def entries(self) -> DataFrame:
         """Ledger entries; each payment entry settles one to four entries that follow it."""
         key = F.col("o_orderkey")
-        cents = (F.col("o_totalprice").cast("decimal(16,2)") * 100).cast("bigint")
+        total = F.rint(F.col("o_totalprice") * 100).cast("bigint")
 
         def charge(i: Column) -> Column:
-            part = cents - cents % (i + 2)
-            whole = (part / (i + 2)).cast("bigint")
-            return F.struct((key + i).alias("linked"), (whole / 100).cast("decimal(18,2)").alias("amount"))
+            cents = ((total - total % (i + 2)) / (i + 2)).cast("bigint")
+            return F.struct((key + i).alias("linked"), cents.alias("cents"))
 
         charges = F.transform(F.sequence(F.lit(0), (key % 4).cast("int")), charge)
         due = F.date_format("o_orderdate", "yyyy-MM-dd")
