@@ -48,7 +48,7 @@ def settled_charges(
     charge = entries.filter(~F.col("deleted")).select(
         F.col("entry_id").alias("linked"),
         "account",
-        F.trunc(F.try_to_date("due", "yyyy-MM-dd"), "MM").alias("due_month"),
+        F.trunc(F.try_to_date("due"), "MM").alias("due_month"),
     )
     if accounts is not None:
         live = accounts.filter(~F.col("is_test")).select("account")

@@ -132,11 +132,19 @@ def eligible_share(states: DataFrame, registrations: DataFrame, eligible: Column
     )
 
 
-def by_segment(states: DataFrame, accounts: DataFrame, unknown: str = "Unknown") -> DataFrame:
-    """Adds the account's segment; ``unknown`` where the account has none."""
-    dimension = accounts.select("account", "segment")
-    return states.join(dimension, "account", "left").withColumn(
-        "segment", F.coalesce("segment", F.lit(unknown))
+def paid_share_by_segment(states: DataFrame, accounts: DataFrame, unknown: str = "Unknown") -> DataFrame:
+    """Paid share per period and account segment; ``unknown`` where the account has none.
+
+    Leases are counted per account before the segment is joined.
+    """
+    per_account = states.groupBy("period", "account").agg(
+        F.count_if("is_active").alias("active"), F.count_if("is_paid").alias("paid")
+    )
+    return (
+        per_account.join(accounts.select("account", "segment"), "account", "left")
+        .groupBy("period", F.coalesce("segment", F.lit(unknown)).alias("segment"))
+        .agg(F.sum("active").alias("active"), F.sum("paid").alias("paid"))
+        .withColumn("paid_share", ratio("paid", "active"))
     )
 
 

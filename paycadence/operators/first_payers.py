@@ -52,7 +52,7 @@ def adoption_trend(
     A payer used it in its first period exactly when its first day with the method
     falls in the same period as its first day, so one aggregate per payer is enough.
     """
-    days = payments.groupBy(key).agg(
+    days = payments.filter(F.col(key).isNotNull()).groupBy(key).agg(
         F.min("created").alias("_any"),
         F.min(F.when(F.col("method") == method, F.col("created"))).alias("_with"),
     )
@@ -95,10 +95,36 @@ def split(
     )
 
 
-def with_account_tenure(firsts: DataFrame, payments: DataFrame, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
-    """Adds ``account_first``: the first period in which the payer's account received a payment."""
+def account_totals(firsts: DataFrame) -> DataFrame:
+    """First-time payers per period and account, with payers and cents by method where known.
+
+    Account attributes are joined to these totals, not to the payers: an account with
+    very many first-time payers is then one row per period.
+    """
+    sums = {"payers": F.count("*")}
+    card, ach = F.col("method") == CARD, F.col("method") == ACH
+    if "method" in firsts.columns:
+        sums |= {"card_payers": F.count_if(card), "ach_payers": F.count_if(ach)}
+    if "cents" in firsts.columns:
+        sums |= {"cents": F.sum("cents"), "card_cents": sum_if(card, "cents"), "ach_cents": sum_if(ach, "cents")}
+    return firsts.groupBy("period", "account").agg(*[c.alias(name) for name, c in sums.items()])
+
+
+def with_account_start(rows: DataFrame, payments: DataFrame, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
+    """Adds ``account_first``: the first period in which the account received a payment."""
     accounts = first_period(payments, "account", cal).withColumnRenamed("first", "account_first")
-    return firsts.join(accounts, "account")
+    return rows.join(accounts, "account")
+
+
+def split_accounts(
+    totals: DataFrame, dimension: Column, name: str, first: date, last: date, measures: Sequence[Column] = ()
+) -> DataFrame:
+    """Account totals per period and value of an account dimension, with extra aggregates."""
+    return (
+        totals.filter(between("period", first, last))
+        .groupBy("period", dimension.alias(name))
+        .agg(F.sum("payers").alias("payers"), *measures)
+    )
 
 
 def with_activation(firsts: DataFrame, daily: DataFrame, frequencies: Sequence[str]) -> DataFrame:
@@ -138,28 +164,33 @@ def with_account_invoice(firsts: DataFrame, daily: DataFrame) -> DataFrame:
     return firsts.join(lease_account, "lease_id", "left").join(account_start, "lease_account", "left")
 
 
-def method_measures(method: str = CARD) -> list[Column]:
-    is_card = F.col("method") == method
+def method_measures() -> list[Column]:
+    """Payers by card with their percentage, over account totals."""
     return [
-        F.count_if(is_card).alias("card_payers"),
-        pct(F.count_if(is_card), F.count("*")).alias("card_pct"),
+        F.sum("card_payers").alias("card_payers"),
+        pct(F.sum("card_payers"), F.sum("payers")).alias("card_pct"),
     ]
 
 
 def amount_measures() -> list[Column]:
-    """Payers and dollars by method with their shares of the group."""
-    card, ach = F.col("method") == CARD, F.col("method") == ACH
-    total = F.sum("cents")
+    """Payers and dollars by method with their shares of the group, over account totals."""
+    out = []
+    for method in ("card", "ach"):
+        payers, cents = F.sum(f"{method}_payers"), F.sum(f"{method}_cents")
+        out += [
+            payers.alias(f"{method}_payers"),
+            ratio(payers, F.sum("payers")).alias(f"{method}_share"),
+            currency(cents).alias(f"{method}_amount"),
+            ratio(cents, F.sum("cents")).alias(f"{method}_amount_share"),
+        ]
+    return [*out, currency(F.sum("cents")).alias("total_amount")]
+
+
+def account_measures() -> list[Column]:
+    """Distinct accounts and payers per account, over account totals (one row per account)."""
     return [
-        F.count_if(card).alias("card_payers"),
-        ratio(F.count_if(card), F.count("*")).alias("card_share"),
-        F.count_if(ach).alias("ach_payers"),
-        ratio(F.count_if(ach), F.count("*")).alias("ach_share"),
-        currency(sum_if(card, "cents")).alias("card_amount"),
-        ratio(sum_if(card, "cents"), total).alias("card_amount_share"),
-        currency(sum_if(ach, "cents")).alias("ach_amount"),
-        ratio(sum_if(ach, "cents"), total).alias("ach_amount_share"),
-        currency(total).alias("total_amount"),
+        F.count("account").alias("accounts"),
+        ratio(F.sum("payers"), F.count("account")).alias("expansion"),
     ]
 
 
@@ -168,27 +199,11 @@ def activation_lag(cal: BillingCalendar = BILLING_CYCLE) -> Column:
     return month_diff(cal.period("activated"), "period")
 
 
-def payers_and_accounts(firsts: DataFrame, dimension: Column, name: str, first: date, last: date) -> DataFrame:
-    """First-time payers and distinct accounts per period and dimension, with payers per account.
-
-    Payers are counted per account first, so the distinct accounts are plain rows.
-    """
-    per_account = (
-        firsts.filter(between("period", first, last))
-        .groupBy("period", dimension.alias(name), "account")
-        .agg(F.count("*").alias("n"))
-    )
-    return (
-        per_account.groupBy("period", name)
-        .agg(F.sum("n").alias("payers"), F.count("account").alias("accounts"))
-        .withColumn("expansion", ratio("payers", "accounts"))
-    )
-
-
 def by_account_newness(firsts: DataFrame, payments: DataFrame, first: date, last: date) -> DataFrame:
     """First-time payers by whether their account also paid for the first time (calendar months)."""
-    known = with_account_tenure(firsts, payments, CALENDAR_MONTH)
-    return payers_and_accounts(known, newness_label("account_first", "period"), "segment", first, last)
+    known = with_account_start(account_totals(firsts), payments, CALENDAR_MONTH)
+    label = newness_label("account_first", "period")
+    return split_accounts(known, label, "segment", first, last, account_measures())
 
 
 def low_mix_batches(

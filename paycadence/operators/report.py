@@ -17,6 +17,13 @@ def complete_periods(mart: DataFrame, cutoff: date, period: str = "period") -> D
     return mart.filter(F.col(period) <= F.lit(cutoff))
 
 
+def ordered(mart: DataFrame, *keys: str) -> DataFrame:
+    """Rows in report order; ``-name`` sorts descending, and nulls come last either way."""
+    return mart.orderBy(
+        *[F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc_nulls_last(k) for k in keys]
+    )
+
+
 def report_series(
     mart: DataFrame,
     category: str,

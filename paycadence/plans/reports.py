@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 from decimal import Decimal
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,6 +161,8 @@ def lease_retention(t):
 
 LOOKBACK = date(1995, 3, 1)
 FIRST, LAST = date(1995, 1, 1), date(1997, 12, 1)
+TENURE = partial(tenure_label, "account_first", "period")
+AGE = partial(age_bucket, "account_start", "period")
 
 
 def _scoped_firsts(t: StarTables, keep=("lease_id",), cal=BILLING_CYCLE) -> DataFrame:
@@ -171,17 +174,16 @@ def _scoped_firsts(t: StarTables, keep=("lease_id",), cal=BILLING_CYCLE) -> Data
 def payers_by_tenure(t):
     payments = t.payments(since=LOOKBACK)
     firsts = first_payers.first_payments(payments, [BILLING_CYCLE.period("created"), "account"], ["account"])
-    firsts = first_payers.with_account_tenure(firsts, payments)
-    return first_payers.split(firsts, tenure_label("account_first", "period", missing=None), "label", FIRST, LAST)
+    totals = first_payers.with_account_start(first_payers.account_totals(firsts), payments)
+    return first_payers.split_accounts(totals, TENURE(missing=None), "label", FIRST, LAST)
 
 
 @entry_point("c14_method_by_account_tenure")
 def method_by_tenure(t):
     payments = t.payments(since=LOOKBACK)
     firsts = first_payers.first_payments(payments, ["created", "account"], ["account", "method"])
-    firsts = first_payers.with_account_tenure(firsts, payments)
-    label = tenure_label("account_first", "period", missing=None)
-    return first_payers.split(firsts, label, "label", FIRST, LAST, first_payers.method_measures())
+    totals = first_payers.with_account_start(first_payers.account_totals(firsts), payments)
+    return first_payers.split_accounts(totals, TENURE(missing=None), "label", FIRST, LAST, first_payers.method_measures())
 
 
 @entry_point("c15_low_mix_batches")
@@ -238,7 +240,7 @@ def leave_one_out(t):
 
 @entry_point("c22_heavy_hitters")
 def heavy_hitters(t):
-    return mix.heavy_hitters(_detail(t, date(1995, 4, 1)), min_size=8)
+    return report.ordered(mix.heavy_hitters(_detail(t, date(1995, 4, 1)), min_size=8), "period", "-payers")
 
 
 @entry_point("c23_account_timeline")
@@ -378,7 +380,7 @@ def reactivation_series(t):
 @entry_point("c39_totals_with_rollup")
 def totals_with_rollup(t):
     payments = t.payments(**_cycle_days(MAY, MAY), customers=False)
-    return mix.totals_with_rollup(payments, MAY, t.recurring_leases())
+    return report.ordered(mix.totals_with_rollup(payments, MAY, t.recurring_leases()), "-volume")
 
 
 # Published results ---------------------------------------------------------------
@@ -397,15 +399,14 @@ def _month_firsts(t: StarTables) -> DataFrame:
     )
 
 
-def _aged_firsts(t: StarTables) -> DataFrame:
+def _aged_totals(t: StarTables) -> DataFrame:
     starts = t.daily().groupBy("account").agg(F.min("account_first_invoice").alias("account_start"))
-    return _month_firsts(t).join(starts, "account", "left")
+    return first_payers.account_totals(_month_firsts(t)).join(starts, "account", "left")
 
 
 @entry_point("r02_first_payers_by_account_age")
 def by_account_age(t):
-    bucket = age_bucket("account_start", "period")
-    return first_payers.split(_aged_firsts(t), bucket, "bucket", FIRST, LAST, first_payers.amount_measures())
+    return first_payers.split_accounts(_aged_totals(t), AGE(), "bucket", FIRST, LAST, first_payers.amount_measures())
 
 
 @entry_point("r03_first_payers_by_newness")
@@ -415,17 +416,17 @@ def by_newness(t):
 
 @entry_point("r04_first_payers_and_accounts")
 def payers_and_accounts(t):
-    bucket = age_bucket("account_start", "period")
-    return first_payers.payers_and_accounts(_aged_firsts(t), bucket, "bucket", FIRST, LAST).drop("expansion")
+    measures = first_payers.account_measures()
+    return first_payers.split_accounts(_aged_totals(t), AGE(), "bucket", FIRST, LAST, measures).drop("expansion")
 
 
 @entry_point("r05_first_payer_paths")
 def payer_paths(t):
     payments = t.payments(frequencies=FREQUENCIES)
     firsts = first_payers.first_payments(payments, ["created", "lease_id", "account"], ["lease_id", "account"])
-    firsts = first_payers.with_account_tenure(firsts, t.payments(customers=False))
+    firsts = first_payers.with_account_start(firsts, t.payments(customers=False))
     firsts = first_payers.with_activation(firsts, t.daily(), FREQUENCIES)
-    return first_payers.payer_paths(firsts, FIRST, LAST, tenure_label("account_first", "period"))
+    return first_payers.payer_paths(firsts, FIRST, LAST, TENURE())
 
 
 @entry_point("r06_invited_at_activation")
@@ -487,7 +488,7 @@ def paid_breakdown(t):
 
 @entry_point("r14_paid_by_segment")
 def paid_by_segment(t):
-    return coverage.paid_share(coverage.by_segment(_states(t), t.accounts()), ["period", "segment"])
+    return coverage.paid_share_by_segment(_states(t), t.accounts())
 
 
 @entry_point("r15_retention_heatmap")

@@ -7,6 +7,7 @@ text become booleans, identifiers become strings, and semi-structured columns
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -38,12 +39,20 @@ def in_cents(amount: Column | str) -> Column:
     return (c.cast("decimal(18,2)") * 100).cast("bigint")
 
 
-def payments(raw: DataFrame, entries: DataFrame | None = None, since: date | None = None) -> DataFrame:
+def payments(
+    raw: DataFrame,
+    entries: DataFrame | None = None,
+    since: date | None = None,
+    methods: Sequence[str] | None = None,
+) -> DataFrame:
     """Positive payments; with ``entries`` (canonical) the account of the ledger entry is added.
 
-    The join keeps payments without an entry: their account is null.
+    The join keeps payments without an entry: their account is null. ``methods`` keeps
+    payments of these types, without regard to case.
     """
     df = raw.filter(F.col("amounttotransfer") > 0)
+    if methods is not None:
+        df = df.filter(F.lower("type").isin(*methods))
     if since is not None:
         df = df.filter(F.col("created") >= F.lit(since))
     df = df.select(

@@ -340,7 +340,7 @@ def test_state_transitions_balance(spark):
 def test_paid_share_is_null_without_active_leases(spark):
     states = spark.createDataFrame([(date(2024, 1, 1), False, True, None)], "period date, is_active boolean, is_paid boolean, account string")
     accounts = spark.createDataFrame([("a", "S")], "account string, segment string")
-    row = records(coverage.paid_share(coverage.by_segment(states, accounts), ["period", "segment"]))[0]
+    row = records(coverage.paid_share_by_segment(states, accounts))[0]
     assert (row["segment"], row["paid"], row["paid_share"]) == ("Unknown", 1, None)
 
 
@@ -364,6 +364,12 @@ def test_report_steps(spark):
     assert report.reconcile(mart, mart.filter("kind = 'old'"), "payers").count() == 2
 
 
+def test_report_order_puts_nulls_last(spark):
+    mart = spark.createDataFrame([("a", None), ("b", 1), (None, 3), ("c", 3)], "k string, v int")
+    assert [r.v for r in report.ordered(mart, "-v", "k").collect()] == [3, 3, 1, None]
+    assert [r.k for r in report.ordered(mart, "k").collect()] == ["a", "b", "c", None]
+
+
 def test_coverage_counts_entities_once(spark):
     active = spark.createDataFrame([("p1", "a", "New"), ("p1", "b", "New")], "period string, account string, label string")
     acting = spark.createDataFrame([("p1", "a"), ("p1", "a"), ("p1", "z")], "period string, account string")

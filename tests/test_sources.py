@@ -48,6 +48,7 @@ def raw_entries(spark, as_text):
 def test_landed_payments(spark):
     entries = landed.entries(raw_entries(spark, True))
     rows = records(landed.payments(raw_payments(spark), entries, since=date(2024, 1, 1)), "created", "customer_id")
+    assert landed.payments(raw_payments(spark), methods=["charge"]).count() == 1
     assert [(r["customer_id"], r["lease_id"], r["method"], r["cents"], r["created"], r["account"]) for r in rows] == [
         ("c1", "1", "charge", 1250, date(2024, 1, 24), "a"),
         ("c1", "1", "payment", 750, date(2024, 1, 25), "a"),
