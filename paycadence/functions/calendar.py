@@ -67,6 +67,10 @@ class BillingCalendar:
         d = as_column(day)
         return (d >= F.lit(self.first_day(first))) & (d < F.lit(self.end_day(last)))
 
+    def up_to(self, day: Column | str, last: date) -> Column:
+        """``period(day) <= last`` as a plain bound, so it reaches the scan."""
+        return as_column(day) < F.lit(self.end_day(last))
+
 
 BILLING_CYCLE = BillingCalendar(25)
 CALENDAR_MONTH = BillingCalendar(None)

@@ -110,7 +110,7 @@ def eligible_retention(
     """
     two = F.col("method").isin(*CARD_OR_ACH) & F.col("lease_id").isNotNull()
     starts = (
-        cohort_payments.filter(two)
+        cohort_payments.filter(two & (F.col("created") < F.lit(cal.first_day(end))))
         .groupBy("customer_id")
         .agg(F.min(F.struct("created", "method", "lease_id")).alias("_f"))
         .select(
@@ -134,7 +134,9 @@ def eligible_retention(
         ],
         cal,
     )
-    eligible = active_periods(daily, before, after).withColumn("eligible", F.lit(True))
+    day = F.col("snapshot_date")
+    watched = (day >= F.date_sub(F.lit(start), before)) & (day < F.date_add(F.lit(end), after))
+    eligible = active_periods(daily.filter(watched), before, after).withColumn("eligible", F.lit(True))
     rows = expanded.join(paid, ["customer_id", "period"], "left").join(eligible, ["lease_id", "period"], "left")
     ok = F.col("eligible").isNotNull()
     return rows.groupBy("cohort", "first_method", "offset").agg(
@@ -201,7 +203,7 @@ def stickiness(
     whose period at that offset has ended by ``last``; retention is active / observable.
     """
     activity = period_activity(
-        payments.filter(F.col("method").isin(*CARD_OR_ACH)),
+        payments.filter(F.col("method").isin(*CARD_OR_ACH) & cal.up_to("created", last)),
         key,
         [
             flag(F.col("method") == CARD).alias("card"),
@@ -218,7 +220,7 @@ def stickiness(
                 "first_method": F.first("_earliest.method").over(w),
             }
         )
-        .filter(between("first", start, last) & (F.col("period") <= F.lit(last)))
+        .filter(between("first", start, last))
         .withColumn("offset", month_diff("first", "period"))
         .filter(F.col("offset") <= horizon)
     )

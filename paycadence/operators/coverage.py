@@ -168,7 +168,8 @@ def state_transitions(states: DataFrame, first: date, last: date) -> DataFrame:
     period: active, paid (active or not), how each arrived or left since the period
     before, and first-time paid. The first period has no period before, so everything in
     it is new. ``paid_inactive`` are paid leases outside the active set, which close
-    the balance: paid = retained_paid + converted + new_paid + paid_inactive.
+    the balance: paid = retained_paid + converted + new_paid + paid_inactive. A lease is
+    first-time paid in the first period it is paid in ``states``.
     """
     w = Window.partitionBy("lease_id").orderBy("period")
     paid_now = F.when(F.col("is_paid"), "paid").otherwise("unpaid")

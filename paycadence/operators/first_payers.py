@@ -22,20 +22,24 @@ def first_payments(
     keep: Sequence[str],
     key: str = "customer_id",
     cal: BillingCalendar = BILLING_CYCLE,
-    day: str = "created",
+    last: date | None = None,
 ) -> DataFrame:
     """One row per payer: its first payment by ``order``, with its period.
 
+    With ``last``, payers who start after that period are left out.
+
     Ties that ``order`` leaves open are broken by the kept columns, so the result
     does not depend on how rows are distributed. The minimum is taken per task
     before the shuffle, so a payer with very many payments moves few rows.
     """
     ranks = [(F.col(o) if isinstance(o, str) else o).alias(f"_{i}") for i, o in enumerate(order)]
-    columns = list(dict.fromkeys([day, *keep]))
+    columns = list(dict.fromkeys(["created", *keep]))
+    if last is not None:
+        payments = payments.filter(cal.up_to("created", last))
     pick = F.min(F.struct(*ranks, *columns)).alias("_f")
     picked = payments.filter(F.col(key).isNotNull()).groupBy(key).agg(pick)
     return picked.select(
-        key, *[F.col(f"_f.{c}").alias(c) for c in columns], cal.period(f"_f.{day}").alias("period")
+        key, *[F.col(f"_f.{c}").alias(c) for c in columns], cal.period("_f.created").alias("period")
     )
 
 
@@ -52,7 +56,8 @@ def adoption_trend(
     A payer used it in its first period exactly when its first day with the method
     falls in the same period as its first day, so one aggregate per payer is enough.
     """
-    days = payments.filter(F.col(key).isNotNull()).groupBy(key).agg(
+    seen = payments.filter(F.col(key).isNotNull() & cal.up_to("created", last))
+    days = seen.groupBy(key).agg(
         F.min("created").alias("_any"),
         F.min(F.when(F.col("method") == method, F.col("created"))).alias("_with"),
     )
@@ -222,7 +227,7 @@ def low_mix_batches(
     never in a batch.
     """
     per_payer = period_activity(
-        payments,
+        payments.filter(cal.up_to("created", last)),
         "customer_id",
         [flag(F.col("method") == method).alias("used"), F.max("account").alias("account")],
         cal,
@@ -262,7 +267,7 @@ def population_mix(
     card, ach = F.col("method") == CARD, F.col("method") == ACH
     pick = F.min(F.struct("created", "method", "cents")).alias("_f")
     activity = period_activity(
-        payments.filter(card | ach),
+        payments.filter((card | ach) & cal.up_to("created", last)),
         "customer_id",
         [
             flag(card).alias("card"),

@@ -73,7 +73,7 @@ def between(period: str, first: date, last: date) -> Column:
 def landings(payments: DataFrame, key: str, first: date, last: date, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
     """Keys by the period of their first payment."""
     return (
-        first_period(payments, key, cal)
+        first_period(payments.filter(cal.up_to("created", last)), key, cal)
         .filter(between("first", first, last))
         .groupBy(F.col("first").alias("period"))
         .agg(F.count("*").alias("landed"))
@@ -89,7 +89,8 @@ def churn_series(
     cal: BillingCalendar = BILLING_CYCLE,
 ) -> DataFrame:
     """Keys active in a period but not in the next one, labelled with the next one."""
-    life = lifecycle(period_activity(payments, key, cal=cal, keep=keep), key)
+    seen = payments.filter(cal.up_to("created", last))
+    life = lifecycle(period_activity(seen, key, cal=cal, keep=keep), key)
     return (
         life.filter(~F.col("returns_next"))
         .select(next_period("period").alias("churn_period"))
@@ -138,7 +139,8 @@ def churn_mix(
 
 def reactivations(payments: DataFrame, key: str, first: date, last: date, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
     """One row per return after at least one skipped period."""
-    life = lifecycle(period_activity(payments, key, cal=cal), key)
+    seen = payments.filter(cal.up_to("created", last))
+    life = lifecycle(period_activity(seen, key, cal=cal), key)
     return life.filter((F.col("state") == "reactivated") & between("period", first, last))
 
 
@@ -163,7 +165,8 @@ def paid_breakdown(payments: DataFrame, key: str, first: date, last: date, cal:
     Each row counts in its own period and, if the key does not pay next time,
     as churned in the following one. Payments after ``last`` do not change any row.
     """
-    life = lifecycle(period_activity(payments, key, cal=cal), key)
+    seen = payments.filter(cal.up_to("created", last))
+    life = lifecycle(period_activity(seen, key, cal=cal), key)
     own = F.struct(F.col("period").alias("period"), F.col("state").alias("kind"))
     lost = F.struct(next_period("period").alias("period"), F.lit("churned").alias("kind"))
     long = life.select(
@@ -185,7 +188,7 @@ def paid_breakdown(payments: DataFrame, key: str, first: date, last: date, cal:
 
 def first_and_returning(payments: DataFrame, key: str, first: date, last: date, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
     """Paid keys per period, split into first-time and returning, with shares."""
-    activity = period_activity(payments, key, cal=cal)
+    activity = period_activity(payments.filter(cal.up_to("created", last)), key, cal=cal)
     is_first = F.col("period") == F.min("period").over(Window.partitionBy(key))
     return (
         activity.withColumn("is_first", is_first)

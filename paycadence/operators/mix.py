@@ -24,7 +24,7 @@ def mix_decomposition(
 ) -> DataFrame:
     """Dollar share of the method overall, among first-time and returning payers, and first-time volume share."""
     activity = period_activity(
-        payments,
+        payments.filter(cal.up_to("created", last)),
         key,
         [
             F.sum("cents").alias("cents"),
@@ -108,10 +108,11 @@ def first_period_detail(
     and reduced by name before the join.
     """
     dimension = accounts.select("account", "name")
-    firsts = first_period(payments, "customer_id", cal).filter(between("first", first, last))
+    seen = payments.filter(cal.up_to("created", last))
+    firsts = first_period(seen, "customer_id", cal).filter(between("first", first, last))
     is_card = F.col("method") == method
     detail = (
-        payments.filter(cal.within("created", first, last))
+        seen.filter(F.col("created") >= F.lit(cal.first_day(first)))
         .join(dimension, "account", "left")
         .groupBy("customer_id", cal.period("created").alias("period"), "name")
         .agg(

@@ -7,14 +7,14 @@ a lookback start, a first and a last reported period, and a cut-off.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import BILLING_CYCLE, CALENDAR_MONTH
+from ..functions.calendar import BILLING_CYCLE, CALENDAR_MONTH, shift_month
 from ..functions.labels import (
     AGE_UNKNOWN,
     EXISTING_ACCOUNT,
@@ -46,6 +46,7 @@ REPORTS: dict[str, Report] = {}
 SINCE, UNTIL = date(1995, 2, 1), date(1997, 12, 24)
 ATTACH_DAYS, WINDOWS = 180, ((0, 180), (180, 360))
 RETAINED_WINDOW = (30, 240)
+FOLLOWED = UNTIL + timedelta(days=ATTACH_DAYS + WINDOWS[-1][1])
 CUTOFF = date(1998, 3, 31)
 EVENTS_SINCE = date(1995, 1, 15)
 
@@ -64,7 +65,8 @@ def entry_point(name: str):
 
 
 def _cohort(t: StarTables) -> DataFrame:
-    accounts = lifecycle.first_period(t.payments(customers=False), "account")
+    # An account that starts later is as new as one that never does.
+    accounts = lifecycle.first_period(t.payments(until=UNTIL, customers=False), "account")
     return funnel.activation_cohort(t.daily(), accounts, SINCE, UNTIL, FREQUENCIES)
 
 
@@ -81,14 +83,14 @@ def _lease_payments(t: StarTables, until: date | None = None) -> DataFrame:
 @entry_point("c01_activation_kpi")
 def activation_kpi(t):
     return funnel.activation_kpi(
-        funnel.lease_outcomes(_journeys(t), _lease_payments(t), ATTACH_DAYS, WINDOWS)
+        funnel.lease_outcomes(_journeys(t), _lease_payments(t, FOLLOWED), ATTACH_DAYS, WINDOWS)
     )
 
 
 @entry_point("c02_event_funnel")
 def event_funnel(t):
     return funnel.event_funnel(
-        funnel.lease_outcomes(_journeys(t, events=True), _lease_payments(t), ATTACH_DAYS, WINDOWS)
+        funnel.lease_outcomes(_journeys(t, events=True), _lease_payments(t, FOLLOWED), ATTACH_DAYS, WINDOWS)
     )
 
 
@@ -154,7 +156,9 @@ def eligible_retention(t):
 
 @entry_point("c12_lease_retention")
 def lease_retention(t):
-    return cohorts.contract_retention(_cohort(t), _lease_payments(t))
+    horizon = 7
+    end = BILLING_CYCLE.end_day(shift_month(BILLING_CYCLE.period_of(UNTIL), horizon))
+    return cohorts.contract_retention(_cohort(t), _lease_payments(t, end - timedelta(days=1)), horizon)
 
 
 # First-time payers ---------------------------------------------------------------
@@ -167,13 +171,13 @@ AGE = partial(age_bucket, "account_start", "period")
 
 def _scoped_firsts(t: StarTables, keep=("lease_id",), cal=BILLING_CYCLE) -> DataFrame:
     payments = t.payments(frequencies=FREQUENCIES)
-    return first_payers.first_payments(payments, ["created", "lease_id"], list(keep), cal=cal)
+    return first_payers.first_payments(payments, ["created", "lease_id"], list(keep), cal=cal, last=LAST)
 
 
 @entry_point("c13_payers_by_account_tenure")
 def payers_by_tenure(t):
     payments = t.payments(since=LOOKBACK)
-    firsts = first_payers.first_payments(payments, [BILLING_CYCLE.period("created"), "account"], ["account"])
+    firsts = first_payers.first_payments(payments, [BILLING_CYCLE.period("created"), "account"], ["account"], last=LAST)
     totals = first_payers.with_account_start(first_payers.account_totals(firsts), payments)
     return first_payers.split_accounts(totals, TENURE(missing=None), "label", FIRST, LAST)
 
@@ -181,7 +185,7 @@ def payers_by_tenure(t):
 @entry_point("c14_method_by_account_tenure")
 def method_by_tenure(t):
     payments = t.payments(since=LOOKBACK)
-    firsts = first_payers.first_payments(payments, ["created", "account"], ["account", "method"])
+    firsts = first_payers.first_payments(payments, ["created", "account"], ["account", "method"], last=LAST)
     totals = first_payers.with_account_start(first_payers.account_totals(firsts), payments)
     return first_payers.split_accounts(totals, TENURE(missing=None), "label", FIRST, LAST, first_payers.method_measures())
 
@@ -220,7 +224,7 @@ def adoption_trend(t):
 
 @entry_point("c20_first_payment_size")
 def first_payment_size(t):
-    firsts = first_payers.first_payments(t.payments(since=LOOKBACK), ["created", "cents"], ["cents"])
+    firsts = first_payers.first_payments(t.payments(since=LOOKBACK), ["created", "cents"], ["cents"], last=LAST)
     return first_payers.amount_stats(firsts, FIRST, LAST)
 
 
@@ -395,7 +399,7 @@ def population_mix(t):
 
 def _month_firsts(t: StarTables) -> DataFrame:
     return first_payers.first_payments(
-        t.payments(), ["created", "account", "method"], ["account", "method", "cents"], cal=CALENDAR_MONTH
+        t.payments(), ["created", "account", "method"], ["account", "method", "cents"], cal=CALENDAR_MONTH, last=LAST
     )
 
 
@@ -423,7 +427,7 @@ def payers_and_accounts(t):
 @entry_point("r05_first_payer_paths")
 def payer_paths(t):
     payments = t.payments(frequencies=FREQUENCIES)
-    firsts = first_payers.first_payments(payments, ["created", "lease_id", "account"], ["lease_id", "account"])
+    firsts = first_payers.first_payments(payments, ["created", "lease_id", "account"], ["lease_id", "account"], last=LAST)
     firsts = first_payers.with_account_start(firsts, t.payments(customers=False))
     firsts = first_payers.with_activation(firsts, t.daily(), FREQUENCIES)
     return first_payers.payer_paths(firsts, FIRST, LAST, TENURE())
@@ -439,7 +443,7 @@ def invited_at_activation(t):
 def activation_kpi_wide(t):
     windows = (*WINDOWS, RETAINED_WINDOW)
     return funnel.activation_kpi_wide(
-        funnel.lease_outcomes(_journeys(t), _lease_payments(t), ATTACH_DAYS, windows)
+        funnel.lease_outcomes(_journeys(t), _lease_payments(t, FOLLOWED), ATTACH_DAYS, windows)
     )
 
 
@@ -493,7 +497,8 @@ def paid_by_segment(t):
 
 @entry_point("r15_retention_heatmap")
 def retention_heatmap(t):
-    matrix = cohorts.contract_retention(_cohort(t), _lease_payments(t), last=LAST)
+    until = BILLING_CYCLE.end_day(LAST) - timedelta(days=1)
+    matrix = cohorts.contract_retention(_cohort(t), _lease_payments(t, until), last=LAST)
     return cohorts.with_percentages(matrix)
 
 

@@ -47,6 +47,13 @@ def test_date_range_reaches_the_scan(no_broadcast, tables, name):
     assert any("GreaterThanOrEqual(l_shipdate" in scan for scan in scans)
 
 
+@pytest.mark.parametrize("name", ["c19_adoption_trend", "c06_retention_any", "r13_paid_breakdown", "r10_paid_accounts"])
+def test_days_after_the_last_period_are_not_read(no_broadcast, tables, name):
+    plan = plan_of(no_broadcast, REPORTS[name](no_broadcast, tables))
+    scans = [line for line in plan.splitlines() if "lineitem.parquet" in line]
+    assert scans and all("LessThan(l_shipdate" in scan for scan in scans)
+
+
 def test_scans_read_only_needed_columns(no_broadcast, tables):
     plan = plan_of(no_broadcast, REPORTS["c29_account_landings"](no_broadcast, tables))
     schema = re.search(r"ReadSchema: struct<([^>]*)", plan).group(1)
