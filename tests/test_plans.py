@@ -16,9 +16,14 @@ def plan_of(spark, df) -> str:
 @pytest.fixture(scope="module")
 def no_broadcast(spark):
     """Tables too large to broadcast, as on a cluster, and plans shown before they adapt."""
-    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.maxMetadataStringLength": "10000",
+    }
+    saved = {key: spark.conf.get(key) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
     yield spark
     for key, value in saved.items():
         spark.conf.set(key, value)
