@@ -124,10 +124,13 @@ def is_retained_member() -> Column:
     return F.coalesce(F.col("shared_accepted_at") < F.col("activated"), F.lit(False))
 
 
-def journeys(cohort: DataFrame, lease_milestones: DataFrame, exclude_retained: bool = True) -> DataFrame:
-    """Cohort rows with their milestones, by default without leases of retained members."""
-    rows = cohort.join(lease_milestones, "lease_id", "left")
-    return rows.filter(~is_retained_member()) if exclude_retained else rows
+def journeys(cohort: DataFrame, lease_milestones: DataFrame) -> DataFrame:
+    """Cohort rows with their milestones; null where a lease has none."""
+    return cohort.join(lease_milestones, "lease_id", "left")
+
+
+def exclude_retained_members(all_journeys: DataFrame) -> DataFrame:
+    return all_journeys.filter(~is_retained_member())
 
 
 def retained_member_counts(all_journeys: DataFrame) -> DataFrame:

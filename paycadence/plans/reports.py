@@ -41,6 +41,7 @@ from ..sources.tables import FREQUENCIES, StarTables
 
 Report = Callable[[SparkSession, str], DataFrame]
 REPORTS: dict[str, Report] = {}
+BUILDERS: dict[str, Callable[[StarTables], DataFrame]] = {}
 
 # Activation reports: window, follow-up lengths and cut-off.
 SINCE, UNTIL = date(1995, 2, 1), date(1997, 12, 24)
@@ -55,6 +56,7 @@ def entry_point(name: str):
     """Registers a report that takes the adapters of one directory."""
 
     def register(build: Callable[[StarTables], DataFrame]):
+        BUILDERS[name] = build
         REPORTS[name] = lambda spark, directory: build(StarTables(spark, directory))
         return build
 
@@ -65,15 +67,22 @@ def entry_point(name: str):
 
 
 def _cohort(t: StarTables) -> DataFrame:
-    # An account that starts later is as new as one that never does.
-    accounts = lifecycle.first_period(t.payments(until=UNTIL, customers=False), "account")
-    return funnel.activation_cohort(t.daily(), accounts, SINCE, UNTIL, FREQUENCIES)
+    def build():
+        # An account that starts later is as new as one that never does.
+        accounts = lifecycle.first_period(t.payments(until=UNTIL, customers=False), "account")
+        return funnel.activation_cohort(t.daily(), accounts, SINCE, UNTIL, FREQUENCIES)
+
+    return t.share("cohort", build)
 
 
 def _journeys(t: StarTables, events: bool = False, exclude: bool = True) -> DataFrame:
-    seen = t.events().filter(F.col("ts") >= F.lit(EVENTS_SINCE)) if events else None
-    steps = funnel.milestones(funnel.memberships(t.leases()), t.tenants(), seen)
-    return funnel.journeys(_cohort(t), steps, exclude)
+    def build():
+        seen = t.events().filter(F.col("ts") >= F.lit(EVENTS_SINCE)) if events else None
+        steps = funnel.milestones(funnel.memberships(t.leases()), t.tenants(), seen)
+        return funnel.journeys(_cohort(t), steps)
+
+    rows = t.share("event_journeys" if events else "journeys", build)
+    return funnel.exclude_retained_members(rows) if exclude else rows
 
 
 def _lease_payments(t: StarTables, until: date | None = None) -> DataFrame:
@@ -398,8 +407,10 @@ def population_mix(t):
 
 
 def _month_firsts(t: StarTables) -> DataFrame:
-    return first_payers.first_payments(
-        t.payments(), ["created", "account", "method"], ["account", "method", "cents"], cal=CALENDAR_MONTH, last=LAST
+    order, keep = ["created", "account", "method"], ["account", "method", "cents"]
+    return t.share(
+        "month_firsts",
+        lambda: first_payers.first_payments(t.payments(), order, keep, cal=CALENDAR_MONTH, last=LAST),
     )
 
 
@@ -464,12 +475,14 @@ def paid_accounts(t):
     return lifecycle.first_and_returning(t.payments(customers=False), "account", FIRST, YEARS_LAST)
 
 
-def _states(t: StarTables, first: date = FIRST, last: date = LAST) -> DataFrame:
-    days = _cycle_days(first, last)
-    return coverage.active_and_paid(
-        coverage.active_leases(t.daily(), first, last),
-        coverage.paid_leases(t.payments(**days, customers=False), first, last),
-    )
+def _states(t: StarTables) -> DataFrame:
+    def build():
+        payments = t.payments(**_cycle_days(FIRST, LAST), customers=False)
+        return coverage.active_and_paid(
+            coverage.active_leases(t.daily(), FIRST, LAST), coverage.paid_leases(payments, FIRST, LAST)
+        )
+
+    return t.share("states", build)
 
 
 @entry_point("r11_eligible_and_paid")

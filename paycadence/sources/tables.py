@@ -6,7 +6,7 @@ stored timestamp column, so both reach the parquet scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, datetime, time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +60,10 @@ class StarTables:
             self._tables[name] = reader.parquet(f"{self.directory}/{name}.parquet")
         return self._tables[name]
 
+    def share(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame that several reports use; a run of many reports may store it once."""
+        return build()
+
     def payments(
         self,
         since: date | None = None,

@@ -16,8 +16,9 @@ TABLES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    spark = session("local[4]", 4)
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("checkpoints")
+    spark = session("local[4]", 4, **{"spark.checkpoint.dir": f"file://{shared}"})
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
     spark.stop()

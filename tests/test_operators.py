@@ -300,7 +300,9 @@ def test_retained_members_are_excluded(spark):
     cohort = spark.createDataFrame(
         [("l1", day("2024-01-08")), ("l2", day("2024-02-01")), ("l9", day("2024-02-01"))], "lease_id string, activated date"
     )
-    assert sorted(r.lease_id for r in funnel.journeys(cohort, steps).collect()) == ["l1", "l9"]
+    rows = funnel.journeys(cohort, steps)
+    assert sorted(r.lease_id for r in rows.collect()) == ["l1", "l2", "l9"]
+    assert sorted(r.lease_id for r in funnel.exclude_retained_members(rows).collect()) == ["l1", "l9"]
 
 
 def test_transitions_are_censored_and_directed(spark):

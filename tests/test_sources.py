@@ -8,6 +8,8 @@ from conftest import day, records
 
 from paycadence.functions.calendar import month_label
 from paycadence.operators import allocation, first_payers, funnel, mix
+from paycadence.plans.reports import REPORTS
+from paycadence.plans.run import run
 from paycadence.sources import landed, marts
 from paycadence.sources.canonical import FREQUENCIES, INVITE, PAGE_VIEW
 
@@ -133,3 +135,16 @@ def test_bundle_keeps_null_keys(spark, tmp_path):
     assert json.loads(line) == {"PERIOD": "2024-01-01", "SHARE": None}
     back = marts.read_dataset(spark, path, "trend", "PERIOD date, SHARE double")
     assert records(back) == [{"PERIOD": date(2024, 1, 1), "SHARE": None}]
+
+
+def test_run_stores_shared_frames_once_and_writes_both_sinks(spark, tables, tmp_path):
+    names = ["c01_activation_kpi", "c05_retained_members", "r16_paid_share"]
+    assert run(spark, tables, f"{tmp_path}/out", names) == names
+    (folder,) = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("paycadence-*")
+    assert sorted(p.name for p in folder.iterdir()) == ["cohort", "journeys", "states"]
+    for name in names:
+        fresh = REPORTS[name](spark, tables)
+        keys = [c.upper() for c in fresh.columns]
+        want = records(marts.upper_names(fresh), *keys)
+        assert records(marts.read_csv(spark, f"{tmp_path}/out/csv/{name}", marts.upper_names(fresh).schema), *keys) == want
+        assert records(marts.read_dataset(spark, f"{tmp_path}/out/json", name, marts.upper_names(fresh).schema), *keys) == want
