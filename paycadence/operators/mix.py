@@ -103,25 +103,33 @@ def first_period_detail(
 ) -> DataFrame:
     """First-time payers × account name in their first period: dollars, card dollars, used card.
 
-    A payer's first period is found over all payments. The detail joins it on payer
-    and period, so a payer with payments on very many accounts is spread by period
-    and reduced by name before the join.
+    Payments are reduced per payer, period and account, and of these only first periods
+    are kept (found over all payments), before any account name is joined.
     """
-    dimension = accounts.select("account", "name")
     seen = payments.filter(cal.up_to("created", last))
     firsts = first_period(seen, "customer_id", cal).filter(between("first", first, last))
     is_card = F.col("method") == method
-    detail = (
+    sums = {
+        "cents": F.sum("cents"),
+        "card_cents": sum_if(is_card, "cents"),
+        "used_card": flag(is_card),
+    }
+    per_account = (
         seen.filter(F.col("created") >= F.lit(cal.first_day(first)))
-        .join(dimension, "account", "left")
-        .groupBy("customer_id", cal.period("created").alias("period"), "name")
+        .groupBy("customer_id", cal.period("created").alias("period"), "account")
+        .agg(*[c.alias(name) for name, c in sums.items()])
+        .join(firsts.withColumnRenamed("first", "period"), ["customer_id", "period"], "left_semi")
+    )
+    # Accounts may share a name, and all accounts without one count as the same.
+    return (
+        per_account.join(accounts.select("account", "name"), "account", "left")
+        .groupBy("customer_id", "period", "name")
         .agg(
             F.sum("cents").alias("cents"),
-            sum_if(is_card, "cents").alias("card_cents"),
-            flag(is_card).alias("used_card"),
+            F.sum("card_cents").alias("card_cents"),
+            F.max("used_card").alias("used_card"),
         )
     )
-    return detail.join(firsts.withColumnRenamed("first", "period"), ["customer_id", "period"], "left_semi")
 
 
 def leave_one_out(detail: DataFrame, patterns: Mapping[str, str]) -> DataFrame:

@@ -7,7 +7,7 @@ stored timestamp column, so both reach the parquet scan.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import date, datetime, time
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +31,18 @@ SCHEMAS = {
 }
 
 
-def _ntz(day: date) -> Column:
-    return F.lit(datetime.combine(day, time()))
+def _midnight(day: date) -> Column:
+    """A timestamp without time zone; a datetime literal would depend on the session's zone."""
+    return F.lit(day).cast("timestamp_ntz")
 
 
 def _day_range(column: str, since: date | None, until: date | None) -> list[Column]:
     """Inclusive day range on a timestamp column, free of casts around the column."""
     out = []
     if since is not None:
-        out.append(F.col(column) >= _ntz(since).cast("timestamp_ntz"))
+        out.append(F.col(column) >= _midnight(since))
     if until is not None:
-        out.append(F.col(column) < _ntz(date.fromordinal(until.toordinal() + 1)).cast("timestamp_ntz"))
+        out.append(F.col(column) < _midnight(until + timedelta(days=1)))
     return out
 
 
@@ -192,9 +193,7 @@ class StarTables:
 
     def _event_time(self) -> Column:
         """Event times, stretched from 30 days in 2024 to the 2,400 days of the payments."""
-        origin = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")
-        start = F.lit(datetime(1995, 1, 1)).cast("timestamp_ntz")
-        return start + (F.col("ts") - origin) * 80
+        return _midnight(date(1995, 1, 1)) + (F.col("ts") - _midnight(date(2024, 1, 1))) * 80
 
     def _property(self) -> Column:
         return F.get_json_object("props", "$.k").cast("int")
