@@ -36,6 +36,15 @@ def currency(cents: Column | str) -> Column:
     return as_column(cents).cast("double") / F.lit(100.0)
 
 
+def money_ratio(numerator_cents: Column | str, denominator_cents: Column | str) -> Column:
+    """Quotient of two amounts held in cents, taken in currency units."""
+    return ratio(currency(numerator_cents), currency(denominator_cents))
+
+
+def money_pct(numerator_cents: Column | str, denominator_cents: Column | str) -> Column:
+    return F.lit(100.0) * money_ratio(numerator_cents, denominator_cents)
+
+
 def sum_if(condition: Column, value: Column | str) -> Column:
     """Sum of ``value`` over rows where the condition holds; zero when none does."""
     v = as_column(value)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import BILLING_CYCLE, BillingCalendar, month_diff
-from ..functions.ratios import currency, pct, ratio, sum_if
+from ..functions.ratios import currency, money_pct, pct, ratio, sum_if
 from ..sources.canonical import CARD_OR_ACH, PAYMENT_ENTRY
 from .lifecycle import between, lifecycle
 
@@ -56,8 +56,8 @@ def settled_charges(
     return lines.join(charge, "linked").groupBy("entry_id", "due_month").agg(F.sum("cents").alias("charged"))
 
 
-def _shares(offset: Column, amount: Column, buckets) -> list[Column]:
-    """Percentage of the amount per named offset range (inclusive, None is open)."""
+def _shares(offset: Column, part: Column, buckets, share=pct) -> list[Column]:
+    """Percentage of the parts per named offset range (inclusive, None is open)."""
     cells = []
     for name, low, high in buckets:
         inside = F.lit(True)
@@ -65,7 +65,7 @@ def _shares(offset: Column, amount: Column, buckets) -> list[Column]:
             inside = inside & (offset >= low)
         if high is not None:
             inside = inside & (offset <= high)
-        cells.append(pct(sum_if(offset.isNotNull() & inside, amount), F.sum(amount)).alias(name))
+        cells.append(share(sum_if(offset.isNotNull() & inside, part), F.sum(part)).alias(name))
     return cells
 
 
@@ -158,5 +158,5 @@ def reactivated_charges(
     buckets = BEFORE_GAP_FOR if before_gap else REACTIVATED_FOR
     return rows.groupBy(F.col("returned").alias("period")).agg(
         currency(F.sum("part")).alias("charged"),
-        *_shares(F.col("offset"), F.col("part"), buckets),
+        *_shares(F.col("offset"), F.col("part"), buckets, money_pct),
     )

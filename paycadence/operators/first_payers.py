@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import BILLING_CYCLE, CALENDAR_MONTH, BillingCalendar, month_diff
 from ..functions.labels import UNKNOWN, newness_label
 from ..functions.quantiles import grouped_median
-from ..functions.ratios import currency, flag, pct, ratio, sum_if
+from ..functions.ratios import currency, flag, money_ratio, pct, ratio, sum_if
 from ..sources.canonical import ACH, CARD
 from .lifecycle import between, first_period, period_activity
 
@@ -78,7 +78,7 @@ def amount_stats(firsts: DataFrame, first: date, last: date) -> DataFrame:
     kept = firsts.filter(between("period", first, last))
     totals = kept.groupBy("period").agg(
         F.count("*").alias("payers"),
-        currency(ratio(F.sum("cents"), F.count("cents"))).alias("mean_amount"),
+        ratio(currency(F.sum("cents")), F.count("cents")).alias("mean_amount"),
     )
     median = grouped_median(kept, ["period"], "cents", "median_amount", unit=100)
     return totals.join(median, "period", "left")
@@ -186,7 +186,7 @@ def amount_measures() -> list[Column]:
             payers.alias(f"{method}_payers"),
             ratio(payers, F.sum("payers")).alias(f"{method}_share"),
             currency(cents).alias(f"{method}_amount"),
-            ratio(cents, F.sum("cents")).alias(f"{method}_amount_share"),
+            money_ratio(cents, F.sum("cents")).alias(f"{method}_amount_share"),
         ]
     return [*out, currency(F.sum("cents")).alias("total_amount")]
 
@@ -304,7 +304,7 @@ def population_mix(
             currency(F.sum("card_cents")).alias("card_amount"),
             currency(F.sum("ach_cents")).alias("ach_amount"),
             currency(total).alias("total_amount"),
-            ratio(F.sum("card_cents"), total).alias("card_share"),
+            money_ratio(F.sum("card_cents"), total).alias("card_share"),
             ratio(F.sum("card"), F.sum("card") + F.sum("ach")).alias("card_payer_share"),
         )
     )

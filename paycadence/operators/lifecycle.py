@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import BILLING_CYCLE, BillingCalendar, month_diff, next_period
 from ..functions.labels import skip_bucket
-from ..functions.ratios import pct, ratio, sum_if
+from ..functions.ratios import money_pct, ratio, sum_if
 from ..sources.canonical import CARD
 
 
@@ -132,7 +132,7 @@ def churn_mix(
         .groupBy("label")
         .agg(
             F.count("*").alias("payers"),
-            pct(F.sum("card_cents"), F.sum("cents")).alias("card_share_pct"),
+            money_pct(F.sum("card_cents"), F.sum("cents")).alias("card_share_pct"),
         )
     )
 

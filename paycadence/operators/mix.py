@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import BILLING_CYCLE, BillingCalendar
-from ..functions.ratios import currency, flag, pct, sum_if
+from ..functions.ratios import currency, flag, money_pct, pct, sum_if
 from ..sources.canonical import CARD
 from .lifecycle import between, first_period, period_activity
 
@@ -38,10 +38,10 @@ def mix_decomposition(
         .filter(between("period", first, last))
         .groupBy("period")
         .agg(
-            pct(F.sum("card"), F.sum("cents")).alias("overall_share"),
-            pct(sum_if(new, "card"), sum_if(new, "cents")).alias("first_share"),
-            pct(sum_if(~new, "card"), sum_if(~new, "cents")).alias("returning_share"),
-            pct(sum_if(new, "cents"), F.sum("cents")).alias("first_pct_of_volume"),
+            money_pct(F.sum("card"), F.sum("cents")).alias("overall_share"),
+            money_pct(sum_if(new, "card"), sum_if(new, "cents")).alias("first_share"),
+            money_pct(sum_if(~new, "card"), sum_if(~new, "cents")).alias("returning_share"),
+            money_pct(sum_if(new, "cents"), F.sum("cents")).alias("first_pct_of_volume"),
         )
     )
 
@@ -148,10 +148,10 @@ def leave_one_out(detail: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
         label: ~F.coalesce(F.col("name"), F.lit("")).ilike(pattern) for label, pattern in patterns.items()
     }
     adoption: list[Column] = [pct(F.sum("used_card"), F.count("*")).alias("adoption_all")]
-    dollars: list[Column] = [pct(F.sum("card_cents"), F.sum("cents")).alias("share_all")]
+    dollars: list[Column] = [money_pct(F.sum("card_cents"), F.sum("cents")).alias("share_all")]
     for label, kept in outside.items():
         adoption.append(pct(sum_if(kept, "used_card"), F.count_if(kept)).alias(f"adoption_without_{label}"))
-        dollars.append(pct(sum_if(kept, "card_cents"), sum_if(kept, "cents")).alias(f"share_without_{label}"))
+        dollars.append(money_pct(sum_if(kept, "card_cents"), sum_if(kept, "cents")).alias(f"share_without_{label}"))
     return payers.groupBy("period").agg(F.count("*").alias("payers"), *adoption, *dollars)
 
 
@@ -163,7 +163,7 @@ def heavy_hitters(detail: DataFrame, min_size: int = 80, unmapped: str = "(unmap
         .agg(
             F.count("*").alias("payers"),
             currency(F.sum("cents")).alias("volume"),
-            pct(F.sum("card_cents"), F.sum("cents")).alias("card_share"),
+            money_pct(F.sum("card_cents"), F.sum("cents")).alias("card_share"),
         )
         .filter(F.col("payers") >= min_size)
     )
@@ -182,6 +182,6 @@ def account_timeline(detail: DataFrame, patterns: Sequence[str]) -> DataFrame:
         .agg(
             F.count("*").alias("payers"),
             currency(F.sum("cents")).alias("volume"),
-            pct(F.sum("card_cents"), F.sum("cents")).alias("card_share"),
+            money_pct(F.sum("card_cents"), F.sum("cents")).alias("card_share"),
         )
     )
