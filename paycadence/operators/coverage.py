@@ -17,7 +17,7 @@ from ..functions.calendar import (
 )
 from ..functions.labels import invoice_age_label
 from ..functions.ratios import flag, pct, ratio
-from ..sources.canonical import ACTIVE, CARD_OR_ACH
+from ..sources.canonical import ACTIVE
 from .lifecycle import between, period_activity
 
 

@@ -1,12 +1,8 @@
-"""Every report, wired to the test tables.
-
-The windows below play the part of the literal dates of a monthly reporting run:
-a lookback start, a first and a last reported period, and a cut-off.
-"""
+"""Every report, over any set of adapters and the windows of a run."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 from decimal import Decimal
 from functools import partial
@@ -36,28 +32,24 @@ from ..operators import (
     rates,
     report,
 )
-from ..sources.canonical import ACH, CARD, INVITE
-from ..sources.tables import FREQUENCIES, StarTables
-
-Report = Callable[[SparkSession, str], DataFrame]
-REPORTS: dict[str, Report] = {}
-BUILDERS: dict[str, Callable[[StarTables], DataFrame]] = {}
+from ..sources.base import Tables
+from ..sources.canonical import ACH, CARD, INVITE, PAGE_VIEW
+from ..sources.tables import StarTables
+from .windows import TEST_WINDOWS, Windows, inclusive_days
 
-# Activation reports: window, follow-up lengths and cut-off.
-SINCE, UNTIL = date(1995, 2, 1), date(1997, 12, 24)
-ATTACH_DAYS, WINDOWS = 180, ((0, 180), (180, 360))
-RETAINED_WINDOW = (30, 240)
-FOLLOWED = UNTIL + timedelta(days=ATTACH_DAYS + WINDOWS[-1][1])
-CUTOFF = date(1998, 3, 31)
-EVENTS_SINCE = date(1995, 1, 15)
+Builder = Callable[[Tables, Windows], DataFrame]
+BUILDERS: dict[str, Builder] = {}
+# The same reports on the test tables, by directory.
+REPORTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+TENURE = partial(tenure_label, "account_first", "period")
+AGE = partial(age_bucket, "account_start", "period")
 
-def entry_point(name: str):
-    """Registers a report that takes the adapters of one directory."""
 
-    def register(build: Callable[[StarTables], DataFrame]):
+def report_named(name: str):
+    def register(build: Builder) -> Builder:
         BUILDERS[name] = build
-        REPORTS[name] = lambda spark, directory: build(StarTables(spark, directory))
+        REPORTS[name] = lambda spark, directory: build(StarTables(spark, directory), TEST_WINDOWS)
         return build
 
     return register
@@ -66,519 +58,507 @@ def entry_point(name: str):
 # Activation funnel ---------------------------------------------------------------
 
 
-def _cohort(t: StarTables) -> DataFrame:
+def _cohort(t: Tables, w: Windows) -> DataFrame:
     def build():
         # An account that starts later is as new as one that never does.
-        accounts = lifecycle.first_period(t.payments(until=UNTIL, customers=False), "account")
-        return funnel.activation_cohort(t.daily(), accounts, SINCE, UNTIL, FREQUENCIES)
+        payments = t.payments(until=w.until, customers=False, accounts=True)
+        accounts = lifecycle.first_period(payments, "account")
+        return funnel.activation_cohort(t.daily(), accounts, w.since, w.until, t.frequencies)
 
     return t.share("cohort", build)
 
 
-def _journeys(t: StarTables, events: bool = False, exclude: bool = True) -> DataFrame:
+def _journeys(t: Tables, w: Windows, events: bool = False, exclude: bool = True) -> DataFrame:
     def build():
-        seen = t.events().filter(F.col("ts") >= F.lit(EVENTS_SINCE)) if events else None
+        seen = t.events([INVITE, PAGE_VIEW], since=w.events_since) if events else None
         steps = funnel.milestones(funnel.memberships(t.leases()), t.tenants(), seen)
-        return funnel.journeys(_cohort(t), steps)
+        return funnel.journeys(_cohort(t, w), steps)
 
     rows = t.share("event_journeys" if events else "journeys", build)
     return funnel.exclude_retained_members(rows) if exclude else rows
 
 
-def _lease_payments(t: StarTables, until: date | None = None) -> DataFrame:
-    return t.payments(since=SINCE, until=until, customers=False)
+def _outcomes(t: Tables, w: Windows, windows: Sequence[tuple[int, int]], events: bool = False) -> DataFrame:
+    payments = t.payments(since=w.since, until=w.followed, customers=False, methods=None)
+    return funnel.lease_outcomes(_journeys(t, w, events), payments, w.attach_days, windows)
 
 
-@entry_point("c01_activation_kpi")
-def activation_kpi(t):
-    return funnel.activation_kpi(
-        funnel.lease_outcomes(_journeys(t), _lease_payments(t, FOLLOWED), ATTACH_DAYS, WINDOWS)
-    )
+@report_named("c01_activation_kpi")
+def activation_kpi(t: Tables, w: Windows) -> DataFrame:
+    return funnel.activation_kpi(_outcomes(t, w, w.outcome_windows))
 
 
-@entry_point("c02_event_funnel")
-def event_funnel(t):
-    return funnel.event_funnel(
-        funnel.lease_outcomes(_journeys(t, events=True), _lease_payments(t, FOLLOWED), ATTACH_DAYS, WINDOWS)
-    )
+@report_named("c02_event_funnel")
+def event_funnel(t: Tables, w: Windows) -> DataFrame:
+    return funnel.event_funnel(_outcomes(t, w, w.outcome_windows, events=True))
 
 
-@entry_point("c03_days_to_event")
-def days_to_event(t):
-    return funnel.days_to_event(_journeys(t), _lease_payments(t, CUTOFF), CUTOFF)
+@report_named("c03_days_to_event")
+def days_to_event(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(since=w.since, until=w.cutoff, customers=False)
+    return funnel.days_to_event(_journeys(t, w), payments, w.cutoff)
 
 
-@entry_point("c04_censored_transitions")
-def censored_transitions(t):
-    steps = funnel.step_dates(_journeys(t, events=True), _lease_payments(t, CUTOFF), CUTOFF)
-    return funnel.censored_transitions(steps, CUTOFF)
+@report_named("c04_censored_transitions")
+def censored_transitions(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(since=w.since, until=w.cutoff, customers=False)
+    steps = funnel.step_dates(_journeys(t, w, events=True), payments, w.cutoff)
+    return funnel.censored_transitions(steps, w.cutoff)
 
 
-@entry_point("c05_retained_members")
-def retained_members(t):
-    return funnel.retained_member_counts(_journeys(t, exclude=False))
+@report_named("c05_retained_members")
+def retained_members(t: Tables, w: Windows) -> DataFrame:
+    return funnel.retained_member_counts(_journeys(t, w, exclude=False))
 
 
 # Payer and lease retention -------------------------------------------------------
 
-COHORT_START, COHORT_END = date(1995, 1, 1), date(1996, 7, 1)
 
-
-def _retention(t: StarTables, first_methods=None, return_methods=None) -> DataFrame:
-    payments = t.payments(frequencies=FREQUENCIES)
+def _retention(t: Tables, w: Windows, first_methods=None, return_methods=None) -> DataFrame:
     return cohorts.retention_matrix(
-        payments, COHORT_START, COHORT_END, first_methods=first_methods, return_methods=return_methods
+        t.payments(recurring=True, methods=None), *w.cohorts, first_methods=first_methods, return_methods=return_methods
     )
 
 
-@entry_point("c06_retention_any")
-def retention_any(t):
-    return _retention(t)
+@report_named("c06_retention_any")
+def retention_any(t: Tables, w: Windows) -> DataFrame:
+    return _retention(t, w)
 
 
-@entry_point("c07_retention_ach")
-def retention_ach(t):
-    return _retention(t, [ACH], [ACH])
+@report_named("c07_retention_ach")
+def retention_ach(t: Tables, w: Windows) -> DataFrame:
+    return _retention(t, w, [ACH], [ACH])
 
 
-@entry_point("c08_retention_card")
-def retention_card(t):
-    return _retention(t, [CARD], [CARD])
+@report_named("c08_retention_card")
+def retention_card(t: Tables, w: Windows) -> DataFrame:
+    return _retention(t, w, [CARD], [CARD])
 
 
-@entry_point("c09_retention_ach_any_return")
-def retention_ach_any(t):
-    return _retention(t, [ACH])
+@report_named("c09_retention_ach_any_return")
+def retention_ach_any(t: Tables, w: Windows) -> DataFrame:
+    return _retention(t, w, [ACH])
 
 
-@entry_point("c10_retention_card_any_return")
-def retention_card_any(t):
-    return _retention(t, [CARD])
+@report_named("c10_retention_card_any_return")
+def retention_card_any(t: Tables, w: Windows) -> DataFrame:
+    return _retention(t, w, [CARD])
 
 
-@entry_point("c11_eligible_retention")
-def eligible_retention(t):
-    return cohorts.eligible_retention(
-        t.payments(), t.payments(frequencies=FREQUENCIES), t.daily(), COHORT_START, COHORT_END
-    )
+@report_named("c11_eligible_retention")
+def eligible_retention(t: Tables, w: Windows) -> DataFrame:
+    return cohorts.eligible_retention(t.payments(), t.payments(recurring=True), t.lease_status(), *w.eligible)
 
 
-@entry_point("c12_lease_retention")
-def lease_retention(t):
-    horizon = 7
-    end = BILLING_CYCLE.end_day(shift_month(BILLING_CYCLE.period_of(UNTIL), horizon))
-    return cohorts.contract_retention(_cohort(t), _lease_payments(t, end - timedelta(days=1)), horizon)
+def _lease_retention(t: Tables, w: Windows, last: date, cut: date | None = None) -> DataFrame:
+    until = BILLING_CYCLE.end_day(last) - timedelta(days=1)
+    payments = t.payments(since=w.since, until=until, customers=False)
+    return cohorts.contract_retention(_cohort(t, w), payments, last=cut)
 
 
-# First-time payers ---------------------------------------------------------------
+@report_named("c12_lease_retention")
+def lease_retention(t: Tables, w: Windows) -> DataFrame:
+    return _lease_retention(t, w, shift_month(BILLING_CYCLE.period_of(w.until), 7))
 
-LOOKBACK = date(1995, 3, 1)
-FIRST, LAST = date(1995, 1, 1), date(1997, 12, 1)
-TENURE = partial(tenure_label, "account_first", "period")
-AGE = partial(age_bucket, "account_start", "period")
+
+# First-time payers ---------------------------------------------------------------
 
 
-def _scoped_firsts(t: StarTables, keep=("lease_id",), cal=BILLING_CYCLE) -> DataFrame:
-    payments = t.payments(frequencies=FREQUENCIES)
-    return first_payers.first_payments(payments, ["created", "lease_id"], list(keep), cal=cal, last=LAST)
+def _scoped_firsts(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(recurring=True, methods=None)
+    return first_payers.first_payments(payments, ["created", "lease_id"], ["lease_id"], last=w.last)
 
 
-@entry_point("c13_payers_by_account_tenure")
-def payers_by_tenure(t):
-    payments = t.payments(since=LOOKBACK)
-    firsts = first_payers.first_payments(payments, [BILLING_CYCLE.period("created"), "account"], ["account"], last=LAST)
+@report_named("c13_payers_by_account_tenure")
+def payers_by_tenure(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(since=w.lookback, accounts=True).filter(F.col("account").isNotNull())
+    order = [BILLING_CYCLE.period("created"), "account"]
+    firsts = first_payers.first_payments(payments, order, ["account"], last=w.last)
     totals = first_payers.with_account_start(first_payers.account_totals(firsts), payments)
-    return first_payers.split_accounts(totals, TENURE(missing=None), "label", FIRST, LAST)
+    return first_payers.split_accounts(totals, TENURE(missing=None), "label", w.first, w.last)
 
 
-@entry_point("c14_method_by_account_tenure")
-def method_by_tenure(t):
-    payments = t.payments(since=LOOKBACK)
-    firsts = first_payers.first_payments(payments, ["created", "account"], ["account", "method"], last=LAST)
+@report_named("c14_method_by_account_tenure")
+def method_by_tenure(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(since=w.lookback, accounts=True).filter(F.col("account").isNotNull())
+    firsts = first_payers.first_payments(payments, ["created", "account"], ["account", "method"], last=w.last)
     totals = first_payers.with_account_start(first_payers.account_totals(firsts), payments)
-    return first_payers.split_accounts(totals, TENURE(missing=None), "label", FIRST, LAST, first_payers.method_measures())
+    measures = first_payers.method_measures()
+    return first_payers.split_accounts(totals, TENURE(missing=None), "label", w.first, w.last, measures)
+
+
+@report_named("c15_low_mix_batches")
+def low_mix_batches(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(since=w.lookback, accounts=True, named=True)
+    return first_payers.low_mix_batches(payments, w.batches_first, w.last, w.batch_max_rate, w.batch_min_size)
 
 
-@entry_point("c15_low_mix_batches")
-def low_mix_batches(t):
-    payments = t.payments(since=LOOKBACK, account="l_suppkey")
-    return first_payers.low_mix_batches(payments, date(1995, 2, 1), LAST, max_rate=0.34, min_size=4)
+def _activated_firsts(t: Tables, w: Windows) -> DataFrame:
+    return first_payers.with_activation(_scoped_firsts(t, w), t.daily(), t.frequencies)
 
 
-@entry_point("c16_activation_lag")
-def activation_lag(t):
-    firsts = first_payers.with_activation(_scoped_firsts(t), t.daily(), FREQUENCIES)
-    return first_payers.split(firsts, lag_bucket(first_payers.activation_lag()), "bucket", FIRST, LAST)
+@report_named("c16_activation_lag")
+def activation_lag(t: Tables, w: Windows) -> DataFrame:
+    bucket = lag_bucket(first_payers.activation_lag())
+    return first_payers.split(_activated_firsts(t, w), bucket, "bucket", w.first, w.last)
 
 
-@entry_point("c17_payers_by_lease_invoice_age")
-def payers_by_lease_age(t):
-    firsts = first_payers.with_activation(_scoped_firsts(t), t.daily(), FREQUENCIES)
+@report_named("c17_payers_by_lease_invoice_age")
+def payers_by_lease_age(t: Tables, w: Windows) -> DataFrame:
     known = invoice_age_label("lease_first_invoice", "activated")
     label = F.when(F.col("activated").isNull(), UNKNOWN).otherwise(known)
-    return first_payers.split(firsts, label, "label", FIRST, LAST)
+    return first_payers.split(_activated_firsts(t, w), label, "label", w.first, w.last)
 
 
-@entry_point("c18_payers_by_account_invoice_age")
-def payers_by_account_age(t):
-    firsts = first_payers.with_account_invoice(_scoped_firsts(t), t.daily())
+@report_named("c18_payers_by_account_invoice_age")
+def payers_by_account_age(t: Tables, w: Windows) -> DataFrame:
+    firsts = first_payers.with_account_invoice(_scoped_firsts(t, w), t.daily())
     label = invoice_age_label("account_first_invoice", "created", missing=UNKNOWN)
-    return first_payers.split(firsts, label, "label", FIRST, LAST)
+    return first_payers.split(firsts, label, "label", w.first, w.last)
 
 
-@entry_point("c19_adoption_trend")
-def adoption_trend(t):
-    return first_payers.adoption_trend(t.payments(since=LOOKBACK), FIRST, LAST)
+@report_named("c19_adoption_trend")
+def adoption_trend(t: Tables, w: Windows) -> DataFrame:
+    return first_payers.adoption_trend(t.payments(since=w.lookback), w.first, w.last)
 
 
-@entry_point("c20_first_payment_size")
-def first_payment_size(t):
-    firsts = first_payers.first_payments(t.payments(since=LOOKBACK), ["created", "cents"], ["cents"], last=LAST)
-    return first_payers.amount_stats(firsts, FIRST, LAST)
+@report_named("c20_first_payment_size")
+def first_payment_size(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(since=w.lookback)
+    firsts = first_payers.first_payments(payments, ["created", "cents"], ["cents"], last=w.last)
+    return first_payers.amount_stats(firsts, w.first, w.last)
 
 
 # Contribution and mix ------------------------------------------------------------
 
 
-def _detail(t: StarTables, last: date) -> DataFrame:
-    payments = t.payments(since=LOOKBACK, account="l_suppkey")
-    return mix.first_period_detail(payments, t.suppliers(), FIRST, last)
-
-
-@entry_point("c21_leave_one_out")
-def leave_one_out(t):
-    patterns = {"a": "supplier#00000000%", "b": "Supplier#00000001%"}
-    return mix.leave_one_out(_detail(t, date(1995, 4, 1)), patterns)
-
+def _detail(t: Tables, w: Windows, first: date, last: date) -> DataFrame:
+    payments = t.payments(since=w.lookback, accounts=True, named=True)
+    return mix.first_period_detail(payments, t.named_accounts(), first, last)
 
-@entry_point("c22_heavy_hitters")
-def heavy_hitters(t):
-    return report.ordered(mix.heavy_hitters(_detail(t, date(1995, 4, 1)), min_size=8), "period", "-payers")
 
+@report_named("c21_leave_one_out")
+def leave_one_out(t: Tables, w: Windows) -> DataFrame:
+    return mix.leave_one_out(_detail(t, w, *w.detail), dict(w.leave_out))
 
-@entry_point("c23_account_timeline")
-def account_timeline(t):
-    return mix.account_timeline(_detail(t, LAST), ["supplier#00000002%"])
 
+@report_named("c22_heavy_hitters")
+def heavy_hitters(t: Tables, w: Windows) -> DataFrame:
+    return report.ordered(mix.heavy_hitters(_detail(t, w, *w.detail), w.heavy_min_size), "period", "-payers")
 
-@entry_point("c24_mix_decomposition")
-def mix_decomposition(t):
-    return mix.mix_decomposition(t.payments(since=LOOKBACK), date(1995, 4, 1), date(2000, 12, 1))
 
+@report_named("c23_account_timeline")
+def account_timeline(t: Tables, w: Windows) -> DataFrame:
+    return mix.account_timeline(_detail(t, w, w.first, w.last), w.timeline)
 
-def _cycle_days(first: date, last: date) -> dict[str, date]:
-    """Inclusive day range of some billing cycles, for the scan."""
-    end = BILLING_CYCLE.end_day(last)
-    return {"since": BILLING_CYCLE.first_day(first), "until": date.fromordinal(end.toordinal() - 1)}
 
+@report_named("c24_mix_decomposition")
+def mix_decomposition(t: Tables, w: Windows) -> DataFrame:
+    return mix.mix_decomposition(t.payments(since=w.lookback), *w.mix)
 
-MAY = date(1997, 5, 1)
 
+@report_named("c25_volume_and_fee")
+def volume_and_fee(t: Tables, w: Windows) -> DataFrame:
+    return mix.volume_and_fee(t.payments(**inclusive_days(w.cycle, w.cycle), customers=False), w.cycle)
 
-@entry_point("c25_volume_and_fee")
-def volume_and_fee(t):
-    return mix.volume_and_fee(t.payments(**_cycle_days(MAY, MAY), customers=False), MAY)
 
-
-@entry_point("c26_churn_mix")
-def churn_mix(t):
-    march, april = date(1997, 3, 1), date(1997, 4, 1)
-    payments = t.payments(**_cycle_days(march, MAY), frequencies=FREQUENCIES)
+@report_named("c26_churn_mix")
+def churn_mix(t: Tables, w: Windows) -> DataFrame:
+    before, earlier = shift_month(w.cycle, -1), shift_month(w.cycle, -2)
+    payments = t.payments(**inclusive_days(earlier, w.cycle), recurring=True)
     return lifecycle.churn_mix(
         payments.filter(F.col("method").isin(CARD, ACH)),
         "customer_id",
         [
-            ("1 churned in May, April mix", april, False),
-            ("2 churned in April, March mix", march, False),
-            ("3 retained April to May", april, True),
+            (f"1 churned in {w.cycle:%B}, {before:%B} mix", before, False),
+            (f"2 churned in {before:%B}, {earlier:%B} mix", earlier, False),
+            (f"3 retained {before:%B} to {w.cycle:%B}", before, True),
         ],
     )
 
 
-@entry_point("c27_churn_series")
-def churn_series(t):
-    first, last = date(1996, 2, 1), date(1997, 12, 1)
-    payments = t.payments(**_cycle_days(first, last), customers=False)
-    return lifecycle.churn_series(payments, "lease_id", date(1996, 4, 1), last, keep=t.recurring_leases())
+@report_named("c27_churn_series")
+def churn_series(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(**inclusive_days(w.churn_since, w.churn[1]), customers=False, methods=None)
+    return lifecycle.churn_series(payments, "lease_id", *w.churn, keep=t.recurring_leases())
 
 
-@entry_point("c28_day_distribution")
-def day_distribution(t):
-    ranges = [(date(1996, 2, 1), date(1996, 4, 30)), (date(1997, 2, 1), date(1997, 4, 30))]
-    payments = t.payments(since=ranges[0][0], until=ranges[-1][1], frequencies=FREQUENCIES)
-    return rates.day_distribution(payments, ranges)
+@report_named("c28_day_distribution")
+def day_distribution(t: Tables, w: Windows) -> DataFrame:
+    since, until = min(w.day_ranges)[0], max(w.day_ranges)[1]
+    payments = t.payments(since=since, until=until, recurring=True, methods=None)
+    return rates.day_distribution(payments, w.day_ranges)
 
 
-@entry_point("c29_account_landings")
-def account_landings(t):
-    payments = t.payments(since=date(1995, 2, 1), customers=False)
-    return lifecycle.landings(payments, "account", FIRST, LAST)
+@report_named("c29_account_landings")
+def account_landings(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(since=w.landings_since, customers=False, accounts=True)
+    return lifecycle.landings(payments, "account", *w.landings)
 
 
-@entry_point("c30_new_active_leases")
-def new_active_leases(t):
-    activations = first_payers.activation_dates(t.daily(), FREQUENCIES)
-    return funnel.new_active_leases(activations, date(1996, 4, 1), date(1996, 9, 1))
+@report_named("c30_new_active_leases")
+def new_active_leases(t: Tables, w: Windows) -> DataFrame:
+    activations = first_payers.activation_dates(t.daily(), t.frequencies)
+    return funnel.new_active_leases(activations, *w.new_active)
 
 
-RATE_FIRST, RATE_LAST = date(1995, 2, 1), date(2001, 6, 1)
+@report_named("c31_return_rate")
+def return_rate(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(**inclusive_days(*w.rates), customers=False)
+    return rates.return_rate(payments, t.returns(), *w.rates)
 
 
-@entry_point("c31_return_rate")
-def return_rate(t):
-    payments = t.payments(**_cycle_days(RATE_FIRST, RATE_LAST), customers=False)
-    return rates.return_rate(payments, t.returns(), RATE_FIRST, RATE_LAST)
+# The two fee tiers reported on.
+TIERS = {"txn_25": Decimal("0.25"), "txn_40": Decimal("0.40")}
 
 
-@entry_point("c32_returns_by_tier")
-def returns_by_tier(t):
-    tiers = {"txn_25": Decimal("0.25"), "txn_40": Decimal("0.40")}
-    return rates.returns_by_tier(t.returns(), tiers, RATE_FIRST, RATE_LAST)
+@report_named("c32_returns_by_tier")
+def returns_by_tier(t: Tables, w: Windows) -> DataFrame:
+    return rates.returns_by_tier(t.returns(), TIERS, *w.rates)
 
 
 # Allocation ----------------------------------------------------------------------
 
-CHARGE_FIRST, CHARGE_LAST = date(1995, 4, 1), date(2000, 12, 1)
-
 
-@entry_point("c33_charge_allocation")
-def charge_allocation(t):
-    payments = t.payments(**_cycle_days(CHARGE_FIRST, CHARGE_LAST), customers=False)
-    charges = allocation.settled_charges(t.entries(), date(1995, 3, 1), t.accounts(), round_charges=True)
-    out = allocation.allocate(payments, charges, CHARGE_FIRST, CHARGE_LAST)
+@report_named("c33_charge_allocation")
+def charge_allocation(t: Tables, w: Windows) -> DataFrame:
+    entries_since, since, first, last = w.charges
+    payments = t.payments(since=since, until=inclusive_days(last, last)["until"], customers=False)
+    charges = allocation.settled_charges(t.entries(), entries_since, t.accounts(), round_charges=True)
+    out = allocation.allocate(payments, charges, first, last)
     # The parts are doubles whose sum depends on the order of addition in the last digits.
     return out.select("period", *[F.round(c, 4).alias(c) for c in out.columns if c != "period"])
 
 
-def _reactivated(t: StarTables, before_gap: bool) -> DataFrame:
-    charges = allocation.settled_charges(t.entries(), date(1995, 2, 1))
-    payments = t.payments(since=date(1995, 2, 20))
-    return allocation.reactivated_charges(payments, charges, CHARGE_FIRST, CHARGE_LAST, before_gap=before_gap)
+def _reactivated(t: Tables, w: Windows, before_gap: bool) -> DataFrame:
+    entries_since, since, first, last = w.reactivated_charges
+    charges = allocation.settled_charges(t.entries(), entries_since)
+    payments = t.payments(since=since, until=inclusive_days(last, last)["until"])
+    return allocation.reactivated_charges(payments, charges, first, last, before_gap=before_gap)
 
 
-@entry_point("c36_reactivated_charges")
-def reactivated_charges(t):
-    return _reactivated(t, before_gap=False)
+@report_named("c36_reactivated_charges")
+def reactivated_charges(t: Tables, w: Windows) -> DataFrame:
+    return _reactivated(t, w, before_gap=False)
 
 
-@entry_point("c37_charges_before_gap")
-def charges_before_gap(t):
-    return _reactivated(t, before_gap=True)
+@report_named("c37_charges_before_gap")
+def charges_before_gap(t: Tables, w: Windows) -> DataFrame:
+    return _reactivated(t, w, before_gap=True)
 
 
 # Coverage and reactivation -------------------------------------------------------
 
 
-@entry_point("c34_invite_coverage")
-def invite_coverage(t):
-    since, until = date(1995, 9, 1), date(1997, 5, 31)
-    active = coverage.active_accounts(t.daily(), since, until)
-    return coverage.coverage(
-        active, coverage.inviting_accounts(t.events([INVITE])), ["period", "account"], ["period", "label"]
-    )
+@report_named("c34_invite_coverage")
+def invite_coverage(t: Tables, w: Windows) -> DataFrame:
+    active = coverage.active_accounts(t.daily(), *w.coverage)
+    inviting = coverage.inviting_accounts(t.events([INVITE], *w.coverage))
+    return coverage.coverage(active, inviting, ["period", "account"], ["period", "label"])
 
 
-@entry_point("c35_reactivation_gaps")
-def reactivation_gaps(t):
-    payments = t.payments(since=date(1996, 1, 25), frequencies=FREQUENCIES)
-    return lifecycle.reactivation_gaps(payments, "customer_id", date(1996, 6, 1), date(1998, 5, 1))
+@report_named("c35_reactivation_gaps")
+def reactivation_gaps(t: Tables, w: Windows) -> DataFrame:
+    since, first, last = w.gaps
+    payments = t.payments(since=since, recurring=True, methods=None)
+    return lifecycle.reactivation_gaps(payments, "customer_id", first, last)
 
 
-@entry_point("c38_reactivation_series")
-def reactivation_series(t):
-    payments = t.payments(since=date(1995, 12, 25), frequencies=FREQUENCIES)
-    return lifecycle.reactivation_series(payments, "customer_id", date(1996, 2, 1), date(1999, 5, 1))
+@report_named("c38_reactivation_series")
+def reactivation_series(t: Tables, w: Windows) -> DataFrame:
+    since, first, last = w.seasonality
+    payments = t.payments(since=since, recurring=True, methods=None)
+    return lifecycle.reactivation_series(payments, "customer_id", first, last)
 
 
-@entry_point("c39_totals_with_rollup")
-def totals_with_rollup(t):
-    payments = t.payments(**_cycle_days(MAY, MAY), customers=False)
-    return report.ordered(mix.totals_with_rollup(payments, MAY, t.recurring_leases()), "-volume")
+@report_named("c39_totals_with_rollup")
+def totals_with_rollup(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(**inclusive_days(w.cycle, w.cycle), customers=False, methods=None)
+    return report.ordered(mix.totals_with_rollup(payments, w.cycle, t.recurring_leases()), "-volume")
 
 
 # Published results ---------------------------------------------------------------
 
-YEARS_LAST = date(2000, 12, 1)
 
+@report_named("r01_first_and_returning_mix")
+def population_mix(t: Tables, w: Windows) -> DataFrame:
+    return first_payers.population_mix(t.payments(), *w.history)
 
-@entry_point("r01_first_and_returning_mix")
-def population_mix(t):
-    return first_payers.population_mix(t.payments(), FIRST, YEARS_LAST)
 
+def _month_firsts(t: Tables, w: Windows) -> DataFrame:
+    def build():
+        order, keep = ["created", "account", "method"], ["account", "method", "cents"]
+        payments = t.payments(accounts=True)
+        return first_payers.first_payments(payments, order, keep, cal=CALENDAR_MONTH, last=w.last)
 
-def _month_firsts(t: StarTables) -> DataFrame:
-    order, keep = ["created", "account", "method"], ["account", "method", "cents"]
-    return t.share(
-        "month_firsts",
-        lambda: first_payers.first_payments(t.payments(), order, keep, cal=CALENDAR_MONTH, last=LAST),
-    )
+    return t.share("month_firsts", build)
 
 
-def _aged_totals(t: StarTables) -> DataFrame:
+def _aged_totals(t: Tables, w: Windows) -> DataFrame:
     starts = t.daily().groupBy("account").agg(F.min("account_first_invoice").alias("account_start"))
-    return first_payers.account_totals(_month_firsts(t)).join(starts, "account", "left")
+    return first_payers.account_totals(_month_firsts(t, w)).join(starts, "account", "left")
 
 
-@entry_point("r02_first_payers_by_account_age")
-def by_account_age(t):
-    return first_payers.split_accounts(_aged_totals(t), AGE(), "bucket", FIRST, LAST, first_payers.amount_measures())
+@report_named("r02_first_payers_by_account_age")
+def by_account_age(t: Tables, w: Windows) -> DataFrame:
+    measures = first_payers.amount_measures()
+    return first_payers.split_accounts(_aged_totals(t, w), AGE(), "bucket", w.first, w.last, measures)
 
 
-@entry_point("r03_first_payers_by_newness")
-def by_newness(t):
-    return first_payers.by_account_newness(_month_firsts(t), t.payments(customers=False), FIRST, LAST).drop("expansion")
+@report_named("r03_first_payers_by_newness")
+def by_newness(t: Tables, w: Windows) -> DataFrame:
+    payments = t.payments(customers=False, accounts=True)
+    return first_payers.by_account_newness(_month_firsts(t, w), payments, w.first, w.last).drop("expansion")
 
 
-@entry_point("r04_first_payers_and_accounts")
-def payers_and_accounts(t):
+@report_named("r04_first_payers_and_accounts")
+def payers_and_accounts(t: Tables, w: Windows) -> DataFrame:
     measures = first_payers.account_measures()
-    return first_payers.split_accounts(_aged_totals(t), AGE(), "bucket", FIRST, LAST, measures).drop("expansion")
+    return first_payers.split_accounts(_aged_totals(t, w), AGE(), "bucket", w.first, w.last, measures).drop("expansion")
 
 
-@entry_point("r05_first_payer_paths")
-def payer_paths(t):
-    payments = t.payments(frequencies=FREQUENCIES)
-    firsts = first_payers.first_payments(payments, ["created", "lease_id", "account"], ["lease_id", "account"], last=LAST)
-    firsts = first_payers.with_account_start(firsts, t.payments(customers=False))
-    firsts = first_payers.with_activation(firsts, t.daily(), FREQUENCIES)
-    return first_payers.payer_paths(firsts, FIRST, LAST, TENURE())
+@report_named("r05_first_payer_paths")
+def payer_paths(t: Tables, w: Windows) -> DataFrame:
+    order = ["created", "lease_id", "account"]
+    payments = t.payments(recurring=True, accounts=True, methods=None)
+    firsts = first_payers.first_payments(payments, order, ["lease_id", "account"], last=w.last)
+    firsts = first_payers.with_account_start(firsts, t.payments(customers=False, accounts=True))
+    firsts = first_payers.with_activation(firsts, t.daily(), t.frequencies)
+    return first_payers.payer_paths(firsts, w.first, w.last, TENURE())
 
 
-@entry_point("r06_invited_at_activation")
-def invited_at_activation(t):
-    rows = _journeys(t, events=True, exclude=False)
+@report_named("r06_invited_at_activation")
+def invited_at_activation(t: Tables, w: Windows) -> DataFrame:
+    rows = _journeys(t, w, events=True, exclude=False)
     return funnel.share_of_leases(rows, F.col("invited_at").cast("date") <= F.col("activated"), "invited")
 
 
-@entry_point("r07_activation_kpi_wide")
-def activation_kpi_wide(t):
-    windows = (*WINDOWS, RETAINED_WINDOW)
-    return funnel.activation_kpi_wide(
-        funnel.lease_outcomes(_journeys(t), _lease_payments(t, FOLLOWED), ATTACH_DAYS, windows)
-    )
+@report_named("r07_activation_kpi_wide")
+def activation_kpi_wide(t: Tables, w: Windows) -> DataFrame:
+    return funnel.activation_kpi_wide(_outcomes(t, w, (*w.outcome_windows, w.retained_window)))
 
 
-@entry_point("r08_attach_rate")
-def attach_rate(t):
-    rows = _journeys(t, exclude=False)
-    return funnel.share_of_leases(rows, funnel.near("activated", "accepted_at", ATTACH_DAYS), "attached")
+@report_named("r08_attach_rate")
+def attach_rate(t: Tables, w: Windows) -> DataFrame:
+    attached = funnel.near("activated", "accepted_at", w.attach_days)
+    return funnel.share_of_leases(_journeys(t, w, exclude=False), attached, "attached")
 
 
-@entry_point("r09_new_lease_eligibility")
-def new_lease_eligibility(t):
+@report_named("r09_new_lease_eligibility")
+def new_lease_eligibility(t: Tables, w: Windows) -> DataFrame:
     registered = F.col("accepted_at").cast("date") <= BILLING_CYCLE.last_day("cohort")
-    return funnel.share_of_leases(_journeys(t, exclude=False), registered, "eligible")
+    return funnel.share_of_leases(_journeys(t, w, exclude=False), registered, "eligible")
 
 
-@entry_point("r10_paid_accounts")
-def paid_accounts(t):
-    return lifecycle.first_and_returning(t.payments(customers=False), "account", FIRST, YEARS_LAST)
+@report_named("r10_paid_accounts")
+def paid_accounts(t: Tables, w: Windows) -> DataFrame:
+    return lifecycle.first_and_returning(t.payments(customers=False, accounts=True), "account", *w.history)
 
 
-def _states(t: StarTables) -> DataFrame:
+def _states(t: Tables, w: Windows) -> DataFrame:
     def build():
-        payments = t.payments(**_cycle_days(FIRST, LAST), customers=False)
+        payments = t.payments(**inclusive_days(w.first, w.last), customers=False, accounts=True)
         return coverage.active_and_paid(
-            coverage.active_leases(t.daily(), FIRST, LAST), coverage.paid_leases(payments, FIRST, LAST)
+            coverage.active_leases(t.daily(), w.first, w.last),
+            coverage.paid_leases(payments, w.first, w.last),
         )
 
     return t.share("states", build)
 
 
-@entry_point("r11_eligible_and_paid")
-def eligible_and_paid(t):
+@report_named("r11_eligible_and_paid")
+def eligible_and_paid(t: Tables, w: Windows) -> DataFrame:
     registered = funnel.milestones(funnel.memberships(t.leases()), t.tenants()).select("lease_id", "accepted_at")
     rule = F.col("accepted_at").cast("date") <= BILLING_CYCLE.last_day("period")
-    return coverage.eligible_share(_states(t), registered, rule)
+    return coverage.eligible_share(_states(t, w), registered, rule)
 
 
-@entry_point("r12_state_transitions")
-def state_transitions(t):
-    moves = coverage.state_transitions(_states(t), FIRST, LAST)
+@report_named("r12_state_transitions")
+def state_transitions(t: Tables, w: Windows) -> DataFrame:
+    moves = coverage.state_transitions(_states(t, w), w.first, w.last)
     return report.period_changes(moves, ["active", "paid", "paid_pct"])
 
 
-@entry_point("r13_paid_breakdown")
-def paid_breakdown(t):
-    return lifecycle.paid_breakdown(t.payments(customers=False), "lease_id", FIRST, YEARS_LAST)
+@report_named("r13_paid_breakdown")
+def paid_breakdown(t: Tables, w: Windows) -> DataFrame:
+    return lifecycle.paid_breakdown(t.payments(customers=False), "lease_id", *w.history)
 
 
-@entry_point("r14_paid_by_segment")
-def paid_by_segment(t):
-    return coverage.paid_share_by_segment(_states(t), t.accounts())
+@report_named("r14_paid_by_segment")
+def paid_by_segment(t: Tables, w: Windows) -> DataFrame:
+    return coverage.paid_share_by_segment(_states(t, w), t.accounts())
 
 
-@entry_point("r15_retention_heatmap")
-def retention_heatmap(t):
-    until = BILLING_CYCLE.end_day(LAST) - timedelta(days=1)
-    matrix = cohorts.contract_retention(_cohort(t), _lease_payments(t, until), last=LAST)
-    return cohorts.with_percentages(matrix)
+@report_named("r15_retention_heatmap")
+def retention_heatmap(t: Tables, w: Windows) -> DataFrame:
+    return cohorts.with_percentages(_lease_retention(t, w, w.last, cut=w.last))
 
 
-@entry_point("r16_paid_share")
-def paid_share(t):
-    return coverage.paid_share(_states(t))
+@report_named("r16_paid_share")
+def paid_share(t: Tables, w: Windows) -> DataFrame:
+    return coverage.paid_share(_states(t, w))
 
 
-@entry_point("r17_method_stickiness")
-def method_stickiness(t):
-    return cohorts.stickiness(t.payments(), FIRST, LAST)
+@report_named("r17_method_stickiness")
+def method_stickiness(t: Tables, w: Windows) -> DataFrame:
+    return cohorts.stickiness(t.payments(), w.first, w.last)
 
 
 # Report-time steps ---------------------------------------------------------------
 
 POPULATIONS = {"first_time": "first_time", "returning": "returning"}
+NEWNESS = {EXISTING_ACCOUNT: "existing", NEW_ACCOUNT: "new"}
 
 
-@entry_point("d01_report_series")
-def report_series(t):
-    return report.report_series(by_newness(t), "segment", "payers", {EXISTING_ACCOUNT: "existing", NEW_ACCOUNT: "new"}, LAST)
+@report_named("d01_report_series")
+def report_series(t: Tables, w: Windows) -> DataFrame:
+    return report.report_series(by_newness(t, w), "segment", "payers", NEWNESS, w.last)
 
 
-@entry_point("d02_stacked_total")
-def stacked_total(t):
-    series = report.report_series(population_mix(t), "population", "payers", POPULATIONS, date(2000, 6, 1))
+@report_named("d02_stacked_total")
+def stacked_total(t: Tables, w: Windows) -> DataFrame:
+    complete = shift_month(w.history[1], -6)
+    series = report.report_series(population_mix(t, w), "population", "payers", POPULATIONS, complete)
     return series.select("period", "total")
 
 
-@entry_point("d03_composition")
-def composition(t):
-    mart = by_account_age(t).select("period", "bucket", "payers")
-    return report.composition(mart, "bucket", "payers", FIRST, [AGE_UNKNOWN])
+@report_named("d03_composition")
+def composition(t: Tables, w: Windows) -> DataFrame:
+    mart = by_account_age(t, w).select("period", "bucket", "payers")
+    return report.composition(mart, "bucket", "payers", w.first, [AGE_UNKNOWN])
 
 
-def _paid_series(t: StarTables) -> DataFrame:
-    out = lifecycle.paid_breakdown(t.payments(), "customer_id", FIRST, YEARS_LAST)
-    return out.select("period", "paid")
+def _paid_series(t: Tables, w: Windows) -> DataFrame:
+    return lifecycle.paid_breakdown(t.payments(), "customer_id", *w.history).select("period", "paid")
 
 
-@entry_point("d04_year_over_year")
-def year_over_year(t):
-    return report.year_over_year(_paid_series(t), "paid")
+@report_named("d04_year_over_year")
+def year_over_year(t: Tables, w: Windows) -> DataFrame:
+    return report.year_over_year(_paid_series(t, w), "paid")
 
 
-@entry_point("d04_peak_period")
-def peak_period(t):
-    return report.peak(_paid_series(t), "paid")
+@report_named("d04_peak_period")
+def peak_period(t: Tables, w: Windows) -> DataFrame:
+    return report.peak(_paid_series(t, w), "paid")
 
 
-@entry_point("d05_expansion")
-def expansion(t):
-    return report.expansion(payers_and_accounts(t)).select("period", "bucket", "expansion")
+@report_named("d05_expansion")
+def expansion(t: Tables, w: Windows) -> DataFrame:
+    return report.expansion(payers_and_accounts(t, w)).select("period", "bucket", "expansion")
 
 
-@entry_point("d06_reconcile")
-def reconcile(t):
-    return report.reconcile(by_account_age(t), by_newness(t), "payers")
+@report_named("d06_reconcile")
+def reconcile(t: Tables, w: Windows) -> DataFrame:
+    return report.reconcile(by_account_age(t, w), by_newness(t, w), "payers")
 
 
-@entry_point("d06_mismatches")
-def mismatches(t):
-    two_methods = population_mix(t).filter(F.col("population") == "first_time")
-    return report.reconcile(by_newness(t), two_methods, "payers")
+@report_named("d06_mismatches")
+def mismatches(t: Tables, w: Windows) -> DataFrame:
+    two_methods = population_mix(t, w).filter(F.col("population") == "first_time")
+    return report.reconcile(by_newness(t, w), two_methods, "payers")
 
 
-@entry_point("d07_month_label")
-def labelled_series(t):
-    series = report.report_series(population_mix(t), "population", "payers", POPULATIONS, YEARS_LAST)
+@report_named("d07_month_label")
+def labelled_series(t: Tables, w: Windows) -> DataFrame:
+    series = report.report_series(population_mix(t, w), "population", "payers", POPULATIONS, w.history[1])
     return report.with_label(series).select("period", "label", "first_time", "returning", "total")

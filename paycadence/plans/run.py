@@ -11,31 +11,17 @@ not a recomputation of the history behind it.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from ..session import session
+from ..sources.base import Tables
 from ..sources.marts import read_csv, write_bundle, write_csv
 from ..sources.tables import StarTables
 from .reports import BUILDERS
-
-
-class StoredTables(StarTables):
-    """Adapters that store shared frames in a folder the first time they are used."""
-
-    def __init__(self, spark: SparkSession, directory: str, folder: str):
-        super().__init__(spark, directory)
-        self.folder = folder
-        self._stored: dict[str, DataFrame] = {}
-
-    def share(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if name not in self._stored:
-            df, path = build(), f"{self.folder}/{name}"
-            df.write.mode("overwrite").parquet(path)
-            self._stored[name] = self.spark.read.schema(df.schema).parquet(path)
-        return self._stored[name]
+from .windows import TEST_WINDOWS, Windows
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,12 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/paycadence-{uuid4().hex}"
 
 
-def run(spark: SparkSession, directory: str, out: str, names: Sequence[str] = ()) -> list[str]:
+def run(tables: Tables, windows: Windows, out: str, names: Sequence[str] = ()) -> list[str]:
     """Writes each report to ``out/csv/NAME`` and ``out/json/dataset=NAME``; returns the names."""
-    tables = StoredTables(spark, directory, shared_folder(spark))
+    spark = tables.spark
+    tables.folder = shared_folder(spark)
     names = list(names) or sorted(BUILDERS)
     for name in names:
-        report = BUILDERS[name](tables)
+        report = BUILDERS[name](tables, windows)
         write_csv(report, f"{out}/csv/{name}")
         # Reports are small: reading the finished rows back is cheaper than computing them again.
         finished = read_csv(spark, f"{out}/csv/{name}", report.schema)
@@ -60,4 +47,4 @@ def run(spark: SparkSession, directory: str, out: str, names: Sequence[str] = ()
 
 
 if __name__ == "__main__":
-    run(session(), sys.argv[1], sys.argv[2], sys.argv[3:])
+    run(StarTables(session(), sys.argv[1]), TEST_WINDOWS, sys.argv[2], sys.argv[3:])

@@ -7,13 +7,16 @@ text become booleans, identifiers become strings, and semi-structured columns
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import date
+from collections.abc import Mapping, Sequence
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .base import Tables
+from .canonical import ALL_METHODS, FREQUENCIES
+
 # Schemas of the semi-structured columns when they are stored as JSON text.
 TENANT_LIST = "array<struct<tenant: string>>"
 PORTAL = "struct<invitationAcceptedAt: string, invitationLastSentAt: string>"
@@ -41,21 +44,19 @@ def in_cents(amount: Column | str) -> Column:
 
 def payments(
     raw: DataFrame,
-    entries: DataFrame | None = None,
     since: date | None = None,
+    until: date | None = None,
     methods: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Positive payments; with ``entries`` (canonical) the account of the ledger entry is added.
-
-    The join keeps payments without an entry: their account is null. ``methods`` keeps
-    payments of these types, without regard to case.
-    """
+    """Positive payments between two days; ``methods`` keeps these types, without regard to case."""
     df = raw.filter(F.col("amounttotransfer") > 0)
     if methods is not None:
         df = df.filter(F.lower("type").isin(*methods))
     if since is not None:
         df = df.filter(F.col("created") >= F.lit(since))
-    df = df.select(
+    if until is not None:
+        df = df.filter(F.col("created") < F.lit(until + timedelta(days=1)))
+    return df.select(
         F.col("customer_id").cast("string"),
         F.col("lease_id").cast("string"),
         F.col("je_id").cast("string"),
@@ -64,9 +65,11 @@ def payments(
         F.col("fee").cast("decimal(18,4)"),
         F.col("created").cast("date"),
     )
-    if entries is None:
-        return df
-    return df.join(entries.select(F.col("entry_id").alias("je_id"), "account"), "je_id", "left")
+
+
+def with_accounts(payments: DataFrame, entries: DataFrame) -> DataFrame:
+    """Adds the account of the ledger entry; null for payments without an entry."""
+    return payments.join(entries.select(F.col("entry_id").alias("je_id"), "account"), "je_id", "left")
 
 
 def returns(raw: DataFrame) -> DataFrame:
@@ -140,9 +143,13 @@ def accounts(raw: DataFrame, segment: str | None = None) -> DataFrame:
     )
 
 
-def events(raw: DataFrame, names: list[str], since: date, until: date | None = None) -> DataFrame:
+def events(
+    raw: DataFrame, names: Sequence[str], since: date | None = None, until: date | None = None
+) -> DataFrame:
     """Product events by name and time; properties are read as text, so a JSON null is null."""
-    df = raw.filter(F.col("event").isin(*names) & (F.col("timestamp") >= F.lit(since)))
+    df = raw.filter(F.col("event").isin(*names))
+    if since is not None:
+        df = df.filter(F.col("timestamp") >= F.lit(since))
     if until is not None:
         df = df.filter(F.col("timestamp") < F.date_add(F.lit(until), 1))
 
@@ -167,3 +174,65 @@ def on_leases(payments: DataFrame, leases: DataFrame, frequencies) -> DataFrame:
     """Payments on leases with one of the rent frequencies."""
     keep = leases.filter(F.col("frequency").isin(*frequencies)).select("lease_id")
     return payments.join(keep, "lease_id", "left_semi")
+
+
+class LandedTables(Tables):
+    """Adapters over landed warehouse tables, given by role.
+
+    Roles: payments, returns, daily, leases, tenants, entries, accounts, events, and
+    optionally lease_status. Roles that no wanted report needs may be left out.
+    """
+
+    frequencies = FREQUENCIES
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        raw: Mapping[str, DataFrame],
+        segment: str | None = None,
+    ):
+        super().__init__(spark)
+        self.raw = raw
+        self.segment = segment
+
+    def payments(
+        self,
+        since: date | None = None,
+        until: date | None = None,
+        recurring: bool = False,
+        customers: bool = True,
+        accounts: bool = False,
+        named: bool = False,
+        methods: Sequence[str] | None = ALL_METHODS,
+    ) -> DataFrame:
+        """The payer is stored with the payment; the account comes from the ledger entry if asked for."""
+        df = payments(self.raw["payments"], since, until, methods)
+        if recurring:
+            df = on_leases(df, self.leases(), self.frequencies)
+        return with_accounts(df, self.entries()) if accounts else df
+
+    def daily(self) -> DataFrame:
+        return daily(self.raw["daily"])
+
+    def lease_status(self) -> DataFrame:
+        if "lease_status" in self.raw:
+            return lease_status(self.raw["lease_status"])
+        return super().lease_status()
+
+    def leases(self) -> DataFrame:
+        return leases(self.raw["leases"])
+
+    def tenants(self) -> DataFrame:
+        return tenants(self.raw["tenants"])
+
+    def entries(self) -> DataFrame:
+        return entries(self.raw["entries"])
+
+    def accounts(self) -> DataFrame:
+        return accounts(self.raw["accounts"], self.segment)
+
+    def events(self, names: Sequence[str], since: date | None = None, until: date | None = None) -> DataFrame:
+        return events(self.raw["events"], names, since, until)
+
+    def returns(self) -> DataFrame:
+        return returns(self.raw["returns"])

@@ -6,13 +6,14 @@ stored timestamp column, so both reach the parquet scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .canonical import ACH, ACTIVE, CARD, CASH, INVITE, PAGE_VIEW, PAYMENT_ENTRY
+from .base import Tables
+from .canonical import ACH, ACTIVE, ALL_METHODS, CARD, CASH, INVITE, PAGE_VIEW, PAYMENT_ENTRY
 
 # The priorities that stand for the four recurring rent frequencies.
 FREQUENCIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
@@ -46,11 +47,13 @@ def _day_range(column: str, since: date | None, until: date | None) -> list[Colu
     return out
 
 
-class StarTables:
+class StarTables(Tables):
     """Adapters over one directory of parquet tables."""
 
+    frequencies = FREQUENCIES
+
     def __init__(self, spark: SparkSession, directory: str):
-        self.spark = spark
+        super().__init__(spark)
         self.directory = directory
         self._tables: dict[str, DataFrame] = {}
 
@@ -61,23 +64,17 @@ class StarTables:
             self._tables[name] = reader.parquet(f"{self.directory}/{name}.parquet")
         return self._tables[name]
 
-    def share(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A frame that several reports use; a run of many reports may store it once."""
-        return build()
-
     def payments(
         self,
         since: date | None = None,
         until: date | None = None,
-        frequencies: Sequence[str] | None = None,
+        recurring: bool = False,
         customers: bool = True,
-        account: str = "l_partkey",
+        accounts: bool = False,
+        named: bool = False,
+        methods: Sequence[str] | None = ALL_METHODS,
     ) -> DataFrame:
-        """Positive payments between two days, both included.
-
-        ``account`` names the column that stands for the paid account. The payer comes from ``orders``; pass ``customers=False`` to skip that join.
-        ``frequencies`` keeps payments on leases with one of these rent frequencies.
-        """
+        """The payer and the rent frequency come from ``orders``; accounts are parts, or suppliers if ``named``."""
         lines = self.read("lineitem")
         for condition in _day_range("l_shipdate", since, until):
             lines = lines.filter(condition)
@@ -86,7 +83,7 @@ class StarTables:
         lines = lines.filter(F.col("l_extendedprice") > 0).select(
             F.col("l_orderkey").alias("lease_id"),
             F.col("l_orderkey").alias("je_id"),
-            F.col(account).alias("account"),
+            F.col("l_suppkey" if named else "l_partkey").alias("account"),
             F.when(F.col("l_returnflag") == "A", CARD)
             .when(F.col("l_returnflag") == "R", ACH)
             .otherwise(CASH)
@@ -95,18 +92,17 @@ class StarTables:
             fee.cast("decimal(18,4)").alias("fee"),
             F.col("l_shipdate").cast("date").alias("created"),
         )
-        if not customers and frequencies is None:
+        # The stored flags stand for the three methods and nothing else.
+        if methods is not None and set(methods) < set(ALL_METHODS):
+            lines = lines.filter(F.col("method").isin(*methods))
+        if not customers and not recurring:
             return lines
         orders = self.read("orders")
-        if frequencies is not None:
-            orders = orders.filter(F.col("o_orderpriority").isin(*frequencies))
+        if recurring:
+            orders = orders.filter(F.col("o_orderpriority").isin(*self.frequencies))
         orders = orders.select(F.col("o_orderkey").alias("lease_id"), F.col("o_custkey").alias("customer_id"))
         return lines.join(orders, "lease_id", "inner")
 
-    def recurring_leases(self, frequencies: Sequence[str] = FREQUENCIES) -> DataFrame:
-        """lease_id of leases with one of the rent frequencies."""
-        return self.leases().filter(F.col("frequency").isin(*frequencies)).select("lease_id")
-
     def daily(self) -> DataFrame:
         """Lease snapshots, one per month from activation, 1 to 12 of them."""
         key = F.col("o_orderkey")
@@ -174,8 +170,7 @@ class StarTables:
             charges.alias("charges"),
         )
 
-    def suppliers(self) -> DataFrame:
-        """Accounts of payments read with ``account="l_suppkey"``."""
+    def named_accounts(self) -> DataFrame:
         return self.read("supplier").select(
             F.col("s_suppkey").alias("account"),
             F.col("s_name").alias("name"),
@@ -198,12 +193,12 @@ class StarTables:
     def _property(self) -> Column:
         return F.get_json_object("props", "$.k").cast("int")
 
-    def events(self, names: Sequence[str] = (INVITE, PAGE_VIEW)) -> DataFrame:
+    def events(self, names: Sequence[str], since: date | None = None, until: date | None = None) -> DataFrame:
         """Product events; recipient, account and origin are read from the JSON properties."""
         stored = {INVITE: "view", PAGE_VIEW: "click"}
         k = F.col("_k")
         recipient = F.col("user_id") * 10 + k % 10
-        return (
+        rows = (
             self.read("events")
             .filter(F.col("event_type").isin(*[stored[n] for n in names]))
             .withColumn("_k", self._property())
@@ -218,6 +213,9 @@ class StarTables:
                 F.when(k < 90, "TENANT").otherwise("OWNER").alias("sent_to_type"),
             )
         )
+        for condition in _day_range("ts", since, until):
+            rows = rows.filter(condition)
+        return rows
 
     def returns(self) -> DataFrame:
         """Returned payments with their fee tier."""
