@@ -206,29 +206,28 @@ def stickiness(
         payments.filter(F.col("method").isin(*CARD_OR_ACH) & cal.up_to("created", last)),
         key,
         [
-            flag(F.col("method") == CARD).alias("card"),
-            flag(F.col("method") == ACH).alias("ach"),
-            F.min(F.struct("created", "method")).alias("_earliest"),
+            F.min(F.when(F.col("method") == CARD, F.col("created"))).alias("card_day"),
+            F.min(F.when(F.col("method") == ACH, F.col("created"))).alias("ach_day"),
         ],
         cal,
     )
+    card, ach = F.col("card_day").isNotNull(), F.col("ach_day").isNotNull()
+    # The method of the earliest day; card if both were used on it.
+    earliest = F.when(card & (~ach | (F.col("card_day") <= F.col("ach_day"))), CARD).otherwise(ACH)
     w = Window.partitionBy(key).orderBy("period")
     rows = (
         activity.withColumns(
-            {
-                "first": F.first("period").over(w),
-                "first_method": F.first("_earliest.method").over(w),
-            }
+            {"first": F.first("period").over(w), "first_method": F.first(earliest).over(w)}
         )
         .filter(between("first", start, last))
         .withColumn("offset", month_diff("first", "period"))
         .filter(F.col("offset") <= horizon)
     )
-    other = F.when(F.col("first_method") == CARD, F.col("ach")).otherwise(F.col("card"))
+    other = F.when(F.col("first_method") == CARD, ach).otherwise(card)
     cells = rows.groupBy("first_method", "first", "offset").agg(
         F.count("*").alias("active"),
-        F.count_if(other == 0).alias("stuck"),
-        F.count_if(other == 1).alias("switched"),
+        F.count_if(~other).alias("stuck"),
+        F.count_if(other).alias("switched"),
     )
     # A cohort's size (its cell at offset 0) is observable at every offset that has ended.
     reach = F.least(F.lit(horizon), month_diff("first", F.lit(last)))

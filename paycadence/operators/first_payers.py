@@ -32,11 +32,12 @@ def first_payments(
     does not depend on how rows are distributed. The minimum is taken per task
     before the shuffle, so a payer with very many payments moves few rows.
     """
-    ranks = [(F.col(o) if isinstance(o, str) else o).alias(f"_{i}") for i, o in enumerate(order)]
     columns = list(dict.fromkeys(["created", *keep]))
     if last is not None:
         payments = payments.filter(cal.up_to("created", last))
-    pick = F.min(F.struct(*ranks, *columns)).alias("_f")
+    ranks = [F.col(o) if isinstance(o, str) else o.alias(f"_{i}") for i, o in enumerate(order)]
+    rest = [c for c in columns if c not in [o for o in order if isinstance(o, str)]]
+    pick = F.min(F.struct(*ranks, *rest)).alias("_f")
     picked = payments.filter(F.col(key).isNotNull()).groupBy(key).agg(pick)
     return picked.select(
         key, *[F.col(f"_f.{c}").alias(c) for c in columns], cal.period("_f.created").alias("period")
