@@ -4,22 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, rules, toxicity
+from . import fingerprints, packing, pii, quality, rules, sharding, toxicity
 from .common import table
 
 
+def vocabulary() -> str:
+    """Where the public word tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_quality_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edits(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept n_covered_words longest_repeat"
     return rules.apply_rules(table(spark, sf_dir, "documents")).select(*columns.split())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_additive, op5_toxicity_bags, op10_suffix_repetition)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_additive,
+        op2_personal_data,
+        op5_toxicity_bags,
+        op6_sum_of_squares_packing,
+        op7_minimax_shards,
+        op8_multiset_fingerprints,
+        op10_suffix_repetition,
+    )
+}
 ORACLES: dict[str, str] = {}
