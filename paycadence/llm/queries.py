@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, pii, quality, rules, sharding, toxicity
+from . import fingerprints, mixing, neardup, packing, pii, quality, rules, sharding, toxicity
 from .common import table
 
 
@@ -23,6 +23,12 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    names = {"__block": "block", "__slot": "slot", "__release": "release", "__deadline": "deadline", "__position": "position"}
+    return mixed.withColumnsRenamed(names)
+
+
 def op5_toxicity_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +45,10 @@ def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edits(table(spark, sf_dir, "documents"))
 
 
+def op9_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept n_covered_words longest_repeat"
     return rules.apply_rules(table(spark, sf_dir, "documents")).select(*columns.split())
@@ -49,10 +59,12 @@ QUERIES = {
     for f in (
         op1_quality_additive,
         op2_personal_data,
+        op4_pfair_mix,
         op5_toxicity_bags,
         op6_sum_of_squares_packing,
         op7_minimax_shards,
         op8_multiset_fingerprints,
+        op9_bag_minhash,
         op10_suffix_repetition,
     )
 }
