@@ -1,26 +1,55 @@
-"""Cleans and packs a corpus: each stage is one operator over what the stage before it kept."""
+"""Cleans, mixes and packs a corpus: each stage is one operator over all that the stage before it kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paycadence.llm import quality
+from paycadence.llm import mixing, neardup, packing, pii, quality
 from paycadence.llm.common import table, texts
+from paycadence.llm.queries import vocabulary
 
 THRESHOLD = 0.7
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the additive model scores at least THRESHOLD; learnt from this stage's own input."""
+    """Documents that the additive model scores at least THRESHOLD; it learns from this stage's own input."""
     model = quality.train(texts(docs), table(spark, sf_dir, "labels"))
     return quality.scored(docs, model, "text", "__score").filter(f"__score >= {THRESHOLD}").drop("__score")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", good_quality)]
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return neardup.deduplicate(docs)
 
-#: No stage but the first could be told in SQL.
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data masked; n_chars follows."""
+    model = pii.train(texts(docs))
+    return docs.withColumn("text", pii.masked(model, F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same rows in the order of the Pfair mix: files, and rows in each, follow the schedule."""
+    return mixing.mix(docs).repartitionByRange("__position").sortWithinPartitions("__position").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and their place in it."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality),
+    ("near_duplicates", without_near_duplicates),
+    ("personal_data", without_personal_data),
+    ("mix", mixed_sources),
+    ("pack", packed),
+]
+
+#: Trained scores, signatures and packing have no SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -190,23 +190,45 @@ def candidate_links(bands: DataFrame, block: int = 1_000) -> DataFrame:
     )
 
 
-def classes(
-    docs: DataFrame, similarity: float = 0.8, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """doc_id and class_id (the least id of its class) of every row."""
+def _labelled(docs: DataFrame, similarity: float, words: int, bands: int, rows: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their text's hash (doc_id, e1, e2), and each distinct text's least id and class (k1, k2, id, class_id)."""
     small_batches(docs.sparkSession)
     every = texts(docs, doc_id, text)
-    equal = [F.xxhash64("text").alias("e1"), F.xxhash64(F.lit(7), "text").alias("e2")]
-    signed = kept(every.select("doc_id", *equal, _bands(words, bands, rows)("text").alias("bands")))
+    signed = kept(every.select("doc_id", *_equal("text"), _bands(words, bands, rows)("text").alias("bands")))
     alike = kept(signed.groupBy("e1", "e2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     exploded = alike.filter("id is not null").select("id", F.explode("bands").alias("key"))
     pairs = kept(candidate_links(exploded))
     links = kept(verified(every, pairs, similarity, words).select("a", "b"))
     roots = components(links)
     of = alike.select("e1", "e2", "id").join(roots, F.col("id") == F.col("node"), "left")
-    of = of.select(F.col("e1").alias("k1"), F.col("e2").alias("k2"), F.coalesce("root", "id").alias("class_id"))
-    placed = signed.select("doc_id", "e1", "e2").join(of, (F.col("e1") == F.col("k1")) & (F.col("e2") == F.col("k2")))
-    return placed.select("doc_id", "class_id")
+    return signed.select("doc_id", "e1", "e2"), of.select(
+        F.col("e1").alias("k1"), F.col("e2").alias("k2"), "id", F.coalesce("root", "id").alias("class_id")
+    )
+
+
+def _equal(text: str, mark: str = "") -> list:
+    """128 bits that equal texts share."""
+    return [F.xxhash64(text).alias(f"{mark}e1"), F.xxhash64(F.lit(7), text).alias(f"{mark}e2")]
+
+
+def classes(
+    docs: DataFrame, similarity: float = 0.8, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """doc_id and class_id (the least id of its class) of every row."""
+    signed, of = _labelled(docs, similarity, words, bands, rows, doc_id, text)
+    return signed.join(of, (F.col("e1") == F.col("k1")) & (F.col("e2") == F.col("k2"))).select("doc_id", "class_id")
+
+
+def deduplicate(
+    docs: DataFrame, similarity: float = 0.8, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """All columns of one row of each class: the one of the least id (any of its repeated rows)."""
+    _, of = _labelled(docs, similarity, words, bands, rows, doc_id, text)
+    first = of.filter(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("k1"), F.col("k2"), F.col("id").alias("__id"))
+    marked = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    marked = marked.select("*", *_equal("__text", "__")).drop("__text")
+    same = (F.col("__e1") == F.col("k1")) & (F.col("__e2") == F.col("k2")) & F.col(doc_id).eqNullSafe(F.col("__id"))
+    return marked.join(first, same, "left_semi").dropDuplicates(["__e1", "__e2"]).drop("__e1", "__e2")
 
 
 def verified(every: DataFrame, pairs: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, neardup, packing, pii, quality, rules, sharding, toxicity
+from . import fingerprints, mixing, neardup, packing, pii, quality, repeats, rules, sharding, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op3_sampled_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_bytes(table(spark, sf_dir, "documents"))
+
+
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     names = {"__block": "block", "__slot": "slot", "__release": "release", "__deadline": "deadline", "__position": "position"}
@@ -59,6 +63,7 @@ QUERIES = {
     for f in (
         op1_quality_additive,
         op2_personal_data,
+        op3_sampled_suffix_repeats,
         op4_pfair_mix,
         op5_toxicity_bags,
         op6_sum_of_squares_packing,
