@@ -55,7 +55,9 @@ EXISTING_ACCOUNT = "Existing account (paid before)"
 
 
 def newness_label(account_first, period) -> Column:
-    return F.when(as_column(account_first) == as_column(period), NEW_ACCOUNT).otherwise(EXISTING_ACCOUNT)
+    """``Unknown`` without an account."""
+    first = as_column(account_first)
+    return F.when(first.isNull(), AGE_UNKNOWN).when(first == as_column(period), NEW_ACCOUNT).otherwise(EXISTING_ACCOUNT)
 
 
 def lag_bucket(months: Column | str) -> Column:
@@ -69,14 +71,6 @@ def lag_bucket(months: Column | str) -> Column:
     )
 
 
-def path_label(months: Column | str) -> Column:
-    """First payment in the activation period, after an earlier one, before it, or unknown."""
-    m = as_column(months)
-    return (
-        F.when(m.isNull(), UNKNOWN).when(m == 0, "same").when(m > 0, "earlier").otherwise("later")
-    )
-
-
 def skip_bucket(gap: Column | str) -> Column:
     """Periods skipped before a reactivation (gap 2 = one skipped)."""
     g = as_column(gap)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import BILLING_CYCLE, BillingCalendar, month_diff
-from ..functions.ratios import currency, money_pct, pct, ratio, sum_if
+from ..functions.ratios import currency, money_pct, pct, sum_if
 from ..sources.canonical import CARD_OR_ACH, PAYMENT_ENTRY
 from .lifecycle import between, lifecycle
 
@@ -91,6 +91,14 @@ BEFORE_GAP_FOR = (
 )
 
 
+_PART = "CASE WHEN total <> 0 THEN (CAST(cents AS DECIMAL(14,0)) * CAST(charged AS DECIMAL(14,0)) * 10000) div total END"
+
+
+def payer_entries(payments: DataFrame, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
+    """Payments per payer, entry and period, for ``reactivated_charges``."""
+    return _by_entry(payments, cal, "customer_id")
+
+
 def _by_entry(payments: DataFrame, cal: BillingCalendar, *keys: str) -> DataFrame:
     return (
         payments.filter(F.col("method").isin(*CARD_OR_ACH))
@@ -108,37 +116,38 @@ def allocate(
 ) -> DataFrame:
     """Payments split pro rata over the charges of their entry, by offset of the due month.
 
-    An entry whose charges add up to zero allocates nothing.
+    An entry whose charges add up to zero allocates nothing. Parts are whole
+    ten-thousandths of a cent (the rest is cut off), so sums don't depend on their order.
     """
     total = F.sum("charged").over(Window.partitionBy("entry_id"))
-    shares = charges.select("entry_id", "due_month", ratio("charged", total).alias("share"))
+    shares = charges.select("entry_id", "due_month", "charged", total.alias("total"))
     paid = _by_entry(payments.filter(cal.within("created", first, last)), cal)
     rows = paid.join(shares, paid["je_id"] == shares["entry_id"]).select(
         "period",
         month_diff("period", "due_month").alias("offset"),
-        (currency("cents") * F.col("share")).alias("part"),
+        F.expr(_PART).cast("decimal(28,0)").alias("part"),
     )
     return rows.groupBy("period").agg(
-        F.sum("part").alias("allocated"), *_shares(F.col("offset"), F.col("part"), PAID_FOR)
+        (F.sum("part").cast("double") / F.lit(1e6)).alias("allocated"),
+        *_shares(F.col("offset"), F.col("part"), PAID_FOR),
     )
 
 
 def reactivated_charges(
-    payments: DataFrame,
+    by_entry: DataFrame,
     charges: DataFrame,
     first: date,
     last: date,
     gap: int = 2,
     before_gap: bool = False,
-    cal: BillingCalendar = BILLING_CYCLE,
 ) -> DataFrame:
     """Charges settled by payers returning after a gap, by offset of the due month.
 
+    ``by_entry`` is the result of ``payer_entries``; both directions can share it.
     By default the payments of the returning period are looked at; with ``before_gap``
     those of the last period before the gap, still reported by returning period.
     Charges count in full, once per payment on their entry.
     """
-    by_entry = _by_entry(payments, cal, "customer_id")
     life = lifecycle(by_entry.select("customer_id", "period").distinct(), "customer_id")
     returning = life.filter((F.col("gap") == gap) & between("period", first, last)).select(
         "customer_id",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,13 +26,15 @@ def coverage(active: DataFrame, acting: DataFrame, on: Sequence[str], by: Sequen
     """Active entities, those that acted, and the percentage, by group.
 
     ``active`` holds one row per entity and period; ``acting`` is reduced to ``on``.
+    An unknown entity (a null in ``on``) isn't counted.
     """
     on, by = list(on), list(by)
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in on])
     acted = acting.groupBy(*on).agg(F.lit(1).alias("_acted"))
     return (
         active.join(acted, on, "left")
         .groupBy(*by)
-        .agg(F.count("*").alias("active"), F.count("_acted").alias("acting"))
+        .agg(F.count_if(known).alias("active"), F.count_if(known & F.col("_acted").isNotNull()).alias("acting"))
         .withColumn("pct", pct("acting", "active"))
     )
 
@@ -68,8 +71,19 @@ def inviting_accounts(events: DataFrame, cal: BillingCalendar = CALENDAR_MONTH)
     return period_activity(events.filter(sent), "account", cal=cal, day="ts")
 
 
-def active_leases(daily: DataFrame, first: date, last: date, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
-    """(lease_id, period, account): leases with an active day in the period."""
+def active_leases(
+    daily: DataFrame, first: date, last: date, cal: BillingCalendar = BILLING_CYCLE, at_cutoff: bool = False
+) -> DataFrame:
+    """(lease_id, period, account): leases with an active day in the period.
+
+    With ``at_cutoff``, leases that are active in their latest snapshot of the period,
+    which is the stock on its last day where snapshots are daily.
+    """
+    if at_cutoff:
+        latest = F.max(F.struct("snapshot_date", (F.col("status") == ACTIVE).alias("active"), "account")).alias("_s")
+        rows = daily.filter(cal.within("snapshot_date", first, last))
+        ends = period_activity(rows, "lease_id", [latest], cal, "snapshot_date").filter("_s.active")
+        return ends.select("lease_id", "period", F.col("_s.account").alias("account"))
     rows = daily.filter((F.col("status") == ACTIVE) & cal.within("snapshot_date", first, last))
     return period_activity(rows, "lease_id", [F.max("account").alias("account")], cal, "snapshot_date")
 
@@ -161,7 +175,7 @@ _MOVES = {
 }
 
 
-def state_transitions(states: DataFrame, first: date, last: date) -> DataFrame:
+def state_transitions(states: DataFrame, first: date, last: date, firsts: DataFrame | None = None) -> DataFrame:
     """Waterfall of active leases from one period to the next.
 
     Active leases are paid or unpaid in a period and absent otherwise. Counts per
@@ -169,12 +183,16 @@ def state_transitions(states: DataFrame, first: date, last: date) -> DataFrame:
     before, and first-time paid. The first period has no period before, so everything in
     it is new. ``paid_inactive`` are paid leases outside the active set, which close
     the balance: paid = retained_paid + converted + new_paid + paid_inactive. A lease is
-    first-time paid in the first period it is paid in ``states``.
+    first-time paid in its period in ``firsts`` (lease_id, first), which may reach back
+    further than ``states``; without it, in the first period it is paid in ``states``.
     """
     w = Window.partitionBy("lease_id").orderBy("period")
     paid_now = F.when(F.col("is_paid"), "paid").otherwise("unpaid")
     state = F.when(F.col("is_active"), paid_now).otherwise("absent")
     first_paid = F.min(F.when(F.col("is_paid"), F.col("period"))).over(Window.partitionBy("lease_id"))
+    if firsts is not None:
+        states = states.join(firsts, "lease_id", "left")
+        first_paid = F.col("first")
     placed = states.withColumn("state", state).withColumns(
         {
             "before": F.when(

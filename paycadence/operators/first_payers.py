@@ -116,10 +116,15 @@ def account_totals(firsts: DataFrame) -> DataFrame:
     return firsts.groupBy("period", "account").agg(*[c.alias(name) for name, c in sums.items()])
 
 
-def with_account_start(rows: DataFrame, payments: DataFrame, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
-    """Adds ``account_first``: the first period in which the account received a payment."""
+def with_account_start(
+    rows: DataFrame, payments: DataFrame, cal: BillingCalendar = BILLING_CYCLE, how: str = "inner"
+) -> DataFrame:
+    """Adds ``account_first``: the first period in which the account received a payment.
+
+    With ``how="left"`` rows without an account stay, with a null there.
+    """
     accounts = first_period(payments, "account", cal).withColumnRenamed("first", "account_first")
-    return rows.join(accounts, "account")
+    return rows.join(accounts, "account", how)
 
 
 def split_accounts(
@@ -206,8 +211,11 @@ def activation_lag(cal: BillingCalendar = BILLING_CYCLE) -> Column:
 
 
 def by_account_newness(firsts: DataFrame, payments: DataFrame, first: date, last: date) -> DataFrame:
-    """First-time payers by whether their account also paid for the first time (calendar months)."""
-    known = with_account_start(account_totals(firsts), payments, CALENDAR_MONTH)
+    """First-time payers by whether their account also paid for the first time (calendar months).
+
+    Payers without an account are a group of their own.
+    """
+    known = with_account_start(account_totals(firsts), payments, CALENDAR_MONTH, how="left")
     label = newness_label("account_first", "period")
     return split_accounts(known, label, "segment", first, last, account_measures())
 
@@ -311,13 +319,13 @@ def population_mix(
     )
 
 
-def payer_paths(firsts: DataFrame, first: date, last: date, label: Column, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
-    """First-time payers by when their lease was activated: same period, earlier, later or unknown."""
+def payer_paths(firsts: DataFrame, first: date, last: date, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
+    """First-time payers per period and account by when their lease was activated: same period, earlier, later or unknown."""
     lag = activation_lag(cal)
     return (
         firsts.filter(between("period", first, last))
-        .withColumns({"label": label, "_lag": lag})
-        .groupBy("period", "label")
+        .withColumn("_lag", lag)
+        .groupBy("period", "account")
         .agg(
             F.count("*").alias("payers"),
             F.count_if(F.col("_lag") == 0).alias("same_period"),
@@ -326,3 +334,9 @@ def payer_paths(firsts: DataFrame, first: date, last: date, label: Column, cal:
             F.count_if(F.col("_lag").isNull()).alias(UNKNOWN),
         )
     )
+
+
+def paths_by_label(paths: DataFrame, label: Column) -> DataFrame:
+    """The counts of ``payer_paths`` summed by a label of the account."""
+    counts = [c for c in paths.columns if c not in ("period", "account", "account_first")]
+    return paths.groupBy("period", label.alias("label")).agg(*[F.sum(c).alias(c) for c in counts])

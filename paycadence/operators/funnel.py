@@ -44,7 +44,8 @@ def activation_cohort(
     )
     # Daily rows shrink to one row per lease and account in each task; choosing the
     # account of the earliest active day is then cheap.
-    spans = daily.groupBy("lease_id", "account").agg(
+    # Later days change neither the first day seen nor an activation by ``until``.
+    spans = daily.filter(F.col("snapshot_date") <= F.lit(until)).groupBy("lease_id", "account").agg(
         F.min("snapshot_date").alias("seen"),
         F.min(F.when(active, F.col("snapshot_date"))).alias("activated"),
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import BILLING_CYCLE, BillingCalendar
 from ..functions.ratios import currency, flag, money_pct, pct, sum_if
 from ..sources.canonical import CARD
-from .lifecycle import between, first_period, period_activity
+from .lifecycle import between, period_activity
 
 
 def mix_decomposition(
@@ -97,17 +97,19 @@ def first_period_detail(
     payments: DataFrame,
     accounts: DataFrame,
     first: date,
-    last: date,
+    last: date | None,
     method: str = CARD,
     cal: BillingCalendar = BILLING_CYCLE,
 ) -> DataFrame:
     """First-time payers × account name in their first period: dollars, card dollars, used card.
 
-    Payments are reduced per payer, period and account, and of these only first periods
-    are kept (found over all payments), before any account name is joined.
+    Payments are reduced once, per payer, period and account; of these rows only first
+    periods are kept (found over all periods), before any account name is joined.
+    Without ``last`` there is no end.
     """
-    seen = payments.filter(cal.up_to("created", last))
-    firsts = first_period(seen, "customer_id", cal).filter(between("first", first, last))
+    seen = payments.filter(F.col("customer_id").isNotNull())
+    if last is not None:
+        seen = seen.filter(cal.up_to("created", last))
     is_card = F.col("method") == method
     sums = {
         "cents": F.sum("cents"),
@@ -115,10 +117,11 @@ def first_period_detail(
         "used_card": flag(is_card),
     }
     per_account = (
-        seen.filter(F.col("created") >= F.lit(cal.first_day(first)))
-        .groupBy("customer_id", cal.period("created").alias("period"), "account")
+        seen.groupBy("customer_id", cal.period("created").alias("period"), "account")
         .agg(*[c.alias(name) for name, c in sums.items()])
-        .join(firsts.withColumnRenamed("first", "period"), ["customer_id", "period"], "left_semi")
+        .withColumn("_first", F.min("period").over(Window.partitionBy("customer_id")))
+        .filter((F.col("_first") == F.col("period")) & (F.col("period") >= F.lit(first)))
+        .drop("_first")
     )
     # Accounts may share a name, and all accounts without one count as the same.
     return (

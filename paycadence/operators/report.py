@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,6 +123,18 @@ def expansion(mart: DataFrame, payers: str = "payers", accounts: str = "accounts
     return mart.withColumn("expansion", ratio(payers, accounts))
 
 
+def agreement(pairs: Mapping[str, tuple[DataFrame, DataFrame, str]], period: str = "period") -> DataFrame:
+    """For each named pair of marts: how many periods they have, and in how many their sums differ."""
+    sides = [
+        mart.select(F.lit(name).alias("pair"), period, *[(F.col(value) if own else F.lit(None).cast("bigint")).alias(c) for c, own in columns])
+        for name, (left, right, value) in pairs.items()
+        for mart, columns in ((left, (("a", True), ("b", False))), (right, (("a", False), ("b", True))))
+    ]
+    sums = reduce(DataFrame.unionByName, sides).groupBy("pair", period).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    differ = ~F.col("a").eqNullSafe(F.col("b"))
+    return sums.groupBy("pair").agg(F.count("*").alias("periods"), F.count_if(differ).alias("mismatched"))
+
+
 def reconcile(left: DataFrame, right: DataFrame, value: str, period: str = "period") -> DataFrame:
     """Periods whose totals differ between two marts, with both totals; empty when they agree."""
     def tagged(df: DataFrame, own: str, other: str) -> DataFrame:

@@ -132,7 +132,7 @@ FROM outcomes GROUP BY cohort, label"""
 _WITHIN = ", ".join(f"COUNT(*) FILTER (WHERE d BETWEEN 0 AND {n}) AS within_{n}" for n in (7, 14, 30, 45, 90))
 ORACLES["c03_days_to_event"] = f"""WITH {FUNNEL}, {JOURNEY},
 d AS (SELECT j.lease, j.cohort, j.label, j.activated,
-        (SELECT MIN(p.day) FROM pay p WHERE p.lease = j.lease AND p.day BETWEEN j.activated AND DATE '1998-03-31') - j.activated AS d
+        (SELECT MIN(p.day) FROM pay p WHERE p.lease = j.lease AND p.day BETWEEN j.activated AND DATE '1997-12-24') - j.activated AS d
       FROM journey j)
 SELECT cohort, label, COUNT(*) AS leases, MAX(activated) AS last_activated, {_WITHIN} FROM d GROUP BY cohort, label"""
 
@@ -220,7 +220,7 @@ _LEASE_CELLS = ", ".join(
     f"COUNT(DISTINCT CASE WHEN datediff('month', cohort, p.cyc) = {k} THEN c.lease END) AS m{k}" for k in range(8)
 )
 _LEASE_MATRIX = f"""SELECT cohort, label, COUNT(DISTINCT c.lease) AS cohort_size, {_LEASE_CELLS}
-FROM cohort c LEFT JOIN pay p ON p.lease = c.lease AND p.cyc >= c.cohort AND p.day >= '1995-02-01' GROUP BY cohort, label"""
+FROM cohort c LEFT JOIN pay p ON p.lease = c.lease AND p.cyc >= c.cohort GROUP BY cohort, label"""
 ORACLES["c12_lease_retention"] = f"WITH {PAY}, {DAILY}, {COHORT} {_LEASE_MATRIX}"
 
 # First-time payers ---------------------------------------------------------------
@@ -292,11 +292,14 @@ FROM f WHERE cyc {_REPORTED} GROUP BY cyc"""
 # Contribution and mix ------------------------------------------------------------
 
 
-def _first_cycle(last: str) -> str:
+_DETAIL = " WHERE cyc BETWEEN '1995-01-01' AND '1995-04-01'"
+
+
+def _first_cycle(within: str) -> str:
     return f"""{_BOUNDED},
 ft AS (SELECT b.*, s_name AS name, CASE WHEN method = 'charge' THEN amount ELSE 0 END AS card
   FROM base b JOIN (SELECT payer, MIN(cyc) AS cyc FROM base GROUP BY payer) m USING (payer, cyc)
-  LEFT JOIN supplier ON s_suppkey = b.supp WHERE cyc BETWEEN '1995-01-01' AND '{last}')"""
+  LEFT JOIN supplier ON s_suppkey = b.supp{within})"""
 
 
 def _without(pattern: str, name: str) -> str:
@@ -305,17 +308,17 @@ def _without(pattern: str, name: str) -> str:
   {pct(f'COALESCE(SUM(card) {outside}, 0)', f'COALESCE(SUM(amount) {outside}, 0)')} AS share_without_{name}"""
 
 
-ORACLES["c21_leave_one_out"] = f"""{_first_cycle('1995-04-01')},
+ORACLES["c21_leave_one_out"] = f"""{_first_cycle(_DETAIL)},
 payers AS (SELECT cyc, payer, MAX(name) AS name, SUM(amount) AS amount, SUM(card) AS card,
   MAX(CASE WHEN method = 'charge' THEN 1 ELSE 0 END) AS used FROM ft GROUP BY cyc, payer)
 SELECT cyc AS period, COUNT(*) AS payers, {pct('SUM(used)', 'COUNT(*)')} AS adoption_all, {pct('SUM(card)', 'SUM(amount)')} AS share_all,
   {_without('supplier#00000000%', 'a')}, {_without('Supplier#00000001%', 'b')}
 FROM payers GROUP BY cyc"""
-ORACLES["c22_heavy_hitters"] = f"""{_first_cycle('1995-04-01')}
+ORACLES["c22_heavy_hitters"] = f"""{_first_cycle(_DETAIL)}
 SELECT cyc AS period, COALESCE(name, '(unmapped)') AS name, COUNT(DISTINCT payer) AS payers,
   CAST(SUM(amount) AS DOUBLE) AS volume, {pct('SUM(card)', 'SUM(amount)')} AS card_share
 FROM ft GROUP BY cyc, COALESCE(name, '(unmapped)') HAVING COUNT(DISTINCT payer) >= 8"""
-ORACLES["c23_account_timeline"] = f"""{_first_cycle('1997-12-01')}
+ORACLES["c23_account_timeline"] = f"""{_first_cycle('')}
 SELECT cyc AS period, COUNT(DISTINCT payer) AS payers, CAST(SUM(amount) AS DOUBLE) AS volume,
   {pct('SUM(card)', 'SUM(amount)')} AS card_share
 FROM ft WHERE name ILIKE 'supplier#00000002%' GROUP BY cyc"""
@@ -338,21 +341,19 @@ SELECT method, CAST(SUM(amount) AS DOUBLE) AS volume, CAST(SUM(fee) AS DOUBLE) A
   {pct('SUM(fee)', 'SUM(amount)')} AS fee_pct, COUNT(*) AS payments
 FROM pay WHERE cyc = '1997-05-01' GROUP BY method"""
 ORACLES["c26_churn_mix"] = f"""WITH {PAY},
-base AS (SELECT * FROM pay WHERE rent AND method <> 'cash payment' AND day BETWEEN '1997-02-25' AND '1997-05-24'),
-rows AS (
-  SELECT *, '1 churned in May, April mix' AS label FROM base b WHERE cyc = '1997-04-01'
-    AND NOT EXISTS (SELECT 1 FROM base n WHERE n.payer = b.payer AND n.cyc = '1997-05-01')
-  UNION ALL SELECT *, '2 churned in April, March mix' FROM base b WHERE cyc = '1997-03-01'
-    AND NOT EXISTS (SELECT 1 FROM base n WHERE n.payer = b.payer AND n.cyc = '1997-04-01')
-  UNION ALL SELECT *, '3 retained April to May' FROM base b WHERE cyc = '1997-04-01'
-    AND EXISTS (SELECT 1 FROM base n WHERE n.payer = b.payer AND n.cyc = '1997-05-01'))
-SELECT label, COUNT(DISTINCT payer) AS payers, {pct(_if("method = 'charge'", 'amount'), 'SUM(amount)')} AS card_share_pct
-FROM rows GROUP BY label"""
+cells AS (SELECT payer, datediff('month', DATE '1997-03-01', cyc) AS k, SUM(amount) AS amount, {_if("method = 'charge'", 'amount')} AS card
+  FROM pay WHERE rent AND method IN ('charge', 'payment') AND cyc BETWEEN '1997-03-01' AND '1997-05-01' GROUP BY ALL),
+wide AS (SELECT payer, list(k) AS ks, MAX(amount) FILTER (WHERE k = 0) AS a0, MAX(card) FILTER (WHERE k = 0) AS c0,
+  MAX(amount) FILTER (WHERE k = 1) AS a1, MAX(card) FILTER (WHERE k = 1) AS c1 FROM cells GROUP BY payer)
+SELECT CASE WHEN list_contains(ks, 2) THEN '3 retained 1997-04 to 1997-05' ELSE '1 churned in 1997-05, 1997-04 mix' END AS label,
+  COUNT(*) AS payers, {pct('SUM(c1)', 'SUM(a1)')} AS card_share_pct FROM wide WHERE a1 IS NOT NULL GROUP BY 1
+UNION ALL SELECT '2 churned in 1997-04, 1997-03 mix', COUNT(*), {pct('SUM(c0)', 'SUM(a0)')}
+FROM wide WHERE a0 IS NOT NULL AND a1 IS NULL HAVING COUNT(*) > 0"""
 ORACLES["c27_churn_series"] = f"""WITH {PAY},
-p AS (SELECT DISTINCT lease, cyc FROM pay WHERE rent AND day BETWEEN '1996-01-25' AND '1997-12-24')
-SELECT CAST(a.cyc + INTERVAL 1 MONTH AS DATE) AS churn_period, COUNT(*) AS churned
-FROM p a LEFT JOIN p b ON b.lease = a.lease AND b.cyc = a.cyc + INTERVAL 1 MONTH
-WHERE b.lease IS NULL AND a.cyc + INTERVAL 1 MONTH BETWEEN '1996-04-01' AND '1997-12-01' GROUP BY 1"""
+p AS (SELECT lease, cyc, LEAD(cyc) OVER (PARTITION BY lease ORDER BY cyc) AS following
+  FROM (SELECT DISTINCT lease, cyc FROM pay WHERE rent AND cyc BETWEEN '1996-02-01' AND '1997-12-01'))
+SELECT churn_period, COUNT(*) AS churned FROM (SELECT CAST(cyc + INTERVAL 1 MONTH AS DATE) AS churn_period, following FROM p)
+WHERE following IS DISTINCT FROM churn_period AND churn_period BETWEEN '1996-04-01' AND '1997-12-01' GROUP BY 1"""
 ORACLES["c28_day_distribution"] = f"""WITH {PAY}
 SELECT mon AS month, CASE WHEN day(day) <= 5 THEN 'a_01-05' WHEN day(day) <= 19 THEN 'b_06-19'
   WHEN day(day) <= 24 THEN 'c_20-24_precutoff' ELSE 'd_25-EOM_nextcycle' END AS day_bucket, COUNT(*) AS payments
@@ -394,17 +395,19 @@ def _offsets(rows: str, buckets: str) -> str:
 
 
 _PAID_BUCKETS = "pct_prepay:o >= 1;pct_current:o = 0;pct_prior1:o = -1;pct_prior2:o = -2;pct_prior3plus:o <= -3"
+# Parts are whole ten-thousandths of a cent, so that sums are exact in any order.
 ORACLES["c33_charge_allocation"] = f"""WITH {PAY}, {_ENTRIES.format(since='1995-03-01')},
 charges AS (
-  SELECT l.id, CAST(l.amount AS DECIMAL(18,0)) AS amount, date_trunc('month', TRY_CAST(c.due AS DATE)) AS due_month
+  SELECT l.id, date_trunc('month', TRY_CAST(c.due AS DATE)) AS due_month, SUM(CAST(CAST(l.amount AS DECIMAL(18,0)) AS HUGEINT)) AS amount
   FROM lines l JOIN entries c ON c.id = l.linked JOIN part ON p_partkey = c.account
-  WHERE NOT c.deleted AND p_size <> 7),
-shares AS (SELECT *, {share('amount', 'SUM(amount) OVER (PARTITION BY id)')} AS part_share FROM charges),
-rows AS (SELECT p.cyc, datediff('month', p.cyc, s.due_month) AS o, CAST(p.amount AS DOUBLE) * part_share AS part
-  FROM shares s JOIN pay p ON p.lease = s.id WHERE p.method <> 'cash payment' AND p.cyc BETWEEN '1995-04-01' AND '2000-12-01'),
-sums AS (SELECT cyc AS period, SUM(part) AS allocated, {_offsets('rows', _PAID_BUCKETS)} FROM rows GROUP BY cyc)
-SELECT period, round(allocated, 4) AS allocated, round(pct_prepay, 4) AS pct_prepay, round(pct_current, 4) AS pct_current,
-  round(pct_prior1, 4) AS pct_prior1, round(pct_prior2, 4) AS pct_prior2, round(pct_prior3plus, 4) AS pct_prior3plus FROM sums"""
+  WHERE NOT c.deleted AND p_size <> 7 GROUP BY ALL),
+totals AS (SELECT id, SUM(amount) AS total FROM charges GROUP BY id),
+paid AS (SELECT lease, cyc, SUM(CAST(amount * 100 AS HUGEINT)) AS cents FROM pay
+  WHERE method <> 'cash payment' AND cyc BETWEEN '1995-04-01' AND '2000-12-01' GROUP BY ALL),
+rows AS (SELECT p.cyc, datediff('month', p.cyc, c.due_month) AS o,
+    CASE WHEN total <> 0 THEN CAST(p.cents * c.amount * 10000 AS HUGEINT) // CAST(total AS HUGEINT) END AS part
+  FROM charges c JOIN totals t ON t.id = c.id JOIN paid p ON p.lease = c.id)
+SELECT cyc AS period, CAST(SUM(part) AS DOUBLE) / 1000000.0::DOUBLE AS allocated, {_offsets('rows', _PAID_BUCKETS)} FROM rows GROUP BY cyc"""
 
 
 def _reactivated(cycle: str, buckets: str) -> str:
@@ -481,8 +484,8 @@ f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY payer ORDER BY da
 starts AS (SELECT account, MIN(invoice) AS start FROM daily GROUP BY account),
 aged AS (SELECT f.*, {_AGE} AS bucket FROM f LEFT JOIN starts s ON s.account = f.part),
 landed AS (SELECT part, MIN(mon) AS first FROM pay GROUP BY part),
-newness AS (SELECT f.mon, f.part, CASE WHEN first = mon THEN 'Account first-time paid this month'
-  ELSE 'Existing account (paid before)' END AS segment FROM f JOIN landed l ON l.part = f.part)"""
+newness AS (SELECT f.mon, f.part, CASE WHEN first IS NULL THEN 'Unknown' WHEN first = mon THEN 'Account first-time paid this month'
+  ELSE 'Existing account (paid before)' END AS segment FROM f LEFT JOIN landed l ON l.part = f.part)"""
 _N_CARD, _N_ACH = "COUNT(*) FILTER (WHERE method = 'charge')", "COUNT(*) FILTER (WHERE method = 'payment')"
 _S_CARD, _S_ACH = _if("method = 'charge'", "amount"), _if("method = 'payment'", "amount")
 ORACLES["r02_first_payers_by_account_age"] = f"""{_AGED}
@@ -497,8 +500,9 @@ ORACLES["r04_first_payers_and_accounts"] = f"""{_AGED}
 SELECT mon AS period, bucket, COUNT(*) AS payers, COUNT(DISTINCT part) AS accounts FROM aged GROUP BY mon, bucket"""
 
 ORACLES["r05_first_payer_paths"] = f"""{_SCOPED}, started AS (SELECT part, MIN(cyc) AS first FROM pay GROUP BY part),
-j AS (SELECT f.cyc AS period, CASE WHEN datediff('month', s.first, f.cyc) <= 2 THEN 'Onboarding' ELSE 'Mature' END AS label, {_LAG} AS lag
-  FROM f JOIN started s ON s.part = f.part LEFT JOIN la ON la.lease = f.lease WHERE f.cyc {_REPORTED})
+j AS (SELECT f.cyc AS period, CASE WHEN s.first IS NULL THEN 'unknown' WHEN datediff('month', s.first, f.cyc) <= 2 THEN 'Onboarding'
+    ELSE 'Mature' END AS label, {_LAG} AS lag
+  FROM f LEFT JOIN started s ON s.part = f.part LEFT JOIN la ON la.lease = f.lease WHERE f.cyc {_REPORTED})
 SELECT period, label, COUNT(*) AS payers, COUNT(*) FILTER (WHERE lag = 0) AS same_period, COUNT(*) FILTER (WHERE lag > 0) AS earlier,
   COUNT(*) FILTER (WHERE lag < 0) AS later, COUNT(*) FILTER (WHERE lag IS NULL) AS unknown FROM j GROUP BY ALL"""
 
@@ -532,8 +536,10 @@ SELECT cyc AS period, COUNT(*) AS paid, COUNT(*) FILTER (WHERE cyc = first) AS f
   {share('COUNT(*) FILTER (WHERE cyc > first)', 'COUNT(*)')} AS returning_share
 FROM x WHERE cyc BETWEEN '1995-01-01' AND '2000-12-01' GROUP BY cyc"""
 
-_STATES = f"""a AS (SELECT lease, {cyc('day')} AS cyc, MAX(account) AS account FROM daily WHERE status = 'ACTIVE'
-  AND day BETWEEN '1994-12-25' AND '1997-12-24' GROUP BY ALL),
+# Active: the latest snapshot of the cycle is.
+_STATES = f"""a AS (SELECT lease, cyc, account FROM (
+    SELECT *, row_number() OVER (PARTITION BY lease, cyc ORDER BY day DESC, status = 'ACTIVE' DESC, account DESC) AS rn
+    FROM (SELECT *, {cyc('day')} AS cyc FROM daily)) WHERE rn = 1 AND status = 'ACTIVE' AND cyc {_REPORTED}),
 p AS (SELECT lease, cyc, MAX(part) AS account FROM pay WHERE cyc {_REPORTED} GROUP BY ALL),
 states AS (SELECT COALESCE(a.lease, p.lease) AS lease, COALESCE(a.cyc, p.cyc) AS cyc, a.lease IS NOT NULL AS active,
   p.lease IS NOT NULL AS paid, COALESCE(a.account, p.account) AS account
@@ -559,7 +565,7 @@ _MOVES = ", ".join(
     )
 )
 ORACLES["r12_state_transitions"] = f"""WITH {PAY}, {DAILY}, {_STATES},
-firsts AS (SELECT lease, MIN(cyc) AS first_paid FROM p GROUP BY lease),
+firsts AS (SELECT lease, MIN(cyc) AS first_paid FROM pay GROUP BY lease),
 grid AS (SELECT lease, cyc FROM states UNION SELECT lease, CAST(cyc + INTERVAL 1 MONTH AS DATE) FROM states WHERE cyc < '1997-12-01'),
 walk AS (
   SELECT g.cyc, COALESCE(x.paid, false) AS paid, COALESCE(x.active, false) AS active, f.first_paid = g.cyc AS is_first,
@@ -611,7 +617,7 @@ FROM act a JOIN seen s ON s.first_method = a.first_method AND s.k = a.k WHERE a.
 
 ORACLES["d01_report_series"] = f"""{_AGED}
 SELECT mon AS period, COUNT(*) FILTER (WHERE segment LIKE 'Existing%') AS existing, COUNT(*) FILTER (WHERE segment LIKE 'Account%') AS new,
-  COUNT(*) AS total FROM newness GROUP BY mon"""
+  COUNT(*) FILTER (WHERE segment = 'Unknown') AS unknown, COUNT(*) AS total FROM newness GROUP BY mon"""
 ORACLES["d02_stacked_total"] = f"""{_R01}
 SELECT period, CAST(SUM(payers) AS BIGINT) AS total FROM r01 WHERE period <= '2000-06-01' GROUP BY period"""
 ORACLES["d03_composition"] = f"""{_AGED}
@@ -633,6 +639,12 @@ y AS (SELECT period, COUNT(*) AS right_total FROM (SELECT payer, MIN(mon) AS per
   WHERE period BETWEEN '1995-01-01' AND '2000-12-01' GROUP BY period)
 SELECT COALESCE(x.period, y.period) AS period, left_total, right_total FROM x FULL JOIN y ON y.period = x.period
 WHERE left_total IS DISTINCT FROM right_total"""
+ORACLES["d06_invariants"] = f"""{_AGED}, {_STATES},
+x AS (SELECT 'active: segments and all' AS pair, cyc AS period FROM states GROUP BY cyc
+  UNION ALL SELECT 'paid: segments and all', cyc FROM states GROUP BY cyc
+  UNION ALL SELECT 'paid: transitions and breakdown', cyc FROM states GROUP BY cyc
+  UNION ALL SELECT 'first-time payers: age and newness', mon FROM aged GROUP BY mon)
+SELECT pair, COUNT(*) AS periods, CAST(0 AS BIGINT) AS mismatched FROM x GROUP BY pair"""
 ORACLES["d07_month_label"] = f"""{_R01}
 SELECT period, strftime(period, '%b ''%y') AS label, {_if("population = 'first_time'", 'payers')}::BIGINT AS first_time,
   {_if("population = 'returning'", 'payers')}::BIGINT AS returning, SUM(payers)::BIGINT AS total FROM r01 GROUP BY period"""

@@ -95,8 +95,8 @@ def event_funnel(t: Tables, w: Windows) -> DataFrame:
 
 @report_named("c03_days_to_event")
 def days_to_event(t: Tables, w: Windows) -> DataFrame:
-    payments = t.payments(since=w.since, until=w.cutoff, customers=False)
-    return funnel.days_to_event(_journeys(t, w), payments, w.cutoff)
+    payments = t.payments(since=w.since, until=w.until, customers=False)
+    return funnel.days_to_event(_journeys(t, w), payments, w.until)
 
 
 @report_named("c04_censored_transitions")
@@ -152,7 +152,8 @@ def eligible_retention(t: Tables, w: Windows) -> DataFrame:
 
 def _lease_retention(t: Tables, w: Windows, last: date, cut: date | None = None) -> DataFrame:
     until = BILLING_CYCLE.end_day(last) - timedelta(days=1)
-    payments = t.payments(since=w.since, until=until, customers=False)
+    since = BILLING_CYCLE.first_day(BILLING_CYCLE.period_of(w.since))
+    payments = t.payments(since=since, until=until, customers=False)
     return cohorts.contract_retention(_cohort(t, w), payments, last=cut)
 
 
@@ -169,12 +170,16 @@ def _scoped_firsts(t: Tables, w: Windows) -> DataFrame:
     return first_payers.first_payments(payments, ["created", "lease_id"], ["lease_id"], last=w.last)
 
 
+def _account_payments(t: Tables, w: Windows) -> DataFrame:
+    return t.payments(since=w.lookback, customers=False, accounts=True)
+
+
 @report_named("c13_payers_by_account_tenure")
 def payers_by_tenure(t: Tables, w: Windows) -> DataFrame:
     payments = t.payments(since=w.lookback, accounts=True).filter(F.col("account").isNotNull())
     order = [BILLING_CYCLE.period("created"), "account"]
     firsts = first_payers.first_payments(payments, order, ["account"], last=w.last)
-    totals = first_payers.with_account_start(first_payers.account_totals(firsts), payments)
+    totals = first_payers.with_account_start(first_payers.account_totals(firsts), _account_payments(t, w))
     return first_payers.split_accounts(totals, TENURE(missing=None), "label", w.first, w.last)
 
 
@@ -182,7 +187,7 @@ def payers_by_tenure(t: Tables, w: Windows) -> DataFrame:
 def method_by_tenure(t: Tables, w: Windows) -> DataFrame:
     payments = t.payments(since=w.lookback, accounts=True).filter(F.col("account").isNotNull())
     firsts = first_payers.first_payments(payments, ["created", "account"], ["account", "method"], last=w.last)
-    totals = first_payers.with_account_start(first_payers.account_totals(firsts), payments)
+    totals = first_payers.with_account_start(first_payers.account_totals(firsts), _account_payments(t, w))
     measures = first_payers.method_measures()
     return first_payers.split_accounts(totals, TENURE(missing=None), "label", w.first, w.last, measures)
 
@@ -232,24 +237,31 @@ def first_payment_size(t: Tables, w: Windows) -> DataFrame:
 # Contribution and mix ------------------------------------------------------------
 
 
-def _detail(t: Tables, w: Windows, first: date, last: date) -> DataFrame:
+def _detail(t: Tables, w: Windows, first: date, last: date | None) -> DataFrame:
     payments = t.payments(since=w.lookback, accounts=True, named=True)
     return mix.first_period_detail(payments, t.named_accounts(), first, last)
 
 
+def _two_period_detail(t: Tables, w: Windows) -> DataFrame:
+    return t.share("detail", lambda: _detail(t, w, *w.detail))
+
+
 @report_named("c21_leave_one_out")
 def leave_one_out(t: Tables, w: Windows) -> DataFrame:
-    return mix.leave_one_out(_detail(t, w, *w.detail), dict(w.leave_out))
+    return mix.leave_one_out(_two_period_detail(t, w), dict(w.leave_out))
 
 
 @report_named("c22_heavy_hitters")
 def heavy_hitters(t: Tables, w: Windows) -> DataFrame:
-    return report.ordered(mix.heavy_hitters(_detail(t, w, *w.detail), w.heavy_min_size), "period", "-payers")
+    return report.ordered(mix.heavy_hitters(_two_period_detail(t, w), w.heavy_min_size), "period", "-payers")
 
 
 @report_named("c23_account_timeline")
 def account_timeline(t: Tables, w: Windows) -> DataFrame:
-    return mix.account_timeline(_detail(t, w, w.first, w.last), w.timeline)
+    """Every period since the lookback: the timeline has no end."""
+    if not w.timeline:
+        raise ValueError("the account timeline needs name patterns in the windows' timeline")
+    return mix.account_timeline(_detail(t, w, BILLING_CYCLE.period_of(w.lookback), None), w.timeline)
 
 
 @report_named("c24_mix_decomposition")
@@ -270,9 +282,9 @@ def churn_mix(t: Tables, w: Windows) -> DataFrame:
         payments.filter(F.col("method").isin(CARD, ACH)),
         "customer_id",
         [
-            (f"1 churned in {w.cycle:%B}, {before:%B} mix", before, False),
-            (f"2 churned in {before:%B}, {earlier:%B} mix", earlier, False),
-            (f"3 retained {before:%B} to {w.cycle:%B}", before, True),
+            (f"1 churned in {w.cycle:%Y-%m}, {before:%Y-%m} mix", before, False),
+            (f"2 churned in {before:%Y-%m}, {earlier:%Y-%m} mix", earlier, False),
+            (f"3 retained {before:%Y-%m} to {w.cycle:%Y-%m}", before, True),
         ],
     )
 
@@ -325,16 +337,17 @@ def charge_allocation(t: Tables, w: Windows) -> DataFrame:
     entries_since, since, first, last = w.charges
     payments = t.payments(since=since, until=inclusive_days(last, last)["until"], customers=False)
     charges = allocation.settled_charges(t.entries(), entries_since, t.accounts(), round_charges=True)
-    out = allocation.allocate(payments, charges, first, last)
-    # The parts are doubles whose sum depends on the order of addition in the last digits.
-    return out.select("period", *[F.round(c, 4).alias(c) for c in out.columns if c != "period"])
+    return allocation.allocate(payments, charges, first, last)
 
 
 def _reactivated(t: Tables, w: Windows, before_gap: bool) -> DataFrame:
     entries_since, since, first, last = w.reactivated_charges
     charges = allocation.settled_charges(t.entries(), entries_since)
-    payments = t.payments(since=since, until=inclusive_days(last, last)["until"])
-    return allocation.reactivated_charges(payments, charges, first, last, before_gap=before_gap)
+
+    def build():
+        return allocation.payer_entries(t.payments(since=since, until=inclusive_days(last, last)["until"]))
+
+    return allocation.reactivated_charges(t.share("payer_entries", build), charges, first, last, before_gap=before_gap)
 
 
 @report_named("c36_reactivated_charges")
@@ -422,9 +435,10 @@ def payer_paths(t: Tables, w: Windows) -> DataFrame:
     order = ["created", "lease_id", "account"]
     payments = t.payments(recurring=True, accounts=True, methods=None)
     firsts = first_payers.first_payments(payments, order, ["lease_id", "account"], last=w.last)
-    firsts = first_payers.with_account_start(firsts, t.payments(customers=False, accounts=True))
     firsts = first_payers.with_activation(firsts, t.daily(), t.frequencies)
-    return first_payers.payer_paths(firsts, w.first, w.last, TENURE())
+    paths = first_payers.payer_paths(firsts, w.first, w.last)
+    starts = first_payers.with_account_start(paths, t.payments(customers=False, accounts=True), how="left")
+    return first_payers.paths_by_label(starts, TENURE(missing=UNKNOWN))
 
 
 @report_named("r06_invited_at_activation")
@@ -459,7 +473,7 @@ def _states(t: Tables, w: Windows) -> DataFrame:
     def build():
         payments = t.payments(**inclusive_days(w.first, w.last), customers=False, accounts=True)
         return coverage.active_and_paid(
-            coverage.active_leases(t.daily(), w.first, w.last),
+            coverage.active_leases(t.daily(), w.first, w.last, at_cutoff=w.active_at_cutoff),
             coverage.paid_leases(payments, w.first, w.last),
         )
 
@@ -475,7 +489,8 @@ def eligible_and_paid(t: Tables, w: Windows) -> DataFrame:
 
 @report_named("r12_state_transitions")
 def state_transitions(t: Tables, w: Windows) -> DataFrame:
-    moves = coverage.state_transitions(_states(t, w), w.first, w.last)
+    firsts = lifecycle.first_period(t.payments(until=inclusive_days(w.last, w.last)["until"], customers=False), "lease_id")
+    moves = coverage.state_transitions(_states(t, w), w.first, w.last, firsts)
     return report.period_changes(moves, ["active", "paid", "paid_pct"])
 
 
@@ -507,7 +522,7 @@ def method_stickiness(t: Tables, w: Windows) -> DataFrame:
 # Report-time steps ---------------------------------------------------------------
 
 POPULATIONS = {"first_time": "first_time", "returning": "returning"}
-NEWNESS = {EXISTING_ACCOUNT: "existing", NEW_ACCOUNT: "new"}
+NEWNESS = {EXISTING_ACCOUNT: "existing", NEW_ACCOUNT: "new", AGE_UNKNOWN: "unknown"}
 
 
 @report_named("d01_report_series")
@@ -558,6 +573,22 @@ def mismatches(t: Tables, w: Windows) -> DataFrame:
     return report.reconcile(by_newness(t, w), two_methods, "payers")
 
 
+@report_named("d06_invariants")
+def invariants(t: Tables, w: Windows) -> DataFrame:
+    """Pairs of marts that must agree: periods compared, and those whose totals differ."""
+    states, aged, newness = _states(t, w), by_account_age(t, w), by_newness(t, w)
+    segments, share = coverage.paid_share_by_segment(states, t.accounts()), coverage.paid_share(states)
+    moves, lives = state_transitions(t, w), paid_breakdown(t, w).filter(F.col("period").between(w.first, w.last))
+    return report.agreement(
+        {
+            "active: segments and all": (segments, share, "active"),
+            "paid: segments and all": (segments, share, "paid"),
+            "paid: transitions and breakdown": (moves, lives, "paid"),
+            "first-time payers: age and newness": (aged, newness, "payers"),
+        }
+    )
+
+
 @report_named("d07_month_label")
 def labelled_series(t: Tables, w: Windows) -> DataFrame:
     series = report.report_series(population_mix(t, w), "population", "payers", POPULATIONS, w.history[1])

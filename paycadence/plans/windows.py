@@ -58,6 +58,8 @@ class Windows:
     batch_max_rate: float = 0.05
     batch_min_size: int = 20
     heavy_min_size: int = 80
+    # Active leases are those active at the last day of the cycle, or on any of its days.
+    active_at_cutoff: bool = True
     # Account name patterns: label -> pattern, and the accounts of the timeline.
     leave_out: tuple[tuple[str, str], ...] = ()
     timeline: tuple[str, ...] = ()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from .canonical import ALL_METHODS
 class Tables:
     """Canonical frames of one source; see ``sources.canonical`` for their columns.
 
-    ``frequencies`` are the recurring rent frequencies. ``folder`` is unset by default;
-    a run of many reports names one there, and shared frames are then stored once.
+    ``frequencies`` are the recurring rent frequencies. Inside ``sharing`` frames that
+    several reports use are stored once; outside, each report builds its own.
     """
 
     frequencies: Sequence[str]
@@ -25,6 +26,15 @@ class Tables:
         self.folder: str | None = None
         self._stored: dict[str, DataFrame] = {}
 
+    @contextmanager
+    def sharing(self, folder: str) -> Iterator[None]:
+        """Shared frames are stored in this folder, for one run and its windows only."""
+        self.folder, self._stored = folder, {}
+        try:
+            yield
+        finally:
+            self.folder, self._stored = None, {}
+
     def share(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A frame that several reports use."""
         if self.folder is None:

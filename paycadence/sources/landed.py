@@ -47,11 +47,13 @@ def payments(
     since: date | None = None,
     until: date | None = None,
     methods: Sequence[str] | None = None,
+    exact: bool = False,
 ) -> DataFrame:
-    """Positive payments between two days; ``methods`` keeps these types, without regard to case."""
+    """Positive payments between two days; ``methods`` keeps these types, without regard to case unless ``exact``."""
     df = raw.filter(F.col("amounttotransfer") > 0)
+    kind = F.col("type") if exact else F.lower("type")
     if methods is not None:
-        df = df.filter(F.lower("type").isin(*methods))
+        df = df.filter(kind.isin(*methods))
     if since is not None:
         df = df.filter(F.col("created") >= F.lit(since))
     if until is not None:
@@ -60,7 +62,7 @@ def payments(
         F.col("customer_id").cast("string"),
         F.col("lease_id").cast("string"),
         F.col("je_id").cast("string"),
-        F.lower("type").alias("method"),
+        kind.alias("method"),
         in_cents("amounttotransfer").alias("cents"),
         F.col("fee").cast("decimal(18,4)"),
         F.col("created").cast("date"),
@@ -180,7 +182,8 @@ class LandedTables(Tables):
     """Adapters over landed warehouse tables, given by role.
 
     Roles: payments, returns, daily, leases, tenants, entries, accounts, events, and
-    optionally lease_status. Roles that no wanted report needs may be left out.
+    optionally lease_status. Roles that no wanted report needs may be left out. With
+    ``exact_types`` payment types must be stored in lower case to count.
     """
 
     frequencies = FREQUENCIES
@@ -190,8 +193,10 @@ class LandedTables(Tables):
         spark: SparkSession,
         raw: Mapping[str, DataFrame],
         segment: str | None = None,
+        exact_types: bool = False,
     ):
         super().__init__(spark)
+        self.exact_types = exact_types
         self.raw = raw
         self.segment = segment
 
@@ -206,7 +211,7 @@ class LandedTables(Tables):
         methods: Sequence[str] | None = ALL_METHODS,
     ) -> DataFrame:
         """The payer is stored with the payment; the account comes from the ledger entry if asked for."""
-        df = payments(self.raw["payments"], since, until, methods)
+        df = payments(self.raw["payments"], since, until, methods, self.exact_types)
         if recurring:
             df = on_leases(df, self.leases(), self.frequencies)
         return with_accounts(df, self.entries()) if accounts else df

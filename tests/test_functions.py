@@ -146,11 +146,9 @@ def test_bucket_labels(spark):
     start = F.lit(date(2024, 1, 1))
     rows = df.select(
         labels.lag_bucket("n").alias("lag"),
-        labels.path_label("n").alias("path"),
         labels.age_bucket(start, F.add_months(start, F.col("n"))).alias("age"),
     ).collect()
     assert [r.lag for r in rows] == ["unknown", "M0", "M0", "M_1", "M_3", "before", "before", "before"]
-    assert [r.path for r in rows][:4] == ["unknown", "later", "same", "earlier"]
     assert [r.age for r in rows] == [
         "Unknown", "Onboarding (0–2)", "Onboarding (0–2)", "Onboarding (0–2)",
         "Growth (3–6)", "Growth (3–6)", "Developed (7–12)", "Mature (13+)",

@@ -5,6 +5,7 @@ from datetime import date, datetime
 from conftest import day, payments, records, simple_payments
 from pyspark.sql import functions as F
 
+from paycadence.functions import labels
 from paycadence.functions.calendar import CALENDAR_MONTH
 from paycadence.operators import allocation, cohorts, coverage, first_payers, funnel, lifecycle, mix, rates, report
 
@@ -232,9 +233,9 @@ def test_reactivated_charges_count_once_per_payment(spark):
     )
     charges = allocation.settled_charges(entries, date(2024, 1, 1))
     df = payments(spark, [("p", "old", "a", "charge", 9, "2024-01-03"), ("p", "new", "a", "charge", 9, "2024-03-03"), ("p", "new", "a", "payment", 9, "2024-03-04")])
-    now = records(allocation.reactivated_charges(df, charges, LOW, HIGH))[0]
+    now = records(allocation.reactivated_charges(allocation.payer_entries(df), charges, LOW, HIGH))[0]
     assert (now["charged"], now["pct_current"], now["pct_prior2plus"]) == (8.0, 75.0, 25.0)
-    before = records(allocation.reactivated_charges(df, charges, LOW, HIGH, before_gap=True))[0]
+    before = records(allocation.reactivated_charges(allocation.payer_entries(df), charges, LOW, HIGH, before_gap=True))[0]
     assert (before["charged"], before["pct_previous"], before["period"]) == (4.0, 100.0, date(2024, 3, 1))
 
 
@@ -384,3 +385,60 @@ def test_population_mix_takes_only_the_first_payment_of_new_payers(spark):
     rows = records(first_payers.population_mix(df, LOW, HIGH, CALENDAR_MONTH), "period")
     assert (rows[0]["card_payers"], rows[0]["ach_payers"], rows[0]["total_amount"]) == (1, 0, 1.0)
     assert (rows[1]["card_payers"], rows[1]["ach_payers"], rows[1]["card_share"], rows[1]["card_payer_share"]) == (1, 1, 0.25, 0.5)
+
+
+def test_payers_without_an_account_stay(spark):
+    rows = [("p", "l", "a", "charge", 100, "2024-01-03"), ("q", "m", None, "payment", 200, "2024-01-04"), ("r", "l", "a", "payment", 300, "2024-02-04")]
+    df = payments(spark, rows)
+    firsts = first_payers.first_payments(df, ["created"], ["account", "method", "cents", "lease_id"])
+    span = (date(2024, 1, 1), date(2024, 2, 1))
+    out = records(first_payers.by_account_newness(firsts, df, *span), "period", "segment")
+    assert [(r["segment"], r["payers"], r["accounts"]) for r in out] == [
+        ("Account first-time paid this month", 1, 1), ("Unknown", 1, 0), ("Existing account (paid before)", 1, 1),
+    ]
+    activated = spark.createDataFrame([("l", day("2024-01-01"))], "lease_id string, activated date")
+    paths = first_payers.payer_paths(firsts.join(activated, "lease_id", "left"), *span)
+    starts = first_payers.with_account_start(paths, df, how="left")
+    label = labels.tenure_label("account_first", "period", missing=labels.UNKNOWN)
+    got = records(first_payers.paths_by_label(starts, label), "period", "label")
+    assert [(r["label"], r["payers"], r["same_period"], r["earlier"], r["unknown"]) for r in got] == [
+        ("Onboarding", 1, 1, 0, 0), ("unknown", 1, 0, 0, 1), ("Onboarding", 1, 0, 1, 0),
+    ]
+
+
+def test_marts_that_disagree_are_counted(spark):
+    def mart(rows):
+        return spark.createDataFrame([(date(2024, m, 1), n) for m, n in rows], "period date, payers long")
+
+    out = records(report.agreement({"x": (mart([(1, 2), (2, 1)]), mart([(1, 1), (1, 1), (2, 2), (3, 1)]), "payers")}))
+    assert out == [{"pair": "x", "periods": 3, "mismatched": 2}]
+
+
+def test_an_unknown_account_is_not_covered(spark):
+    schema = "period date, account string, label string"
+    active = spark.createDataFrame([(date(2024, 1, 1), a, "Mature") for a in ("a", None)], schema)
+    acting = spark.createDataFrame([(date(2024, 1, 1), a) for a in ("a", None)], "period date, account string")
+    row = records(coverage.coverage(active, acting, ["period", "account"], ["period", "label"]))[0]
+    assert (row["active"], row["acting"], row["pct"]) == (1, 1, 100.0)
+
+
+def test_active_at_the_cutoff_is_the_latest_state(spark):
+    days = [("x", "2024-01-26", "ACTIVE"), ("x", "2024-02-20", "ENDED"), ("y", "2024-01-26", "FUTURE"), ("y", "2024-02-24", "ACTIVE"), ("y", "2024-02-25", "ENDED")]
+    daily = spark.createDataFrame([(l, day(d), s, "acct") for l, d, s in days], "lease_id string, snapshot_date date, status string, account string")
+    span = (date(2024, 2, 1), date(2024, 2, 1))
+    assert {r["lease_id"] for r in records(coverage.active_leases(daily, *span))} == {"x", "y"}
+    assert {r["lease_id"] for r in records(coverage.active_leases(daily, *span, at_cutoff=True))} == {"y"}
+
+
+def test_first_time_paid_looks_back_over_all_payments(spark):
+    active = spark.createDataFrame([("a", date(2024, 2, 1), "acct"), ("b", date(2024, 2, 1), "acct")], "lease_id string, period date, account string")
+    states = coverage.active_and_paid(active, active)
+    firsts = spark.createDataFrame([("a", date(2023, 5, 1)), ("b", date(2024, 2, 1))], "lease_id string, first date")
+    row = records(coverage.state_transitions(states, date(2024, 2, 1), date(2024, 2, 1), firsts))[0]
+    assert (row["active"], row["first_time_paid"]) == (2, 1)
+
+
+def test_a_payment_between_the_cycle_start_and_its_month_counts(spark):
+    cohort = spark.createDataFrame([("l", date(2024, 2, 1), "Onboarding")], "lease_id string, cohort date, label string")
+    paid = payments(spark, [("p", "l", "a", "charge", 100, "2024-01-28")])
+    assert records(cohorts.contract_retention(cohort, paid))[0]["m0"] == 1

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from paycadence.functions.calendar import month_label
 from paycadence.operators import allocation, first_payers, funnel, mix
 from paycadence.plans.reports import BUILDERS, REPORTS
-from paycadence.plans.run import run
+from paycadence.plans.run import run, shared_folder
 from paycadence.plans.windows import TEST_WINDOWS, Windows
 from paycadence.sources import landed, marts
 from paycadence.sources.canonical import FREQUENCIES, INVITE, PAGE_VIEW
@@ -56,6 +57,7 @@ def test_landed_payments(spark):
     kept = landed.payments(raw_payments(spark), since=date(2024, 1, 1), until=date(2024, 2, 3))
     rows = records(landed.with_accounts(kept, entries), "created", "customer_id")
     assert landed.payments(raw_payments(spark), methods=["charge"]).count() == 1
+    assert landed.payments(raw_payments(spark), methods=["charge"], exact=True).count() == 0
     assert [(r["customer_id"], r["lease_id"], r["method"], r["cents"], r["created"], r["account"]) for r in rows] == [
         ("c1", "1", "charge", 1250, date(2024, 1, 24), "a"),
         ("c1", "1", "payment", 750, date(2024, 1, 25), "a"),
@@ -145,8 +147,8 @@ def test_bundle_keeps_null_keys(spark, tmp_path):
 def test_run_stores_shared_frames_once_and_writes_both_sinks(spark, tables, tmp_path):
     names = ["c01_activation_kpi", "c05_retained_members", "r16_paid_share"]
     assert run(StarTables(spark, tables), TEST_WINDOWS, f"{tmp_path}/out", names) == names
-    (folder,) = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("paycadence-*")
-    assert sorted(p.name for p in folder.iterdir()) == ["cohort", "journeys", "states"]
+    # The run's folder is gone, and later reports build their own frames.
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("paycadence-*"))
     for name in names:
         fresh = REPORTS[name](spark, tables)
         keys = [c.upper() for c in fresh.columns]
@@ -155,6 +157,38 @@ def test_run_stores_shared_frames_once_and_writes_both_sinks(spark, tables, tmp_
         assert records(marts.read_dataset(spark, f"{tmp_path}/out/json", name, marts.upper_names(fresh).schema), *keys) == want
 
 
+def test_each_run_has_its_own_shared_frames(spark, tables, tmp_path):
+    stored = []
+
+    class Watched(StarTables):
+        def share(self, name, build):
+            stored.append((name, name in self._stored))
+            return super().share(name, build)
+
+    t = Watched(spark, tables)
+    names = ["c05_retained_members", "c22_heavy_hitters", "c21_leave_one_out"]
+    other = replace(TEST_WINDOWS, since=date(1996, 1, 1), until=date(1996, 12, 24), detail=(date(1995, 5, 1), date(1995, 9, 1)))
+    for k, windows in enumerate((TEST_WINDOWS, other)):
+        run(t, windows, f"{tmp_path}/{k}", names)
+        for name in names:
+            fresh = marts.upper_names(BUILDERS[name](StarTables(spark, tables), windows))
+            assert records(marts.read_csv(spark, f"{tmp_path}/{k}/csv/{name}", fresh.schema), *fresh.columns) == records(fresh, *fresh.columns)
+    assert t.folder is None and not t._stored
+    assert [known for name, known in stored if name == "detail"] == [False, True] * 2
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark, monkeypatch):
+    context = spark.sparkContext
+    monkeypatch.setattr(context, "master", "spark://somewhere:7077")
+    with pytest.raises(ValueError, match="one machine"):
+        shared_folder(spark)
+
+
+def test_a_timeline_needs_accounts(spark, tables):
+    with pytest.raises(ValueError, match="timeline"):
+        BUILDERS["c23_account_timeline"](StarTables(spark, tables), replace(TEST_WINDOWS, timeline=()))
+
+
 @pytest.fixture(scope="module")
 def warehouse(spark, tables):
     """The test tables in the shape of the landed ones, with flags as text and JSON columns."""
