@@ -169,8 +169,8 @@ def apply_rules(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    min_repeat: int = 8,
-    max_covered: float = 0.4,
+    min_repeat: int = 16,
+    max_covered: float = 0.3,
     max_repeat: int = 120,
 ) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row.

@@ -148,6 +148,9 @@ def test_rules_over_odd_rows(spark, documents):
     half = clean + " " + clean + " " + " ".join(f"z{i}" for i in range(121))
     (row,) = rules.apply_rules(documents([(1, half)])).collect()
     assert not row.base_failed and not row.kept and row.n_covered_words == 120
+    # A short line said twice is no reason to drop a text.
+    (row,) = rules.apply_rules(documents([(1, "a line of a dozen words " * 2 + clean)])).collect()
+    assert row.kept
 
 
 def test_registered_queries(spark, tables):
