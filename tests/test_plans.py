@@ -59,6 +59,12 @@ def test_days_after_the_last_period_are_not_read(no_broadcast, tables, name):
     assert scans and all("LessThan(l_shipdate" in scan for scan in scans)
 
 
+@pytest.mark.parametrize("name", ["c21_leave_one_out", "c22_heavy_hitters"])
+def test_payments_are_read_once(no_broadcast, tables, name):
+    plan = plan_of(no_broadcast, REPORTS[name](no_broadcast, tables))
+    assert sum("lineitem.parquet" in line for line in plan.splitlines()) == 1
+
+
 def test_scans_read_only_needed_columns(no_broadcast, tables):
     plan = plan_of(no_broadcast, REPORTS["c29_account_landings"](no_broadcast, tables))
     schema = re.search(r"ReadSchema: struct<([^>]*)", plan).group(1)
