@@ -48,8 +48,12 @@ def payments(
     until: date | None = None,
     methods: Sequence[str] | None = None,
     exact: bool = False,
+    times: bool = False,
 ) -> DataFrame:
-    """Positive payments between two days; ``methods`` keeps these types, without regard to case unless ``exact``."""
+    """Positive payments between two days; ``methods`` keeps these types, without regard to case unless ``exact``.
+
+    ``created`` is a date, or the stored time if ``times``.
+    """
     df = raw.filter(F.col("amounttotransfer") > 0)
     kind = F.col("type") if exact else F.lower("type")
     if methods is not None:
@@ -65,7 +69,7 @@ def payments(
         kind.alias("method"),
         in_cents("amounttotransfer").alias("cents"),
         F.col("fee").cast("decimal(18,4)"),
-        F.col("created").cast("date"),
+        F.col("created").cast("timestamp_ntz" if times else "date"),
     )
 
 
@@ -183,7 +187,9 @@ class LandedTables(Tables):
 
     Roles: payments, returns, daily, leases, tenants, entries, accounts, events, and
     optionally lease_status. Roles that no wanted report needs may be left out. With
-    ``exact_types`` payment types must be stored in lower case to count.
+    ``exact_types`` payment types must be stored in lower case to count. With ``times``
+    payments keep their time of day: two of one day are two events, and a cut-off day
+    ends at its midnight, as in a comparison of times with a date.
     """
 
     frequencies = FREQUENCIES
@@ -194,9 +200,10 @@ class LandedTables(Tables):
         raw: Mapping[str, DataFrame],
         segment: str | None = None,
         exact_types: bool = False,
+        times: bool = False,
     ):
         super().__init__(spark)
-        self.exact_types = exact_types
+        self.exact_types, self.times = exact_types, times
         self.raw = raw
         self.segment = segment
 
@@ -211,7 +218,7 @@ class LandedTables(Tables):
         methods: Sequence[str] | None = ALL_METHODS,
     ) -> DataFrame:
         """The payer is stored with the payment; the account comes from the ledger entry if asked for."""
-        df = payments(self.raw["payments"], since, until, methods, self.exact_types)
+        df = payments(self.raw["payments"], since, until, methods, self.exact_types, self.times)
         if recurring:
             df = on_leases(df, self.leases(), self.frequencies)
         return with_accounts(df, self.entries()) if accounts else df

@@ -254,6 +254,25 @@ def test_report_over_landed_tables_equals_the_star_report(spark, tables, warehou
     assert records(ours, *ours.columns) == records(REPORTS[name](spark, tables), *ours.columns)
 
 
+@pytest.mark.parametrize("name", ["c01_activation_kpi", "c03_days_to_event", "c04_censored_transitions", "c06_retention_any", "c20_first_payment_size", "c24_mix_decomposition", "r12_state_transitions"])
+def test_times_at_midnight_change_nothing(spark, tables, warehouse, name):
+    timed = landed.LandedTables(spark, warehouse.raw, segment="tier", times=True)
+    ours, plain = (records(BUILDERS[name](t, TEST_WINDOWS), *REPORTS[name](spark, tables).columns) for t in (timed, warehouse))
+    assert ours == plain
+
+
+def test_two_payments_of_a_day_are_two_events_by_time(spark):
+    rows = spark.createDataFrame(
+        [("1", date(2024, 1, 1), "Onboarding", date(2024, 1, 5), None, None)],
+        "lease_id string, cohort date, label string, activated date, invited_at timestamp_ntz, accepted_at timestamp_ntz",
+    )
+    raw = raw_payments(spark).filter("lease_id = 1").withColumn("created", F.lit(datetime(2024, 1, 8)) + F.make_dt_interval(hours=F.col("id").cast("int")))
+    second = [
+        records(funnel.step_dates(rows, landed.payments(raw, times=times), date(2024, 3, 1)))[0]["second_paid"] for times in (False, True)
+    ]
+    assert second[0] is None and second[1] is not None
+
+
 class LedgerStar(StarTables):
     """Star tables whose payments belong to the account of their ledger entry, as landed ones do."""
 
