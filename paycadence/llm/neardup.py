@@ -15,7 +15,8 @@ is then verified by the true multiset overlap, and classes are the connected com
 
 Null text counts as empty. Texts without words are alike only if equal. A row with a null id joins
 a class by equal text only, and a class of null ids alone has a null class_id. Repeated rows come
-back as often. Texts of any length are worked on whole.
+back as often; rows of one id with different texts are one document to the links, compared by
+the first of those texts in order. Texts of any length are worked on whole.
 """
 
 from __future__ import annotations
