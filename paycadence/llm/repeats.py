@@ -39,10 +39,10 @@ from .neardup import ODD, mixed
 
 LENGTH, GRAM = 50, 20
 #: Window starts in a segment of a text, and bytes that are worked on together.
-SEGMENT, CHUNK = 1 << 20, 1 << 21
+SEGMENT, CHUNK = 1 << 20, 1 << 20
 QUARTER = 8
-#: Text bytes for which a bucket is opened.
-BUCKET_BYTES = 24 << 20
+#: Text bytes for which a bucket is opened: at least, and at most (a bucket is sorted in memory).
+BUCKET_BYTES = 12 << 20, 256 << 20
 
 BLOCK = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("block", pa.binary())])
 
@@ -53,7 +53,7 @@ class Positions:
     def __init__(self, pieces: list[tuple[int, int, bytes]]):
         """``pieces``: row number, start in its text, bytes of a segment."""
         raw = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8).astype(np.uint64)
-        sizes = np.array([len(p[2]) for p in pieces])
+        self.sizes = sizes = np.array([len(p[2]) for p in pieces])
         end = np.repeat(np.cumsum(sizes), sizes)
         powers = {1: mixed(raw + np.uint64(1))}
         for k in (1, 2, 4, 8, 16):
@@ -119,6 +119,11 @@ class Positions:
         keep = (mark >> q) & 1 == 1
         return starts[keep], which_[keep]
 
+    def pieces(self) -> Iterator[tuple[int, int, int, int]]:
+        """Row number, joined start and end, and shift to the text's own places of each piece."""
+        ends = np.cumsum(self.sizes)
+        yield from zip(self.row.tolist(), (ends - self.sizes).tolist(), ends.tolist(), self.shift.tolist())
+
     def spread(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.last[which] - self.first[which] + 1
         owner = np.repeat(which, n)
@@ -166,6 +171,21 @@ def in_groups(ids: list, raws: list[bytes]) -> Iterator[Positions]:
 
 
 TUPLE = np.dtype([("run", "<u4"), ("name", "<u8"), ("doc", "<i8"), ("check", "<u4")])
+#: Columns of a block, one after the other: of first tuples in steps 2 and 3, and of tuples that lost.
+CHECKED, UNCHECKED, LOST = ("run", "name", "doc", "check"), ("run", "name", "doc"), ("name", "doc")
+
+
+def to_block(t: np.ndarray, columns: tuple[str, ...]) -> bytes:
+    return b"".join(np.ascontiguousarray(t[c]).tobytes() for c in columns)
+
+
+def from_block(raw: bytes, columns: tuple[str, ...]) -> np.ndarray:
+    n, at = len(raw) // sum(TUPLE[c].itemsize for c in columns), 0
+    t = np.zeros(n, TUPLE)
+    for c in columns:
+        t[c] = np.frombuffer(raw, TUPLE[c], n, at)
+        at += n * TUPLE[c].itemsize
+    return t
 
 
 def firsts(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,13 +197,14 @@ def firsts(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t, new, t["doc"][head]
 
 
-def sent(run: np.ndarray, name: np.ndarray, doc: np.ndarray, check: np.ndarray, buckets: int) -> pa.RecordBatch:
+def sent(run: np.ndarray, name: np.ndarray, doc: np.ndarray, check: np.ndarray | None, buckets: int) -> pa.RecordBatch:
     """Blocks for the buckets: first tuples (part 0), and those that lose to them here already (part 1).
 
     The latter go to buckets by their documents, so that a frequent name doesn't fill one.
+    Inside a block tuples stand by document, so that this column compresses to nearly nothing.
     """
     t = np.empty(len(run), TUPLE)
-    t["run"], t["name"], t["doc"], t["check"] = run & np.uint64(0xFFFFFFFF), name, doc, check
+    t["run"], t["name"], t["doc"], t["check"] = run & np.uint64(0xFFFFFFFF), name, doc, 0 if check is None else check
     to = ((run >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     # Equal runs go to one bucket, so sorting inside a bucket sorts all.
     order = np.lexsort((t["doc"], t["name"], t["run"], to))
@@ -193,11 +214,14 @@ def sent(run: np.ndarray, name: np.ndarray, doc: np.ndarray, check: np.ndarray,
     head = np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
     late = t[t["doc"] > t["doc"][head]]
     keep, to = t[new], to[new]
-    cuts = np.searchsorted(to, np.arange(buckets + 1))
-    rows = [(b, 0, keep[cuts[b] : cuts[b + 1]].tobytes()) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    order = np.lexsort((keep["doc"], to))
+    keep, to = keep[order], to[order]
+    heads = np.flatnonzero(np.diff(to, prepend=-1))
+    columns = UNCHECKED if check is None else CHECKED
+    rows = [(int(to[a]), 0, to_block(keep[a:b], columns)) for a, b in zip(heads, np.append(heads[1:], len(to)))]
     if len(late):
         late = late[np.argsort(late["doc"], kind="stable")]
-        rows.append((int(mixed(late["doc"][:1].astype(np.uint64))[0] % np.uint64(buckets)), 1, late.tobytes()))
+        rows.append((int(mixed(late["doc"][:1].astype(np.uint64))[0] % np.uint64(buckets)), 1, to_block(late, LOST)))
     return pa.RecordBatch.from_pydict(dict(zip(BLOCK.names, map(list, zip(*rows)))) if rows else {n: [] for n in BLOCK.names}, schema=BLOCK)
 
 
@@ -210,7 +234,7 @@ def settled(recurse: bool):
     def settle(table: pa.Table) -> pa.Table:
         parts = {0: [], 1: []}
         for part, block in zip(table.column("part").to_pylist(), table.column("block")):
-            parts[part].append(np.frombuffer(block.as_py(), TUPLE))
+            parts[part].append(from_block(block.as_py(), LOST if part else CHECKED if recurse else UNCHECKED))
         none = np.zeros(0, TUPLE)
         t, new, first = firsts(np.concatenate(parts[0] or [none]))
         late = np.concatenate([t[t["doc"] > first], *parts[1]])
@@ -230,11 +254,15 @@ def settled(recurse: bool):
     return settle
 
 
-def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row; ids are integers."""
+def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row; ids are integers.
+
+    A bucket is opened for ``bucket_bytes`` of text, by default a 512th within ``BUCKET_BYTES``.
+    """
     small_batches(docs.sparkSession)
     rows = texts(docs, doc_id, text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     total = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    bucket_bytes = bucket_bytes or min(max(total // 512, BUCKET_BYTES[0]), BUCKET_BYTES[1])
     buckets = max(8, -(-total // bucket_bytes))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,38 +298,36 @@ def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
                 place = np.searchsorted(keys, own[which])
                 starts, owner = p.windows(which, marks[place])
                 if len(starts):
-                    yield sent(mixed(p.run[owner]), p.window[starts], number[p.rows()[owner]], np.zeros(len(starts), np.uint32), buckets)
+                    yield sent(mixed(p.run[owner]), p.window[starts], number[p.rows()[owner]], None, buckets)
 
     single = known.mapInArrow(look_into, schema).groupBy("bucket").applyInArrow(settled(False), VERDICT)
     late = single.groupBy("doc_id").agg(F.collect_list("name").alias("late")).withColumnRenamed("doc_id", "id2")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, raws, more in chunks(batches, ("gone", "late")):
-            gone, windows = (pairs([m[k] or [] for m in more], range(len(more)), ordered=True) for k in (0, 1))
-            covered = [np.zeros(len(raw) + 1, np.int32) for raw in raws]
-            for p in in_groups([d if any(m) else None for d, m in zip(ids, more)], raws):
-                which = np.flatnonzero(member(p.name ^ salt(p.rows()), gone))
-                owner, starts = p.spread(which)
-                left, single = p.spread(np.setdiff1d(np.arange(len(p.at)), which))
-                hit = member(p.window[single] ^ salt(p.rows()[left]), windows)
+        for ids, raws, more in chunks(batches, ("gone", "open", "late")):
+            # Single windows that lost belong to positions that were looked into.
+            gone, opened, windows = (pairs([m[k] or [] for m in more], range(len(more)), ordered=True) for k in (0, 1, 2))
+            covered = [np.zeros(len(raw), bool) for raw in raws]
+            for p in in_groups([d if m[0] or m[2] else None for d, m in zip(ids, more)], raws):
+                own = p.name ^ salt(p.rows())
+                lost = member(own, gone)
+                _, starts = p.spread(np.flatnonzero(lost))
+                owner, single = p.spread(np.flatnonzero(member(own, opened) & ~lost))
+                hit = member(p.window[single] ^ salt(p.rows()[owner]), windows)
                 starts = np.concatenate([starts, single[hit]])
-                piece = p.piece_of[starts]
-                inside = starts + p.shift[piece]
-                row = p.row[piece]
-                for r in np.unique(row):
-                    own = inside[row == r]
-                    np.add.at(covered[r], own, 1)
-                    np.add.at(covered[r], own + LENGTH, -1)
+                edge = np.bincount(starts, minlength=len(p.piece_of) + 1) - np.bincount(starts + LENGTH, minlength=len(p.piece_of) + 1)
+                inside = np.cumsum(edge[:-1]) > 0
+                for row, a, b, shift in p.pieces():
+                    covered[row][a + shift : b + shift] |= inside[a:b]
             out = []
-            for d, raw, edge in zip(ids, raws, covered):
-                gone_here = np.cumsum(edge)[:-1] > 0
+            for d, raw, gone_here in zip(ids, raws, covered):
                 spans = int(np.count_nonzero(np.diff(gone_here.astype(np.int8), prepend=0) == 1))
                 rest = np.frombuffer(raw, np.uint8)[~gone_here].tobytes() if spans else raw
                 out.append((d, len(raw), int(gone_here.sum()), spans, hashlib.sha256(rest).hexdigest()))
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=RESULT)
 
-    judged = known.join(late, F.col("doc_id") == F.col("id2"), "left").select("doc_id", "raw", "gone", "late")
+    judged = known.join(late, F.col("doc_id") == F.col("id2"), "left").select("doc_id", "raw", "gone", "open", "late")
     return judged.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
