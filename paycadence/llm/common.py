@@ -60,14 +60,16 @@ def held_out(modulus: int, rest: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def ordinals(df: DataFrame, groups: list[str], order: list[Column], out: str, rows_a_task: int = 20_000) -> DataFrame:
+def ordinals(df: DataFrame, groups: list[str], order: list[Column], out: str, rows_a_task: int | None = None) -> DataFrame:
     """Numbers the rows of each group from 0 without a gap, no group in one task.
 
     Rows go to buckets by the hash of ``order``; a bucket's first number is the count of the
     buckets before it. So numbers follow a pseudo-random order that depends on the data alone.
-    Only counts per bucket, one row for about ``rows_a_task`` rows, meet in a group.
+    A bucket of all rows has about ``rows_a_task``, by default 2,000 or what makes 5,000 buckets;
+    only counts per bucket meet in a group.
     """
     total = df.count()
+    rows_a_task = rows_a_task or max(2_000, total // 5_000)
     buckets = max(1, -(-total // rows_a_task))
     df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = df.groupBy(*groups, "__bucket").agg(F.count(F.lit(1)).alias("__n"))

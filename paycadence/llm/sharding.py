@@ -140,7 +140,7 @@ def _signed(x: int) -> int:
 
 
 def shard(
-    docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", text: str = "text", rows_a_task: int = 20_000
+    docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", text: str = "text", rows_a_task: int | None = None
 ) -> DataFrame:
     """doc_id, size, text_crc32, law (``bytes``), shard, slot and grown_shard for every row."""
     binary = F.col("text").cast("binary")
