@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_tables import documents  # noqa: F401 - a fixture
+
 import corpus_pipeline
 from paycadence.llm import neardup, packing, pii, quality, queries, repeats
 from paycadence.llm.common import components, table, texts

@@ -10,6 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpus_tables import documents  # noqa: F401 - a fixture
+
 from paycadence.llm import mixing, packing, queries
 from paycadence.llm.common import ordinals
 

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_tables import documents  # noqa: F401 - a fixture
+
 from paycadence.llm import quality, queries, toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
