@@ -11,7 +11,9 @@ hardly more than one point a shingle.
 Equal texts form one class first, by a 128-bit hash, and only one row of each goes on. Registers
 are banded; in a band's bucket each text is linked to the first one (in a fixed pseudo-random
 order) and to its neighbour in that order: two links a row, however large the bucket. Each link
-is then verified by the true multiset overlap, and classes are the connected components.
+is then verified by the true multiset overlap. Where a bucket still holds several components,
+all its pairs from different ones are compared, in blocks of bounded size (``cross_links``); so
+no pair that shares a bucket is left out. Classes are the connected components.
 
 Null text counts as empty. Texts without words are alike only if equal. A row with a null id joins
 a class by equal text only, and a class of null ids alone has a null class_id. Repeated rows come
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ BANDS, ROWS = 32, 5
 REMEMBERED = 300_000
 #: Rows of ids up to which a set of them is broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows, and elements of their multisets, of a part of a bucket; two parts are compared in memory.
+PART_ROWS, PART_ELEMENTS = 500, 2_000_000
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,6 +196,79 @@ def candidate_links(bands: DataFrame, block: int = 1_000) -> DataFrame:
     )
 
 
+def cross_links(every: DataFrame, bands: DataFrame, roots: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
+    """Alike pairs (a, b) from different components (``roots``) of one bucket; those that one task joins are left out.
+
+    Buckets of up to three rows were compared whole by ``candidate_links``. The largest
+    component needs no comparison inside, so its parts meet those of the other rows only.
+    """
+    rooted = bands.join(roots, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+    first = F.struct(F.xxhash64("id", F.lit(9)).alias("r"), F.col("id").alias("head"))
+    opened = (
+        rooted.groupBy("key", "root")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("h"))
+        .groupBy(F.col("key").alias("__key"))
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.min("h").alias("h"))
+        .filter("roots > 1 and n > 3")
+        .select("__key", "h.head")
+    )
+    # Buckets of one first row, mostly one family's in several bands, are compared as one.
+    members = kept(rooted.join(opened, F.col("key") == F.col("__key")).select(F.col("head").alias("key"), "id", "root").distinct())
+    most = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("__key"))
+    most = most.agg(F.max(F.struct("n", "root"))["root"].alias("most"))
+    members = members.join(most, F.col("key") == F.col("__key")).select("key", "id", "root", (F.col("root") == F.col("most")).alias("major"))
+    bags = _bags(every, members.select(F.col("id").alias("doc_id")).distinct(), words)
+    weighed = kept(members.join(bags.select("doc_id", F.size("bag").alias("size")), F.col("id") == F.col("doc_id")).drop("doc_id"))
+    need = F.greatest(F.count(F.lit(1)) / PART_ROWS, F.sum("size") / PART_ELEMENTS)
+    parts = weighed.groupBy("key", "major").agg(F.ceil(need).cast("int").alias("p")).groupBy(F.col("key").alias("__key"))
+    parts = parts.agg(F.max(F.expr("if(major, p, 0)")).alias("p"), F.max(F.expr("if(major, 0, p)")).alias("q"))
+    dealt = weighed.join(parts, F.col("key") == F.col("__key")).withColumn(
+        "part", F.pmod(F.xxhash64("id", F.lit(3)), F.expr("if(major, p, q)")).cast("int")
+    )
+    # Block (i, j): part i of the other rows against their part j, or against part j - q of the largest component.
+    meets = F.expr(
+        "if(major, transform(sequence(0, q - 1), i -> struct(i as i, q + part as j)), "
+        "transform(sequence(0, p + q - 1), x -> struct(if(x < q, least(x, part), part) as i, if(x < q, greatest(x, part), x) as j)))"
+    )
+    dealt = dealt.select("key", "id", "root", "part", "major", F.explode(meets).alias("m")).select("key", "id", "root", "part", "major", "m.*")
+    dealt = dealt.join(bags, F.col("id") == F.col("doc_id")).drop("doc_id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        bag = table.column("bag").combine_chunks()
+        ends = np.append(bag.offsets.to_numpy()[:-1], bag.offsets.to_numpy()[-1])
+        values = bag.values.to_numpy()[ends[0] : ends[-1]]
+        pairs = alike_pairs(table.column("id").to_numpy(), table.column("root").to_numpy(), values, ends - ends[0], similarity)
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def alike_pairs(ids: np.ndarray, roots: np.ndarray, values: np.ndarray, ends: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Alike rows of different components, each found pair making two of them one; row k has elements ends[k] to ends[k + 1]."""
+    n, sizes = len(ids), np.diff(ends)
+    _, number = np.unique(values, return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(number, kind="stable")
+    holders, first = owner[order], np.searchsorted(number[order], np.arange(number.max() + 2 if len(number) else 1))
+    _, root = np.unique(roots, return_inverse=True)
+    found = []
+    # Rows of the largest component come last: once the others have been led, nothing is left between its rows.
+    for k in np.argsort(np.bincount(root)[root], kind="stable").tolist():
+        apart = root != root[k]
+        if not apart.any():
+            continue
+        mine = number[ends[k] : ends[k + 1]]
+        starts, counts = first[mine], first[mine + 1] - first[mine]
+        at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        shared = np.bincount(holders[at], minlength=n)
+        alike = apart & (shared > 0) & (shared / np.maximum(sizes + sizes[k] - shared, 1) >= similarity)
+        for other in np.flatnonzero(alike).tolist():
+            if root[other] != root[k]:
+                found.append((min(ids[k], ids[other]), max(ids[k], ids[other])))
+                root[root == root[other]] = root[k]
+    return found
+
+
 def _labelled(docs: DataFrame, similarity: float, words: int, bands: int, rows: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows with their text's hash (doc_id, e1, e2), and each distinct text's least id and class (k1, k2, id, class_id)."""
     small_batches(docs.sparkSession)
@@ -201,6 +279,9 @@ def _labelled(docs: DataFrame, similarity: float, words: int, bands: int, rows:
     pairs = kept(candidate_links(exploded))
     links = kept(verified(every, pairs, similarity, words).select("a", "b"))
     roots = components(links)
+    more = kept(cross_links(every, exploded, roots, similarity, words))
+    if more.limit(1).count():
+        roots = components(links.unionByName(more))
     of = alike.select("e1", "e2", "id").join(roots, F.col("id") == F.col("node"), "left")
     return signed.select("doc_id", "e1", "e2"), of.select(
         F.col("e1").alias("k1"), F.col("e2").alias("k2"), "id", F.coalesce("root", "id").alias("class_id")
@@ -232,17 +313,22 @@ def deduplicate(
     return marked.join(first, same, "left_semi").dropDuplicates(["__e1", "__e2"]).drop("__e1", "__e2")
 
 
-def verified(every: DataFrame, pairs: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
-    """The pairs whose multisets of shingles overlap enough, with their similarity."""
-    ids = kept(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _bags(every: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and bag, the multiset of shingles, of some ids."""
+    ids = kept(ids)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    bags = kept(
+    return kept(
         every.join(ids, "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"))
         .select("doc_id", _members(words)("text").alias("bag"))
     )
+
+
+def verified(every: DataFrame, pairs: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
+    """The pairs whose multisets of shingles overlap enough, with their similarity."""
+    bags = _bags(every, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words)
     left = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
     right = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
     shared = F.size(F.array_intersect("bag_a", "bag_b"))
