@@ -10,10 +10,11 @@ external induced sorting, only sampled suffixes are sorted, and the rest is indu
 2. Tuples (run, name, document) are sorted externally: tasks send them in packed blocks to
    buckets of runs. Equal names of a later document: every window of the stretch is removed.
    Before they are sent, tuples of equal names are reduced to the first document's in each
-   block; so a passage of a third of all texts reaches its bucket once for each block.
+   block; so a passage of a third of all texts reaches its bucket once for each block. Tuples of
+   a hot run, one of a frequent line in many contexts, go to buckets by their names instead.
 3. Recursion: where names differ under one run, windows may still be equal in part. Those whose
    middle bytes agree (a check of a byte for each quarter of the stretch) go on as tuples of one
-   window each, sorted in the same way.
+   window each, sorted in the same way in buckets of windows. Of a hot run all quarters go on.
 
 Between the steps a document's verdicts come back to it by id, and its positions are computed
 anew rather than stored. Names have 64 bits beside the run's 32 and its bucket's.
@@ -43,6 +44,8 @@ SEGMENT, CHUNK = 1 << 20, 1 << 20
 QUARTER = 8
 #: Text bytes for which a bucket is opened: at least, and at most (a bucket is sorted in memory).
 BUCKET_BYTES = 12 << 20, 256 << 20
+#: Text bytes for each part of the sample that finds hot runs.
+SAMPLE_BYTES = 4 << 20
 
 BLOCK = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("block", pa.binary())])
 
@@ -197,16 +200,20 @@ def firsts(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t, new, t["doc"][head]
 
 
-def sent(run: np.ndarray, name: np.ndarray, doc: np.ndarray, check: np.ndarray | None, buckets: int) -> pa.RecordBatch:
-    """Blocks for the buckets: first tuples (part 0), and those that lose to them here already (part 1).
+def sent(run: np.ndarray, name: np.ndarray, doc: np.ndarray, check: np.ndarray | None, buckets: int, hot: np.ndarray) -> pa.RecordBatch:
+    """Blocks for the buckets: first tuples (part 0; of runs in ``hot``, part 2), and those that lose to them here already (part 1).
 
-    The latter go to buckets by their documents, so that a frequent name doesn't fill one.
+    Without ``check`` (step 3), and for runs in ``hot`` (sorted), buckets go by name: only equal names
+    need to meet there. Those that lose go by their documents, so that a frequent name doesn't fill one.
     Inside a block tuples stand by document, so that this column compresses to nearly nothing.
     """
     t = np.empty(len(run), TUPLE)
     t["run"], t["name"], t["doc"], t["check"] = run & np.uint64(0xFFFFFFFF), name, doc, 0 if check is None else check
-    to = ((run >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    # Equal runs go to one bucket, so sorting inside a bucket sorts all.
+    spread = np.ones(len(run), bool) if check is None else member(run, hot)
+    key = np.where(spread, mixed(name + ODD), run)
+    to = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    # Which bucket, and whether by a hot run: equal names agree in both, so sorting inside sorts all.
+    to = to * 2 + (spread if check is not None else 0)
     order = np.lexsort((t["doc"], t["name"], t["run"], to))
     t, to = t[order], to[order]
     new = np.ones(len(t), bool)
@@ -218,7 +225,7 @@ def sent(run: np.ndarray, name: np.ndarray, doc: np.ndarray, check: np.ndarray |
     keep, to = keep[order], to[order]
     heads = np.flatnonzero(np.diff(to, prepend=-1))
     columns = UNCHECKED if check is None else CHECKED
-    rows = [(int(to[a]), 0, to_block(keep[a:b], columns)) for a, b in zip(heads, np.append(heads[1:], len(to)))]
+    rows = [(int(to[a]) // 2, int(to[a]) % 2 * 2, to_block(keep[a:b], columns)) for a, b in zip(heads, np.append(heads[1:], len(to)))]
     if len(late):
         late = late[np.argsort(late["doc"], kind="stable")]
         rows.append((int(mixed(late["doc"][:1].astype(np.uint64))[0] % np.uint64(buckets)), 1, to_block(late, LOST)))
@@ -232,12 +239,13 @@ def settled(recurse: bool):
     """For a bucket: (document, name, -1) to remove; with ``recurse`` (document, name, marked quarters) to look into."""
 
     def settle(table: pa.Table) -> pa.Table:
-        parts = {0: [], 1: []}
+        parts = {0: [], 1: [], 2: []}
         for part, block in zip(table.column("part").to_pylist(), table.column("block")):
-            parts[part].append(from_block(block.as_py(), LOST if part else CHECKED if recurse else UNCHECKED))
+            parts[part].append(from_block(block.as_py(), LOST if part == 1 else CHECKED if recurse else UNCHECKED))
         none = np.zeros(0, TUPLE)
         t, new, first = firsts(np.concatenate(parts[0] or [none]))
-        late = np.concatenate([t[t["doc"] > first], *parts[1]])
+        hot, new_hot, first_hot = firsts(np.concatenate(parts[2] or [none]))
+        late = np.concatenate([t[t["doc"] > first], hot[hot["doc"] > first_hot], *parts[1]])
         doc, name, marks = late["doc"], late["name"], np.full(len(late), -1, np.int32)
         if recurse:
             t = t[new]
@@ -247,6 +255,12 @@ def settled(recurse: bool):
                 key = t["run"].astype(np.uint64) * np.uint64(256) + check
                 _, back, n = np.unique(key, return_inverse=True, return_counts=True)
                 found |= ((n[back] > 1) & (check > 0)).astype(np.int32) << q
+            # A hot run's names are in many buckets: all their quarters are looked into.
+            hot = hot[new_hot]
+            every = np.zeros(len(hot), np.int32)
+            for q in range(4):
+                every |= ((hot["check"] >> np.uint32(8 * q)) & np.uint32(255) > 0).astype(np.int32) << q
+            t, found = np.concatenate([t, hot]), np.concatenate([found, every])
             open_ = found > 0
             doc, name, marks = (np.concatenate(x) for x in ((doc, t["doc"][open_]), (name, t["name"][open_]), (marks, found[open_])))
         return pa.table({"doc_id": doc.astype(np.int64), "name": np.ascontiguousarray(name).view(np.int64), "quarters": marks})
@@ -264,6 +278,7 @@ def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     total = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     bucket_bytes = bucket_bytes or min(max(total // 512, BUCKET_BYTES[0]), BUCKET_BYTES[1])
     buckets = max(8, -(-total // bucket_bytes))
+    hot = hot_runs(rows, total, bucket_bytes)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raws, _ in chunks(batches):
@@ -271,7 +286,7 @@ def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
             for p in in_groups(ids, raws):
                 if len(p.at):
                     check = np.ascontiguousarray(p.checks()).view("<u4")[:, 0]
-                    yield sent(p.run, p.name, number[p.rows()], check, buckets)
+                    yield sent(p.run, p.name, number[p.rows()], check, buckets, hot)
 
     schema = "bucket int, part int, block binary"
     named = rows.mapInArrow(sample, schema).groupBy("bucket").applyInArrow(settled(True), VERDICT)
@@ -298,7 +313,7 @@ def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
                 place = np.searchsorted(keys, own[which])
                 starts, owner = p.windows(which, marks[place])
                 if len(starts):
-                    yield sent(mixed(p.run[owner]), p.window[starts], number[p.rows()[owner]], None, buckets)
+                    yield sent(mixed(p.run[owner]), p.window[starts], number[p.rows()[owner]], None, buckets, hot)
 
     single = known.mapInArrow(look_into, schema).groupBy("bucket").applyInArrow(settled(False), VERDICT)
     late = single.groupBy("doc_id").agg(F.collect_list("name").alias("late")).withColumnRenamed("doc_id", "id2")
@@ -331,6 +346,25 @@ def removed_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     return judged.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def hot_runs(rows: DataFrame, total: int, bucket_bytes: int) -> np.ndarray:
+    """Runs, sorted, that would have over a 16th of a bucket's tuples, by a sample of the documents.
+
+    They decide only where tuples meet, not the result. There are at most some 16 for each bucket.
+    """
+    share = max(1, min(32, total // SAMPLE_BYTES))
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share)) == 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, raws, _ in chunks(batches):
+            for p in in_groups(ids, raws):
+                run, n = np.unique(p.run, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"run": run.view(np.int64), "n": n.astype(np.int64)})
+
+    most = bucket_bytes / 16 / 16 / share
+    found = sample.mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
+    return np.sort(np.array([r["run"] for r in found.select("run").collect()], np.int64).view(np.uint64))
+
+
 RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 

@@ -177,6 +177,30 @@ def test_removed_bytes_against_brute_force(spark, documents, monkeypatch, small)
     assert repeats.removed_bytes(documents([])).count() == 0
 
 
+def test_a_line_in_different_contexts_fills_no_bucket(spark, documents, monkeypatch):
+    random.seed(9)
+    line = "A line that a third of all documents hold, each in another context"
+    # The least hash of its runs lies inside, and its windows straddle both edges.
+    rows = [(i, "".join(random.choices("abcdefgh ", k=60)) + (line if i % 3 == 0 else "") + "".join(random.choices("abcdefgh ", k=60))) for i in range(900)]
+    settled = repeats.settled
+
+    def limited(recurse):
+        settle = settled(recurse)
+
+        def checked(table):
+            # Those that lost in their chunk already go by document.
+            size = sum(len(b.as_py()) for part, b in zip(table.column("part").to_pylist(), table.column("block")) if part != 1)
+            if size > 4_000:
+                raise ValueError(f"a bucket of {size} bytes")
+            return settle(table)
+
+        return checked
+
+    monkeypatch.setattr(repeats, "settled", limited)
+    got = collections.Counter(tuple(r) for r in repeats.removed_bytes(documents(rows), bucket_bytes=1000).collect())
+    assert got == plain_removal(rows)
+
+
 def test_registered_queries(spark, tables):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
     assert collections.Counter(tuple(r) for r in queries.op3_sampled_suffix_repeats(spark, tables).collect()) == plain_removal(docs)
