@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paycadence.llm import mixing, neardup, packing, pii, quality
-from paycadence.llm.common import table, texts
+from paycadence.llm.common import checkpoint_dir, table, texts
 from paycadence.llm.queries import vocabulary
 
 THRESHOLD = 0.7
@@ -37,8 +39,15 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and their place in it."""
-    return packing.pack(docs, vocabulary())
+    """Pieces of documents with their sequence and their place in it.
+
+    Ranges of the mix's order are packed one by one. Rows that are in no files have no order and are packed by hash.
+    """
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema
+    except AnalysisException:
+        return packing.pack(docs, vocabulary())
+    return packing.pack_in_order(docs, vocabulary())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -53,8 +62,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as Parquet in the checkpoint folder, read again: the next stage sees its files in order."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -40,19 +40,22 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder: lineage ends there, executors may be lost.
+    """The frame written to the shared checkpoint folder: lineage ends there, executors may be lost."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
-    The folder is ``spark.checkpoint.dir``; only a local master gets one of its own.
-    """
-    context = df.sparkSession.sparkContext
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder is ``spark.checkpoint.dir``; only a local master gets one of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that every executor reaches")
             folder = tempfile.mkdtemp(prefix="paycadence-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def held_out(modulus: int, rest: int, doc_id: str = "doc_id") -> Column:

@@ -5,6 +5,9 @@ pieces and a rest. A task packs the pieces of one bucket, the largest first: a p
 open sequence (or a new one) after which the squared counts of open sequences per free length
 add up to the least; ties go to the tightest fit.
 
+``pack`` deals pieces to buckets by a hash; ``pack_in_order`` packs ranges of the rows' order in
+their files, so that an order such as the mix's decides which rows share sequences.
+
 Null text counts as empty and yields one piece, the end mark. Repeated rows are packed one by
 one. Buckets hold about ``pieces_a_task`` pieces by a hash of id, piece and content; a bucket
 needs memory for its own rows only, and nothing else of a row travels but numbers.
@@ -101,8 +104,10 @@ def tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of each piece of each row."""
+def pieces(
+    docs: DataFrame, path: str, size: int = 2048, end: int = 0, doc_id: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of each piece of each row, and the columns ``also``."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<struct<start:long,length:long,ids_crc32:long>>")
@@ -116,10 +121,11 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, doc_id: s
                 out.append([(a, min(size, n - a), zlib.crc32(raw[4 * a : 4 * (a + size)])) for a in range(0, n, size)])
             yield pd.Series(out)
 
-    return (
-        texts(docs, doc_id, text)
-        .select("doc_id", F.posexplode(cut("text")).alias("piece", "x"))
-        .select("doc_id", "piece", "x.start", "x.length", "x.ids_crc32")
+    rows = texts(docs, doc_id, text) if not also else docs.select(
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *also
+    )
+    return rows.select("doc_id", F.posexplode(cut("text")).alias("piece", "x"), *also).select(
+        "doc_id", "piece", "x.start", "x.length", "x.ids_crc32", *also
     )
 
 
@@ -153,9 +159,8 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return where, offset
 
 
-def _packed(df: DataFrame, size: int, buckets: int, key: list[str], length: str, prefix: str) -> DataFrame:
-    """Adds <prefix>sequence and <prefix>offset, packing each bucket by itself."""
-    numbered = df.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+def _packed(numbered: DataFrame, size: int, length: str, prefix: str) -> DataFrame:
+    """Adds <prefix>sequence and <prefix>offset, packing each ``__bucket`` by itself."""
     schema = ", ".join(f"`{c}` {t}" for c, t in numbered.dtypes) + f", `{prefix}sequence` long, `{prefix}offset` long"
 
     def pack(group: pa.Table) -> pa.Table:
@@ -181,6 +186,46 @@ def pack(
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece."""
     rows = kept(pieces(docs, path, size, end, doc_id, text))
     buckets = max(1, -(-rows.count() // pieces_a_task))
-    return _packed(rows, size, buckets, ["doc_id", "piece", "ids_crc32"], "length", "").select(
+    return _named(_packed(rows.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets))), size, "length", ""))
+
+
+def _named(out: DataFrame) -> DataFrame:
+    return out.select(
         "doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), "offset"
     )
+
+
+def pack_in_order(
+    docs: DataFrame,
+    path: str,
+    size: int = 2048,
+    end: int = 0,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    pieces_a_range: int = 4_000,
+    rows_a_block: int = 500,
+) -> DataFrame:
+    """As ``pack``, but over ranges of the rows as they stand in files: sequence ids ascend with the ranges.
+
+    ``docs`` is read from Parquet files written in the order of their part numbers. A range is
+    made of whole blocks of ``rows_a_block`` rows of a file; it ends at the block that fills it.
+    """
+    number = F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) as long)"), F.lit(0))
+    placed = docs.select(
+        F.col(doc_id).alias("__doc_id"),
+        F.col(text).alias("__text"),
+        F.struct(number.alias("part"), F.col("_metadata.file_path").alias("file"), F.expr(f"_metadata.row_index div {rows_a_block}").alias("block")).alias("__at"),
+    )
+    rows = kept(pieces(placed, path, size, end, "__doc_id", "__text", ("__at",)))
+    # One row for each block of a file, not for each document.
+    blocks = sorted((tuple(r["__at"]), r["n"]) for r in rows.groupBy("__at").agg(F.count(F.lit(1)).alias("n")).collect())
+    ranges, bucket, filled = [], 0, 0
+    for at, n in blocks:
+        if filled >= pieces_a_range:
+            bucket, filled = bucket + 1, 0
+        ranges.append((at, bucket))
+        filled += n
+    kind = rows.schema["__at"].dataType.simpleString()
+    of = docs.sparkSession.createDataFrame(ranges, f"__place {kind}, __bucket long")
+    numbered = rows.join(F.broadcast(of), F.col("__at") == F.col("__place")).drop("__at", "__place")
+    return _named(_packed(numbered, size, "length", ""))

@@ -246,6 +246,22 @@ def test_the_mix_decides_the_order_of_rows(spark, documents):
     assert sorted(r.doc_id for r in out) == list(range(320))
 
 
+def test_the_mix_decides_which_sources_share_sequences(spark, documents, tmp_path):
+    rows = [(i, f"word{i} " * 3, "hot" if i < 6000 else f"s{i % 4}") for i in range(9600)]
+    corpus_pipeline.mixed_sources(spark, documents(rows), "").write.parquet(f"{tmp_path}/mix")
+    out = corpus_pipeline.packed(spark, spark.read.parquet(f"{tmp_path}/mix"), "").collect()
+    assert sorted(r.doc_id for r in out) == list(range(9600))
+    ranges = collections.defaultdict(list)
+    for r in out:
+        ranges[r.sequence_id >> 32].append(rows[r.doc_id][2])
+    roots = {s: n**0.5 for s, n in collections.Counter(r[2] for r in rows).items()}
+    assert len(ranges) > 1
+    # Small sources run out after about 5,500 rows: the first range holds the targets, the last one hot rows alone.
+    for s, root in roots.items():
+        assert abs(ranges[0].count(s) / len(ranges[0]) - root / sum(roots.values())) < 0.02
+    assert set(ranges[max(ranges)]) == {"hot"}
+
+
 def test_stages_on_empty_and_odd_tables(spark, documents, tables):
     odd = documents([(None, None), (1, None), (1, ""), (2, "x@y.zz " * 60), (2, "x@y.zz " * 60)])
     for rows in (documents([]), odd):
