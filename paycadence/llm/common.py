@@ -21,8 +21,13 @@ _shipped: set[str] = set()
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Makes Python workers ready: ``BATCH_ROWS`` rows a batch, and this package where they can import it."""
+    """Makes Python workers ready: ``BATCH_ROWS`` rows a batch (from here on in this session), and ``ship``."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to where Python workers can import it, once for each application."""
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent

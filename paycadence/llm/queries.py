@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, neardup, packing, pii, quality, repeats, rules, sharding, toxicity
+from . import centroids, fingerprints, first_fit, manifest, mixing, neardup, packing, pii, quality, repeats, rules, sharding, toxicity
 from .common import table
+from .oracles import MERKLE, rotated_clusters
 
 
-def vocabulary() -> str:
-    """Where the public word tokenizer's file is."""
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file is."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,18 @@ def op10_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents")).select(*columns.split())
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_first_fit_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_fit.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op13_rotated_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +84,9 @@ QUERIES = {
         op8_multiset_fingerprints,
         op9_bag_minhash,
         op10_suffix_repetition,
+        op11_merkle_manifest,
+        op12_first_fit_tournament,
+        op13_rotated_clusters,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": MERKLE, "op13_rotated_clusters": rotated_clusters()}
