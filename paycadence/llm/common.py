@@ -39,6 +39,35 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+class Remembered:
+    """A bounded memory in two generations: what is met again while a generation fills outlives it."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size = make, size
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, keys: list[str]) -> list[bytes]:
+        """The value of each key, made where it isn't known."""
+        new = self.new
+        found = list(map(new.get, keys))
+        if None in found:
+            old, make = self.old, self.make
+            for i, value in enumerate(found):
+                if value is None:
+                    key = keys[i]
+                    value = new.get(key)
+                    if value is None:
+                        value = old.get(key)
+                        if value is None:
+                            value = make(key)
+                        new[key] = value
+                    found[i] = value
+            if len(new) > self.size:
+                self.old, self.new = new, {}
+        return found
+
+
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and text alone, so that other columns can't clash; a null text is empty."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -23,8 +23,10 @@ own rests. An empty table gives no rows.
 
 from __future__ import annotations
 
+import array
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,13 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import Remembered, small_batches, texts
 
 # How byte-level vocabularies split text, and the bytes that stand for themselves in their files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PLAIN_BYTES = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
 
-#: Runs of one kind of character beyond which a text goes to the slower library, whose time stays linear.
+#: Spaces and line feeds with what follows them: between two of these a text can be cut, if it holds no other white space.
+CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+REMEMBERED = 500_000
+
+#: Runs of one kind of character beyond which text goes to the slower library, whose time stays linear.
 LONG_RUN = 4_000
 
 
@@ -53,7 +60,8 @@ class ByteTokenizer:
     """The ids of a byte-level BPE tokenizer's file, by a faster library that holds the same vocabulary.
 
     Ids of such a file ascend with the order of merges, so they are the ranks of their byte
-    strings. Texts that hold an added token's string go through ``tokenizers`` itself.
+    strings. Texts that hold an added token's string go through ``tokenizers`` itself. The ids
+    of words are remembered, as bytes of numbers of ``width``.
     """
 
     def __init__(self, path: str):
@@ -74,14 +82,20 @@ class ByteTokenizer:
         known = declared["pre_tokenizer"]["type"] == "ByteLevel" and declared["normalizer"] is None
         self.same = known and not declared["pre_tokenizer"].get("add_prefix_space") and declared["pre_tokenizer"].get("use_regex", True)
         self.width = "<u2" if self.plain.get_vocab_size() <= 1 << 16 else "<u4"
+        code, fast = "H" if self.width == "<u2" else "I", self.fast.encode_ordinary
+        self.known = Remembered(lambda chunk: array.array(code, (fast if len(chunk) < LONG_RUN else self.one)(chunk)).tobytes(), REMEMBERED)
 
     def one(self, text: str) -> list[int]:
         return self.plain.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str) -> list[int]:
-        if not self.same or any(t in text for t in self.added) or (len(text) >= LONG_RUN and self.long.search(text)):
-            return self.one(text)
-        return self.fast.encode_ordinary(text)
+    def encode(self, text: str) -> bytes:
+        """The ids of the text, little-endian numbers of ``width``."""
+        if not self.same or any(t in text for t in self.added):
+            return np.array(self.one(text), self.width).tobytes()
+        if any(c in text for c in OTHER_SPACE):
+            long = len(text) >= LONG_RUN and self.long.search(text)
+            return np.array((self.one if long else self.fast.encode_ordinary)(text), self.width).tobytes()
+        return b"".join(self.known.of(CHUNK.findall(text)))
 
 
 _LOADED: dict[str, ByteTokenizer] = {}
@@ -166,11 +180,11 @@ def pack(
         for batch in batches:
             tokens, full, rest = [], [], []
             for text_ in batch.column(2).to_pylist():
-                ids = np.array([*encoder.encode(text_), end], "<u4")
+                ids = np.frombuffer(encoder.encode(text_) + np.array([end], encoder.width).tobytes(), encoder.width)
                 whole = len(ids) // size * size
                 tokens.append(len(ids))
-                full.append([zlib.crc32(ids[a : a + size].tobytes()) for a in range(0, whole, size)])
-                rest.append(ids[whole:].astype(encoder.width).tobytes())
+                full.append([zlib.crc32(ids[a : a + size].astype("<u4").tobytes()) for a in range(0, whole, size)])
+                rest.append(ids[whole:].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array([encoder.width] * len(tokens))],
                 ["doc_id", "__group", "doc_tokens", "full", "rest", "width"],

@@ -65,11 +65,15 @@ ODD = [
 ]
 
 
+def ids(t, text):
+    return np.frombuffer(t.encode(text), t.width).tolist()
+
+
 @given(st.lists(st.text("aAé'’s dt.,!1 \n\t\x1cćßΣ#😀", max_size=80), max_size=8))
 @settings(max_examples=300, deadline=None)
 def test_ids_equal_the_tokenizer(vocabulary, batch):
     t = first_fit.tokenizer(vocabulary)
-    assert [t.encode(x) for x in batch] == [t.one(x) for x in batch]
+    assert [ids(t, x) for x in batch] == [t.one(x) for x in batch]
 
 
 def test_ids_of_odd_texts_and_of_documents(spark, tables, vocabulary):
@@ -77,7 +81,14 @@ def test_ids_of_odd_texts_and_of_documents(spark, tables, vocabulary):
     assert t.same and t.width == "<u2"
     some = [r.text or "" for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
     for text in ODD + some:
-        assert t.encode(text) == t.one(text)
+        assert ids(t, text) == t.one(text)
+
+
+def test_a_full_memory_changes_nothing(vocabulary, monkeypatch):
+    monkeypatch.setattr(first_fit, "REMEMBERED", 3)
+    t = first_fit.ByteTokenizer(vocabulary)
+    for _ in range(2):
+        assert [ids(t, x) for x in ODD] == [t.one(x) for x in ODD]
 
 
 def test_pieces_of_odd_rows(spark, documents, vocabulary):
