@@ -15,6 +15,7 @@ needs memory for its own rows only, and nothing else of a row travels but number
 
 from __future__ import annotations
 
+import array
 import os
 import re
 import zlib
@@ -26,72 +27,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, texts
+from .common import Remembered, kept, small_batches, texts
+from .first_fit import byte_of
 
-#: Words and their ids that a worker remembers before it starts anew.
+#: Words and their ids that a worker remembers in each of two generations.
 REMEMBERED = 500_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#$%&*()\"]*)")
+#: Longer words go to the library itself.
+LONG_WORD = 1_000
+#: The byte that ends a word below: no letter has it.
+END = b"\n"
 
 
 class WordTokenizer:
     """A word tokenizer of the ``tokenizers`` library, with a memory of the ids of words.
 
     Valid for tokenizers that drop white space, encode what stands between alone, and split
-    letters from punctuation, with an end-of-word mark in their vocabulary.
+    letters from punctuation, with an end-of-word mark in their vocabulary. Words of plain
+    letters are merged by a faster library: ids ascend with the order of merges there, so they are
+    the ranks of their byte strings, the end of a word being a byte of its own.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        vocabulary = self.plain.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        added = {t.content for t in self.plain.get_added_tokens_decoder().values()}
+        of, ranks = byte_of(), {}
+        for token, i in self.plain.get_vocab(with_added_tokens=False).items():
+            if token not in added:
+                word = token.removesuffix("</w>")
+                ranks[bytes(of[c] for c in word) + (END if word != token else b"")] = i
+        merge = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        marks = Remembered(self.one, REMEMBERED)
+
+        def make(chunk: str) -> bytes:
+            cut = PLAIN.fullmatch(chunk)
+            if cut is None or len(chunk) > LONG_WORD:
+                return self.one(chunk)
+            word = array.array("I", merge(cut[1].lower() + "\n")).tobytes()
+            return word + marks.of([cut[2]])[0] if cut[2] else word
+
+        self.known = Remembered(make, REMEMBERED)
 
     def one(self, text: str) -> bytes:
         return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Remembers words of plain letters, many in one call: each ends with an end-of-word id."""
-        words = list(words)
-        for at in range(0, len(words), 256):
-            block = words[at : at + 256]
-            ids = np.array(self.plain.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
-            if len(ends) != len(block):
-                self.parts.update((w, self.one(w)) for w in block)
-                continue
-            raw = ids.tobytes()
-            self.parts.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(block, [0, *ends[:-1].tolist()], ends.tolist()))
-
-    def _remember(self, words: set[str]) -> None:
-        chunks, parts = self.chunks, self.parts
-        cut = {w: PLAIN.fullmatch(w) for w in words}
-        self._learn({m[1].lower() for m in cut.values() if m and m[1].lower() not in parts})
-        for w, m in cut.items():
-            if m is None:
-                chunks[w] = self.one(w)
-                continue
-            if m[2] not in parts:
-                parts[m[2]] = self.one(m[2])
-            chunks[w] = parts[m[1].lower()] + parts[m[2]]
-
     def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
         # Python takes U+001C to U+001F for white space, the tokenizers don't.
         split = [re.split("[ \n]+", t) if SEPARATORS.search(t) else t.split() for t in batch]
-        known = self.chunks.get
-        found = [list(map(known, x)) for x in split]
-        self._remember({w for x, y in zip(split, found) if None in y for w, ids in zip(x, y) if ids is None})
-        return [b"".join(map(known, x) if None in y else y) for x, y in zip(split, found)]
+        return [b"".join(self.known.of(x)) for x in split]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
