@@ -10,10 +10,17 @@ hardly more than one point a shingle.
 
 Equal texts form one class first, by a 128-bit hash, and only one row of each goes on. Registers
 are banded; in a band's bucket each text is linked to the first one (in a fixed pseudo-random
-order) and to its neighbour in that order: two links a row, however large the bucket. Each link
-is then verified by the true multiset overlap. Where a bucket still holds several components,
-all its pairs from different ones are compared, in blocks of bounded size (``cross_links``); so
-no pair that shares a bucket is left out. Classes are the connected components.
+order) and to its neighbour in that order: two links a row, however large the bucket. Large buckets
+are dealt to parts, whose first rows are linked in the same way. Each link is then verified by the
+true multiset overlap, and links make components.
+
+A bucket of more than three rows may still hold several components. The texts of all such buckets
+are joined exactly (``apart_pairs``): elements of their multisets, the rarest first, meet by element
+and by class of size, and only where the remaining elements of both could still make the pair alike.
+Elements that a family of texts shares come last and meet nowhere, unless they alone make texts
+alike. Only pairs from different components are kept, one of them outside its bucket's largest; they
+are verified in rounds, a random share first, and each round drops the pairs that the ones found so
+far join. So no pair that shares a bucket is left out. Classes are the connected components.
 
 Null text counts as empty. Texts without words are alike only if equal. A row with a null id joins
 a class by equal text only, and a class of null ids alone has a null class_id. Repeated rows come
@@ -27,9 +34,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, kept, small_batches, texts
@@ -39,8 +45,12 @@ BANDS, ROWS = 32, 5
 REMEMBERED = 300_000
 #: Rows of ids up to which a set of them is broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Rows, and elements of their multisets, of a part of a bucket; two parts are compared in memory.
-PART_ROWS, PART_ELEMENTS = 500, 2_000_000
+#: Rows of a bucket beyond which it is dealt to parts of about as many rows.
+BLOCK = 500
+#: Pairs that a round verifies at least, if there are as many.
+ROUND_PAIRS = 10_000
+#: Ratio between neighbouring classes of multiset sizes.
+SIZE_STEP = 1.06
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -175,20 +185,31 @@ def _members(words: int):
     return elements
 
 
-def candidate_links(bands: DataFrame, block: int = 1_000) -> DataFrame:
-    """Distinct pairs a < b of ``bands`` (id, key): each row with its bucket's first and with its neighbour."""
+def _small(df: DataFrame) -> DataFrame:
+    """A stored frame of a few numbers a row, broadcast if a count of its rows allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def buckets(bands: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of ``bands`` (id, key) that share their bucket: with part (0, or from 1 on in a large bucket), the first
+    row (head) and the one before (beside) in the part."""
     rank = F.xxhash64("id", F.lit(9))
-    heads = (
-        bands.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(rank.alias("r"), F.col("id").alias("head"))).alias("h"))
-        .filter("n > 1")
-        .select(F.col("key").alias("__key"), "n", "h.head")
+    large = kept(bands.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block))
+    part = F.coalesce(1 + F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("n") / block)), F.lit(0))
+    dealt = bands.join(_small(large), F.col("key") == F.col("__key"), "left").select("id", "key", part.alias("part")).repartition("key", "part")
+    same = Window.partitionBy("key", "part")
+    ordered = same.orderBy(rank, "id")
+    rows = dealt.select("*", F.first("id").over(ordered).alias("head"), F.lag("id").over(ordered).alias("beside"), F.count(F.lit(1)).over(same).alias("n"))
+    return rows.filter("n > 1 or part > 0").drop("n")
+
+
+def candidate_links(rows: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of ``buckets``: each row with its part's first and its neighbour, and likewise the firsts."""
+    ordered = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(9)), "id")
+    firsts = rows.filter("part > 0 and head = id").select(
+        "id", F.first("id").over(ordered).alias("head"), F.lag("id").over(ordered).alias("beside")
     )
-    rows = bands.join(heads, F.col("key") == F.col("__key")).select(
-        "id", "key", "head", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("n") / block)).alias("part")
-    )
-    beside = F.lag("id").over(Window.partitionBy("key", "part").orderBy(rank, "id"))
-    pairs = rows.withColumn("beside", beside).select("id", F.explode(F.array("head", "beside")).alias("other"))
+    pairs = rows.select("id", "head", "beside").unionByName(firsts).select("id", F.explode(F.array("head", "beside")).alias("other"))
     return (
         pairs.filter(F.col("other").isNotNull() & (F.col("other") != F.col("id")))
         .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
@@ -196,77 +217,83 @@ def candidate_links(bands: DataFrame, block: int = 1_000) -> DataFrame:
     )
 
 
-def cross_links(every: DataFrame, bands: DataFrame, roots: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
-    """Alike pairs (a, b) from different components (``roots``) of one bucket; those that one task joins are left out.
+def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """id, root and minor of the rows in buckets of several components; minor: outside the largest one of some bucket.
 
-    Buckets of up to three rows were compared whole by ``candidate_links``. The largest
-    component needs no comparison inside, so its parts meet those of the other rows only.
+    Buckets of up to three rows were compared whole by ``candidate_links``.
     """
-    rooted = bands.join(roots, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("root"))
-    first = F.struct(F.xxhash64("id", F.lit(9)).alias("r"), F.col("id").alias("head"))
-    opened = (
-        rooted.groupBy("key", "root")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("h"))
-        .groupBy(F.col("key").alias("__key"))
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.min("h").alias("h"))
-        .filter("roots > 1 and n > 3")
-        .select("__key", "h.head")
-    )
-    # Buckets of one first row, mostly one family's in several bands, are compared as one.
-    members = kept(rooted.join(opened, F.col("key") == F.col("__key")).select(F.col("head").alias("key"), "id", "root").distinct())
-    most = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("__key"))
-    most = most.agg(F.max(F.struct("n", "root"))["root"].alias("most"))
-    members = members.join(most, F.col("key") == F.col("__key")).select("key", "id", "root", (F.col("root") == F.col("most")).alias("major"))
-    bags = _bags(every, members.select(F.col("id").alias("doc_id")).distinct(), words)
-    weighed = kept(members.join(bags.select("doc_id", F.size("bag").alias("size")), F.col("id") == F.col("doc_id")).drop("doc_id"))
-    need = F.greatest(F.count(F.lit(1)) / PART_ROWS, F.sum("size") / PART_ELEMENTS)
-    parts = weighed.groupBy("key", "major").agg(F.ceil(need).cast("int").alias("p")).groupBy(F.col("key").alias("__key"))
-    parts = parts.agg(F.max(F.expr("if(major, p, 0)")).alias("p"), F.max(F.expr("if(major, 0, p)")).alias("q"))
-    dealt = weighed.join(parts, F.col("key") == F.col("__key")).withColumn(
-        "part", F.pmod(F.xxhash64("id", F.lit(3)), F.expr("if(major, p, q)")).cast("int")
+    rooted = rows.join(roots, F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("key").alias("__key"))
+    sizes = sizes.agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"))
+    # Stored, so that the join below is one of two shuffled sides and its hot keys can be split.
+    open_ = kept(sizes.filter("roots > 1 and n > 3").select("__key", "most"))
+    return rooted.join(open_, F.col("key") == F.col("__key")).groupBy("id", "root").agg(F.max(F.col("root") != F.col("most")).alias("minor"))
+
+
+def apart_pairs(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Every alike pair a, b of ``members`` (id, root, minor) with roots ra, rb that differ, among few that aren't alike.
+
+    In the order of elements by rarity, alike pairs meet first at an element behind which both hold
+    enough. With sizes m <= n, a pair is alike if it shares (m + n) s / (1 + s) elements, s being the
+    similarity. So an element with u elements from it on (itself included) lets its text meet
+    sizes up to u (1 + s) / s - m only; the smaller text is sent to the classes of these sizes.
+    """
+    held = members.join(bags, F.col("id") == F.col("doc_id")).select("id", F.size("bag").alias("n"), F.explode("bag").alias("e"))
+    shared = held.groupBy(F.col("e").alias("__e")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    one = Window.partitionBy("id")
+    places = held.join(shared, F.col("e") == F.col("__e")).select(
+        "id", "n", "e", F.row_number().over(one.orderBy("c", "e")).alias("k"), F.count(F.lit(1)).over(one).alias("of")
     )
-    # Block (i, j): part i of the other rows against their part j, or against part j - q of the largest component.
-    meets = F.expr(
-        "if(major, transform(sequence(0, q - 1), i -> struct(i as i, q + part as j)), "
-        "transform(sequence(0, p + q - 1), x -> struct(if(x < q, least(x, part), part) as i, if(x < q, greatest(x, part), x) as j)))"
+    # Elements that nobody else holds come first: u elements remain from this one on.
+    left = places.select("id", "n", "e", (F.col("of") - F.col("k") + 1).alias("u")).filter(F.col("u") >= F.col("n") * similarity - 1e-9)
+    upto = F.least(F.col("u") * (1 + similarity) / similarity - F.col("n"), F.col("n") / similarity) + 1e-9
+    rows = kept(left.withColumn("upto", F.floor(upto)).join(members, "id").select("id", "root", "minor", "n", "e", "upto"))
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n) / float(np.log(SIZE_STEP))).cast("int")
+
+    large = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns], size_class(F.col("n")).alias("b_class"))
+    small = rows.filter("upto >= n").select("*", F.explode(F.sequence(size_class(F.col("n")), size_class(F.col("upto")))).alias("class"))
+    meet = F.expr(
+        "e = b_e and class = b_class and root != b_root and b_n >= n and b_n <= upto and n <= b_upto and (n < b_n or id < b_id)"
     )
-    dealt = dealt.select("key", "id", "root", "part", "major", F.explode(meets).alias("m")).select("key", "id", "root", "part", "major", "m.*")
-    dealt = dealt.join(bags, F.col("id") == F.col("doc_id")).drop("doc_id")
-
-    def compare(table: pa.Table) -> pa.Table:
-        bag = table.column("bag").combine_chunks()
-        ends = np.append(bag.offsets.to_numpy()[:-1], bag.offsets.to_numpy()[-1])
-        values = bag.values.to_numpy()[ends[0] : ends[-1]]
-        pairs = alike_pairs(table.column("id").to_numpy(), table.column("root").to_numpy(), values, ends - ends[0], similarity)
-        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64())})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-
-
-def alike_pairs(ids: np.ndarray, roots: np.ndarray, values: np.ndarray, ends: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Alike rows of different components, each found pair making two of them one; row k has elements ends[k] to ends[k + 1]."""
-    n, sizes = len(ids), np.diff(ends)
-    _, number = np.unique(values, return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(number, kind="stable")
-    holders, first = owner[order], np.searchsorted(number[order], np.arange(number.max() + 2 if len(number) else 1))
-    _, root = np.unique(roots, return_inverse=True)
-    found = []
-    # Rows of the largest component come last: once the others have been led, nothing is left between its rows.
-    for k in np.argsort(np.bincount(root)[root], kind="stable").tolist():
-        apart = root != root[k]
-        if not apart.any():
-            continue
-        mine = number[ends[k] : ends[k + 1]]
-        starts, counts = first[mine], first[mine + 1] - first[mine]
-        at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        shared = np.bincount(holders[at], minlength=n)
-        alike = apart & (shared > 0) & (shared / np.maximum(sizes + sizes[k] - shared, 1) >= similarity)
-        for other in np.flatnonzero(alike).tolist():
-            if root[other] != root[k]:
-                found.append((min(ids[k], ids[other]), max(ids[k], ids[other])))
-                root[root == root[other]] = root[k]
-    return found
+    # Two of the largest component never meet, so a hot element costs as many steps as it has rows outside of it, times its rows.
+    met = small.filter("minor").join(large, meet).unionByName(small.filter("not minor").join(large.filter("b_minor"), meet))
+    swap = F.col("id") > F.col("b_id")
+    choose = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return met.select(
+        choose("id", "b_id").alias("a"), choose("b_id", "id").alias("b"), choose("root", "b_root").alias("ra"), choose("b_root", "root").alias("rb")
+    ).distinct()
+
+
+def joined_roots(pairs: DataFrame, bags: DataFrame, similarity: float, at_once: int) -> DataFrame | None:
+    """(node, root) of the components that alike pairs make of roots; None if there are none.
+
+    Pairs are verified by rounds of rising shares, drawn by a hash, the first one of about ``at_once``.
+    """
+    left, edges, total = pairs, None, pairs.count()
+    drawn = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))
+    share, done = 1, None
+    while total // share > at_once:
+        share *= 4
+    names = None
+    while True:
+        now = left.filter(drawn % share == 0)
+        if done:
+            now = now.filter(drawn % done != 0)
+        found = kept(overlapping(now, bags, similarity).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        if not found.isEmpty():
+            edges = found if edges is None else kept(edges.unionByName(found))
+            names = components(edges)
+        if share == 1:
+            return names
+        share, done = share // 4, share
+        if names is not None:
+            ends = [names.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")) for c in ("ra", "rb")]
+            on = pairs.join(ends[0], F.col("ra") == F.col("ra_node"), "left").join(ends[1], F.col("rb") == F.col("rb_node"), "left")
+            left = kept(on.filter(F.coalesce("ra_root", "ra") != F.coalesce("rb_root", "rb")).select("a", "b", "ra", "rb"))
+            if left.isEmpty():
+                return names
 
 
 def _labelled(docs: DataFrame, similarity: float, words: int, bands: int, rows: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -275,17 +302,19 @@ def _labelled(docs: DataFrame, similarity: float, words: int, bands: int, rows:
     every = texts(docs, doc_id, text)
     signed = kept(every.select("doc_id", *_equal("text"), _bands(words, bands, rows)("text").alias("bands")))
     alike = kept(signed.groupBy("e1", "e2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    exploded = alike.filter("id is not null").select("id", F.explode("bands").alias("key"))
-    pairs = kept(candidate_links(exploded))
+    banded = kept(buckets(alike.filter("id is not null").select("id", F.explode("bands").alias("key"))))
+    pairs = kept(candidate_links(banded))
     links = kept(verified(every, pairs, similarity, words).select("a", "b"))
     roots = components(links)
-    more = kept(cross_links(every, exploded, roots, similarity, words))
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
-    of = alike.select("e1", "e2", "id").join(roots, F.col("id") == F.col("node"), "left")
-    return signed.select("doc_id", "e1", "e2"), of.select(
-        F.col("e1").alias("k1"), F.col("e2").alias("k2"), "id", F.coalesce("root", "id").alias("class_id")
-    )
+    of = alike.select("e1", "e2", "id").join(roots, F.col("id") == F.col("node"), "left").withColumn("class_id", F.coalesce("root", "id"))
+    of = of.select(F.col("e1").alias("k1"), F.col("e2").alias("k2"), "id", "class_id")
+    members = kept(apart(banded, roots))
+    if not members.isEmpty():
+        bags = _bags(every, members.select(F.col("id").alias("doc_id")), words)
+        names = joined_roots(kept(apart_pairs(members, bags, similarity)), bags, similarity, max(ROUND_PAIRS, members.count()))
+        if names is not None:
+            of = of.join(names, F.col("class_id") == F.col("node"), "left").withColumn("class_id", F.coalesce("root", "class_id")).drop("node", "root")
+    return signed.select("doc_id", "e1", "e2"), of
 
 
 def _equal(text: str, mark: str = "") -> list:
@@ -327,8 +356,11 @@ def _bags(every: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def verified(every: DataFrame, pairs: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
-    """The pairs whose multisets of shingles overlap enough, with their similarity."""
-    bags = _bags(every, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words)
+    """The pairs (a, b) whose multisets of shingles overlap enough, with their similarity."""
+    return overlapping(pairs, _bags(every, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words), similarity)
+
+
+def overlapping(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     left = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a"))
     right = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b"))
     shared = F.size(F.array_intersect("bag_a", "bag_b"))
@@ -338,5 +370,5 @@ def verified(every: DataFrame, pairs: DataFrame, similarity: float, words: int =
         .withColumn("shared", shared)
         .withColumn("similarity", F.col("shared") / (F.size("bag_a") + F.size("bag_b") - F.col("shared")))
         .filter(F.col("similarity") >= similarity)
-        .select("a", "b", "similarity")
+        .drop("bag_a", "bag_b", "shared")
     )
