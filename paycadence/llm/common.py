@@ -129,23 +129,27 @@ def ordinals(df: DataFrame, groups: list[str], order: list[Column], out: str, ro
     )
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40, rows_a_task: int = 100_000) -> DataFrame:
     """(node, root): the smallest node of each connected component, for every node that has an edge.
 
     ``edges`` has columns a and b. Each round links every node to the smallest root next to it
     and then to that root's root, so paths shorten geometrically; a round reads and writes only
-    (node, root) rows in the checkpoint folder. No node list reaches the driver.
+    (node, root) rows in the checkpoint folder. No node list reaches the driver. Stages have as many
+    tasks as their rows need, whatever the number of shuffle partitions.
     """
     both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    tasks = max(1, -(-both.count() // rows_a_task))
+    both = both.coalesce(tasks)
+    roots = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")).coalesce(tasks))
     for _ in range(rounds):
-        near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("next"))
+        near = both.join(roots, F.col("b") == F.col("node")).coalesce(tasks).groupBy("a").agg(F.min("root").alias("near"))
+        step = kept(roots.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("next")).coalesce(tasks))
         # A smaller root found by one node is told to its old root as well.
-        told = step.groupBy(F.col("root").alias("old")).agg(F.min("next").alias("told"))
-        hook = step.join(told, F.col("root") == F.col("old")).select("node", F.col("root").alias("was"), F.least("next", "told").alias("root"))
+        told = step.groupBy(F.col("root").alias("old")).agg(F.min("next").alias("told")).coalesce(tasks)
+        hook = step.join(told, F.col("root") == F.col("old")).select("node", F.col("root").alias("was"), F.least("next", "told").alias("root")).coalesce(tasks)
         jump = hook.select(F.col("node").alias("up"), F.col("root").alias("above"))
-        new = kept(hook.join(jump, F.col("root") == F.col("up"), "left").select("node", "was", F.coalesce("above", "root").alias("root")))
+        new = hook.join(jump, F.col("root") == F.col("up"), "left").select("node", "was", F.coalesce("above", "root").alias("root"))
+        new = kept(new.coalesce(tasks))
         changed = new.filter(F.col("was") != F.col("root")).limit(1).count()
         roots = new.select("node", "root")
         if not changed:

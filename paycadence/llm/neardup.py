@@ -240,14 +240,14 @@ def apart_pairs(members: DataFrame, bags: DataFrame, similarity: float) -> DataF
     """
     held = members.join(bags, F.col("id") == F.col("doc_id")).select("id", F.size("bag").alias("n"), F.explode("bag").alias("e"))
     shared = held.groupBy(F.col("e").alias("__e")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    one = Window.partitionBy("id")
+    one, need = Window.partitionBy("id"), similarity / (1 + similarity)
     places = held.join(shared, F.col("e") == F.col("__e")).select(
         "id", "n", "e", F.row_number().over(one.orderBy("c", "e")).alias("k"), F.count(F.lit(1)).over(one).alias("of")
     )
     # Elements that nobody else holds come first: u elements remain from this one on.
     left = places.select("id", "n", "e", (F.col("of") - F.col("k") + 1).alias("u")).filter(F.col("u") >= F.col("n") * similarity - 1e-9)
-    upto = F.least(F.col("u") * (1 + similarity) / similarity - F.col("n"), F.col("n") / similarity) + 1e-9
-    rows = kept(left.withColumn("upto", F.floor(upto)).join(members, "id").select("id", "root", "minor", "n", "e", "upto"))
+    upto = F.least(F.col("u") / need - F.col("n"), F.col("n") / similarity) + 1e-9
+    rows = kept(left.withColumn("upto", F.floor(upto)).join(members, "id").select("id", "root", "minor", "n", "e", "u", "upto"))
 
     def size_class(n: Column) -> Column:
         return F.floor(F.log(n) / float(np.log(SIZE_STEP))).cast("int")
@@ -261,9 +261,13 @@ def apart_pairs(members: DataFrame, bags: DataFrame, similarity: float) -> DataF
     met = small.filter("minor").join(large, meet).unionByName(small.filter("not minor").join(large.filter("b_minor"), meet))
     swap = F.col("id") > F.col("b_id")
     choose = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return met.select(
-        choose("id", "b_id").alias("a"), choose("b_id", "id").alias("b"), choose("root", "b_root").alias("ra"), choose("b_root", "root").alias("rb")
-    ).distinct()
+    met = met.select(
+        choose("id", "b_id").alias("a"), choose("b_id", "id").alias("b"), choose("root", "b_root").alias("ra"), choose("b_root", "root").alias("rb"),
+        F.least("u", "b_u").alias("u"), (F.col("n") + F.col("b_n")).alias("n"),
+    )
+    # Whatever both hold before the last element they met at, they met at too.
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("u").alias("u"), *[F.first(x).alias(x) for x in ("ra", "rb", "n")])
+    return pairs.filter(F.col("c") - 1 + F.col("u") >= F.col("n") * need - 1e-9).select("a", "b", "ra", "rb")
 
 
 def joined_roots(pairs: DataFrame, bags: DataFrame, similarity: float, at_once: int) -> DataFrame | None:
