@@ -48,7 +48,7 @@ BROADCAST_IDS = 1_000_000
 #: Rows of a bucket beyond which it is dealt to parts of about as many rows.
 BLOCK = 500
 #: Pairs that a round verifies at least, if there are as many.
-ROUND_PAIRS = 10_000
+ROUND_PAIRS = 50_000
 #: Ratio between neighbouring classes of multiset sizes.
 SIZE_STEP = 1.06
 
@@ -275,7 +275,10 @@ def joined_roots(pairs: DataFrame, bags: DataFrame, similarity: float, at_once:
 
     Pairs are verified by rounds of rising shares, drawn by a hash, the first one of about ``at_once``.
     """
-    left, edges, total = pairs, None, pairs.count()
+    total = pairs.count()
+    # Frames of a few numbers a row get tasks by their rows, whatever the number of shuffle partitions.
+    tasks = max(1, -(-total // 100_000))
+    left, edges = pairs.coalesce(tasks), None
     drawn = F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))
     share, done = 1, None
     while total // share > at_once:
@@ -285,17 +288,17 @@ def joined_roots(pairs: DataFrame, bags: DataFrame, similarity: float, at_once:
         now = left.filter(drawn % share == 0)
         if done:
             now = now.filter(drawn % done != 0)
-        found = kept(overlapping(now, bags, similarity).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        found = kept(overlapping(now, bags, similarity).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct().coalesce(tasks))
         if not found.isEmpty():
-            edges = found if edges is None else kept(edges.unionByName(found))
+            edges = found if edges is None else edges.unionByName(found)
             names = components(edges)
         if share == 1:
             return names
         share, done = share // 4, share
         if names is not None:
             ends = [names.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")) for c in ("ra", "rb")]
-            on = pairs.join(ends[0], F.col("ra") == F.col("ra_node"), "left").join(ends[1], F.col("rb") == F.col("rb_node"), "left")
-            left = kept(on.filter(F.coalesce("ra_root", "ra") != F.coalesce("rb_root", "rb")).select("a", "b", "ra", "rb"))
+            on = left.join(ends[0], F.col("ra") == F.col("ra_node"), "left").join(ends[1], F.col("rb") == F.col("rb_node"), "left")
+            left = kept(on.filter(F.coalesce("ra_root", "ra") != F.coalesce("rb_root", "rb")).select("a", "b", "ra", "rb").coalesce(tasks))
             if left.isEmpty():
                 return names
 
@@ -315,7 +318,7 @@ def _labelled(docs: DataFrame, similarity: float, words: int, bands: int, rows:
     members = kept(apart(banded, roots))
     if not members.isEmpty():
         bags = _bags(every, members.select(F.col("id").alias("doc_id")), words)
-        names = joined_roots(kept(apart_pairs(members, bags, similarity)), bags, similarity, max(ROUND_PAIRS, members.count()))
+        names = joined_roots(kept(apart_pairs(members, bags, similarity)), bags, similarity, max(ROUND_PAIRS, 2 * members.count()))
         if names is not None:
             of = of.join(names, F.col("class_id") == F.col("node"), "left").withColumn("class_id", F.coalesce("root", "class_id")).drop("node", "root")
     return signed.select("doc_id", "e1", "e2"), of
