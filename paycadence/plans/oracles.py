@@ -591,6 +591,21 @@ r13 AS (SELECT c.*, COALESCE(b.paid, 0) - c.existing AS churned
 
 
 ORACLES["r13_paid_breakdown"] = f"{_breakdown('lease')} SELECT * FROM r13"
+ORACLES["r13_payers_by_increment"] = f"""WITH {PAY}, a AS (SELECT DISTINCT payer, cyc FROM pay),
+own AS (SELECT cyc, EXISTS (SELECT 1 FROM a b WHERE b.payer = a.payer AND b.cyc = a.cyc - INTERVAL 1 MONTH) AS again,
+  EXISTS (SELECT 1 FROM a b WHERE b.payer = a.payer AND b.cyc < a.cyc) AS known FROM a),
+lost AS (SELECT CAST(cyc + INTERVAL 1 MONTH AS DATE) AS cyc, COUNT(*) AS n FROM a
+  WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.payer = a.payer AND b.cyc = a.cyc + INTERVAL 1 MONTH) GROUP BY ALL),
+kinds AS (SELECT cyc, COUNT(*) AS paid, COUNT(*) FILTER (WHERE again) AS existing, COUNT(*) FILTER (WHERE NOT known) AS first_time,
+  COUNT(*) FILTER (WHERE known AND NOT again) AS reactivated FROM own GROUP BY cyc)
+SELECT COALESCE(k.cyc, l.cyc) AS period, COALESCE(paid, 0) AS paid, COALESCE(existing, 0) AS existing,
+  COALESCE(first_time, 0) AS first_time, COALESCE(reactivated, 0) AS reactivated, COALESCE(n, 0) AS churned
+FROM kinds k FULL JOIN lost l ON l.cyc = k.cyc WHERE COALESCE(k.cyc, l.cyc) BETWEEN '2000-10-01' AND '2000-12-01'"""
+ORACLES["s02_lease_intervals"] = f"""WITH {DAILY},
+d AS (SELECT DISTINCT lease, account, status, day FROM daily),
+runs AS (SELECT *, SUM(fresh) OVER (PARTITION BY lease, account, status ORDER BY day) AS run FROM (
+  SELECT *, CASE WHEN day - LAG(day) OVER (PARTITION BY lease, account, status ORDER BY day) <= 31 THEN 0 ELSE 1 END AS fresh FROM d))
+SELECT lease AS lease_id, account, status, MIN(day) AS first_day, MAX(day) AS last_day FROM runs GROUP BY lease, account, status, run"""
 ORACLES["r14_paid_by_segment"] = f"""WITH {PAY}, {DAILY}, {_STATES}
 SELECT cyc AS period, COALESCE(p_type, 'Unknown') AS segment, {_ACTIVE} AS active, {_PAID} AS paid, {share(_PAID, _ACTIVE)} AS paid_share
 FROM states LEFT JOIN part ON p_partkey = account GROUP BY ALL"""

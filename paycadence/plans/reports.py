@@ -27,7 +27,9 @@ from ..operators import (
     coverage,
     first_payers,
     funnel,
+    intervals,
     lifecycle,
+    lifecycle_state,
     mix,
     rates,
     report,
@@ -55,6 +57,18 @@ def report_named(name: str):
     return register
 
 
+# Lease states ---------------------------------------------------------------------
+
+
+@report_named("s02_lease_intervals")
+def lease_intervals(t: Tables, w: Windows) -> DataFrame:
+    """Runs of one account and status in a lease's snapshots, built in two day ranges and merged at the seam."""
+    state, seam = ("account", "status"), w.first
+    before = intervals.compact(t.daily(), state, last=seam, gap_days=w.snapshot_gap)
+    after = intervals.compact(t.daily(), state, first=seam + timedelta(days=1), gap_days=w.snapshot_gap)
+    return intervals.merged(before.unionByName(after), state, w.snapshot_gap)
+
+
 # Activation funnel ---------------------------------------------------------------
 
 
@@ -499,6 +513,21 @@ def paid_breakdown(t: Tables, w: Windows) -> DataFrame:
     return lifecycle.paid_breakdown(t.payments(customers=False), "lease_id", *w.history)
 
 
+@report_named("r13_payers_by_increment")
+def payers_by_increment(t: Tables, w: Windows) -> DataFrame:
+    """The paid breakdown of payers for the last three periods, each closed from the state before it and its own payments."""
+    key, last = "customer_id", w.history[1]
+    base = shift_month(last, -3)
+    known = lifecycle.period_activity(t.payments(until=inclusive_days(base, base)["until"]), key)
+    moved = lifecycle_state.transitions_of(known, key)
+    state = lifecycle_state.state_of(moved, key)
+    for period in (shift_month(base, n) for n in (1, 2, 3)):
+        paid = lifecycle_state.paid_keys(t.payments(**inclusive_days(period, period)), key, period)
+        rows, state = lifecycle_state.close(state, paid, key, period)
+        moved = moved.unionByName(rows)
+    return lifecycle_state.breakdown(moved, shift_month(base, 1), last)
+
+
 @report_named("r14_paid_by_segment")
 def paid_by_segment(t: Tables, w: Windows) -> DataFrame:
     return coverage.paid_share_by_segment(_states(t, w), t.accounts())

@@ -58,6 +58,8 @@ class Windows:
     batch_max_rate: float = 0.05
     batch_min_size: int = 20
     heavy_min_size: int = 80
+    # Days between snapshots that still belong to one run.
+    snapshot_gap: int = 1
     # Active leases are those active at the last day of the cycle, or on any of its days.
     active_at_cutoff: bool = True
     # Account name patterns: label -> pattern, and the accounts of the timeline.
@@ -146,6 +148,7 @@ TEST_WINDOWS = Windows(
     batch_max_rate=0.34,
     batch_min_size=4,
     heavy_min_size=8,
+    snapshot_gap=31,
     leave_out=(("a", "supplier#00000000%"), ("b", "Supplier#00000001%")),
     timeline=("supplier#00000002%",),
 )
