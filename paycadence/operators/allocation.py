@@ -8,6 +8,7 @@ an entry with very many charges or payments never multiplies them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,7 +92,24 @@ BEFORE_GAP_FOR = (
 )
 
 
-_PART = "CASE WHEN total <> 0 THEN (CAST(cents AS DECIMAL(14,0)) * CAST(charged AS DECIMAL(14,0)) * 10000) div total END"
+def apportioned(rows: DataFrame, groups: Sequence[str], cents: str, weight: str, total: str, tie: str, out: str) -> DataFrame:
+    """Splits the cents of each group over its rows by weight, in whole cents that add up to them.
+
+    Every row gets its exact share rounded down; the cents left over go to the largest remainders, one
+    each, equal ones by the least ``tie`` (null first). ``total`` is the sum of the group's
+    weights; where it is zero nothing is split and parts are null. Weights may be negative.
+    """
+    # Products that fit a long stay longs; the others, far beyond usual amounts, are decimals for a moment.
+    placed = rows.withColumns({"_by": F.abs(total), "_w": F.col(weight) * F.signum(total).cast("bigint")})
+    fits = f"abs(CAST({cents} AS DOUBLE) * _w) < 9.0e18D"
+    exact = f"CAST({cents} AS DECIMAL(18,0)) * CAST(_w AS DECIMAL(18,0))"
+    rest = f"CASE WHEN _by = 0 THEN NULL WHEN {fits} THEN pmod({cents} * _w, _by) ELSE CAST(pmod({exact}, CAST(_by AS DECIMAL(18,0))) AS BIGINT) END"
+    down = f"CASE WHEN _by = 0 THEN NULL WHEN {fits} THEN ({cents} * _w - _rest) div _by ELSE CAST(({exact} - _rest) div CAST(_by AS DECIMAL(18,0)) AS BIGINT) END"
+    placed = placed.withColumn("_rest", F.expr(rest)).withColumn("_down", F.expr(down))
+    group = Window.partitionBy(*groups)
+    left = F.col(cents) - F.sum("_down").over(group)
+    rank = F.row_number().over(group.orderBy(F.col("_rest").desc(), F.col(tie).asc_nulls_first()))
+    return placed.withColumn(out, F.col("_down") + (rank <= left).cast("bigint")).drop("_by", "_w", "_rest", "_down")
 
 
 def payer_entries(payments: DataFrame, cal: BillingCalendar = BILLING_CYCLE) -> DataFrame:
@@ -116,19 +134,16 @@ def allocate(
 ) -> DataFrame:
     """Payments split pro rata over the charges of their entry, by offset of the due month.
 
-    An entry whose charges add up to zero allocates nothing. Parts are whole
-    ten-thousandths of a cent (the rest is cut off), so sums don't depend on their order.
+    An entry whose charges add up to zero allocates nothing. What an entry was paid in a period is
+    split in whole cents by largest remainders, so its parts add up to it.
     """
     total = F.sum("charged").over(Window.partitionBy("entry_id"))
     shares = charges.select("entry_id", "due_month", "charged", total.alias("total"))
     paid = _by_entry(payments.filter(cal.within("created", first, last)), cal)
-    rows = paid.join(shares, paid["je_id"] == shares["entry_id"]).select(
-        "period",
-        month_diff("period", "due_month").alias("offset"),
-        F.expr(_PART).cast("decimal(28,0)").alias("part"),
-    )
+    rows = apportioned(paid.join(shares, paid["je_id"] == shares["entry_id"]), ["je_id", "period"], "cents", "charged", "total", "due_month", "part")
+    rows = rows.select("period", month_diff("period", "due_month").alias("offset"), "part")
     return rows.groupBy("period").agg(
-        (F.sum("part").cast("double") / F.lit(1e6)).alias("allocated"),
+        currency(F.sum("part")).alias("allocated"),
         *_shares(F.col("offset"), F.col("part"), PAID_FOR),
     )
 

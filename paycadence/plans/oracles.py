@@ -395,7 +395,7 @@ def _offsets(rows: str, buckets: str) -> str:
 
 
 _PAID_BUCKETS = "pct_prepay:o >= 1;pct_current:o = 0;pct_prior1:o = -1;pct_prior2:o = -2;pct_prior3plus:o <= -3"
-# Parts are whole ten-thousandths of a cent, so that sums are exact in any order.
+# Whole cents: every part is rounded down, and as many rows as cents are missing get one more, those with the larger remainder first.
 ORACLES["c33_charge_allocation"] = f"""WITH {PAY}, {_ENTRIES.format(since='1995-03-01')},
 charges AS (
   SELECT l.id, date_trunc('month', TRY_CAST(c.due AS DATE)) AS due_month, SUM(CAST(CAST(l.amount AS DECIMAL(18,0)) AS HUGEINT)) AS amount
@@ -404,10 +404,14 @@ charges AS (
 totals AS (SELECT id, SUM(amount) AS total FROM charges GROUP BY id),
 paid AS (SELECT lease, cyc, SUM(CAST(amount * 100 AS HUGEINT)) AS cents FROM pay
   WHERE method <> 'cash payment' AND cyc BETWEEN '1995-04-01' AND '2000-12-01' GROUP BY ALL),
-rows AS (SELECT p.cyc, datediff('month', p.cyc, c.due_month) AS o,
-    CASE WHEN total <> 0 THEN CAST(p.cents * c.amount * 10000 AS HUGEINT) // CAST(total AS HUGEINT) END AS part
-  FROM charges c JOIN totals t ON t.id = c.id JOIN paid p ON p.lease = c.id)
-SELECT cyc AS period, CAST(SUM(part) AS DOUBLE) / 1000000.0::DOUBLE AS allocated, {_offsets('rows', _PAID_BUCKETS)} FROM rows GROUP BY cyc"""
+cells AS (SELECT p.lease, p.cyc, p.cents, COALESCE(c.due_month, DATE '0001-01-01') AS m, datediff('month', p.cyc, c.due_month) AS o,
+    p.cents * c.amount // total AS down, p.cents * c.amount % total AS rest
+  FROM charges c JOIN totals t ON t.id = c.id AND total <> 0 JOIN paid p ON p.lease = c.id),
+missing AS (SELECT lease, cyc, MAX(cents) - SUM(down) AS n FROM cells GROUP BY ALL),
+rows AS (SELECT a.cyc, a.o, a.down + CASE WHEN n > (SELECT COUNT(*) FROM cells b WHERE b.lease = a.lease AND b.cyc = a.cyc
+    AND (b.rest > a.rest OR b.rest = a.rest AND b.m < a.m)) THEN 1 ELSE 0 END AS part
+  FROM cells a JOIN missing x ON x.lease = a.lease AND x.cyc = a.cyc)
+SELECT cyc AS period, CAST(SUM(part) AS DOUBLE) / 100.0::DOUBLE AS allocated, {_offsets('rows', _PAID_BUCKETS)} FROM rows GROUP BY cyc"""
 
 
 def _reactivated(cycle: str, buckets: str) -> str:

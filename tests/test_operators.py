@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
+from fractions import Fraction
 
 from conftest import day, payments, records, simple_payments
 from pyspark.sql import functions as F
@@ -215,6 +217,30 @@ def test_allocation_prorates_and_survives_odd_entries(spark):
     assert (row["allocated"], row["pct_current"], row["pct_prior1"]) == (10.0, 75.0, 25.0)
 
 
+def test_parts_are_whole_cents_that_add_up(spark):
+    """Against largest remainders in exact fractions; ties, negative weights and totals, and groups without a total."""
+    random.seed(4)
+    rows, want = [], {}
+    for g in range(120):
+        weights = [random.choice([1, 1, 2, 7, 333, -1, 0, 10**9 + 7]) * random.choice([1, 1, 1, -1 if g % 7 == 0 else 1]) for _ in range(random.randint(1, 6))]
+        cents, total = random.choice([1, 2, 100, 99_999_999_999]), sum(weights)
+        months = [None if i == 1 else date(2024, i + 1, 1) for i in range(len(weights))]
+        rows += [(g, cents, w, total, m) for w, m in zip(weights, months)]
+        if total == 0:
+            want |= {(g, m): None for m in months}
+            continue
+        exact = [Fraction(cents * w, total) for w in weights]
+        down = [x.numerator // x.denominator for x in exact]
+        order = sorted(range(len(weights)), key=lambda i: (down[i] - exact[i], months[i] is not None, months[i] or date.min))
+        for i in order[: cents - sum(down)]:
+            down[i] += 1
+        assert sum(down) == cents
+        want |= {(g, m): d for m, d in zip(months, down)}
+    df = spark.createDataFrame(rows, "g int, cents bigint, charged bigint, total bigint, due_month date")
+    got = allocation.apportioned(df, ["g"], "cents", "charged", "total", "due_month", "part")
+    assert {(r.g, r.due_month): r.part for r in got.collect()} == want
+
+
 def test_charges_can_be_rounded_to_whole_units(spark):
     entries = _entries(
         spark,
