@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Remembered, kept, small_batches, texts
@@ -197,7 +197,8 @@ def pack_in_order(
     """As ``pack``, but over ranges of the rows as they stand in files: sequence ids ascend with the ranges.
 
     ``docs`` is read from Parquet files written in the order of their part numbers. A range is
-    made of whole blocks of ``rows_a_block`` rows of a file; it ends at the block that fills it.
+    made of whole blocks of ``rows_a_block`` rows of a file: those that begin among its
+    ``pieces_a_range`` pieces. Nothing is collected.
     """
     number = F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, 'part-([0-9]+)', 1) as long)"), F.lit(0))
     placed = docs.select(
@@ -206,15 +207,15 @@ def pack_in_order(
         F.struct(number.alias("part"), F.col("_metadata.file_path").alias("file"), F.expr(f"_metadata.row_index div {rows_a_block}").alias("block")).alias("__at"),
     )
     rows = kept(pieces(placed, path, size, end, "__doc_id", "__text", ("__at",)))
-    # One row for each block of a file, not for each document.
-    blocks = sorted((tuple(r["__at"]), r["n"]) for r in rows.groupBy("__at").agg(F.count(F.lit(1)).alias("n")).collect())
-    ranges, bucket, filled = [], 0, 0
-    for at, n in blocks:
-        if filled >= pieces_a_range:
-            bucket, filled = bucket + 1, 0
-        ranges.append((at, bucket))
-        filled += n
-    kind = rows.schema["__at"].dataType.simpleString()
-    of = docs.sparkSession.createDataFrame(ranges, f"__place {kind}, __bucket long")
-    numbered = rows.join(F.broadcast(of), F.col("__at") == F.col("__place")).drop("__at", "__place")
+    # Pieces before a file (one row for each file), and before a block of it (one task for each file's blocks).
+    blocks = rows.groupBy("__at").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.groupBy(F.struct("__at.part", "__at.file").alias("file")).agg(F.sum("n").alias("n"))
+    files = files.select("file", F.coalesce(F.sum("n").over(before.orderBy("file")), F.lit(0)).alias("first"))
+    within = F.sum("n").over(before.partitionBy("__at.part", "__at.file").orderBy("__at.block"))
+    blocks = blocks.withColumn("within", F.coalesce(within, F.lit(0)))
+    of = blocks.join(files, (F.col("__at.part") == F.col("file.part")) & (F.col("__at.file") == F.col("file.file"))).select(
+        F.col("__at").alias("__place"), F.expr(f"(first + within) div {pieces_a_range}").alias("__bucket")
+    )
+    numbered = rows.join(of, F.col("__at") == F.col("__place")).drop("__at", "__place")
     return _named(_packed(numbered, size, "length", ""))

@@ -1,30 +1,36 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds to them.
 
 Base spans follow four patterns with their checks (``base_spans``). The random field works on
-stretches: neighbouring space-separated chunks that hold a digit or an at sign, cut into atoms
-(runs of letters and digits, or single other characters). A candidate segment is up to
-``MAX_ATOMS`` atoms with one type; features of the whole segment (its shape, digit count,
-checksum, octets, separators, neighbours) and of the transition between types score it, and a
-dynamic program over atoms chooses boundaries and types jointly. It is trained by likelihood
-(semi-Markov forward and backward sums) on a bounded sample of stretches, where the base spans
-are the labels; so it generalises their formats to spans that break a pattern in a detail. A
-decoded span that overlaps no base span is added; base spans always stay.
-
-An entity needs an at sign or ``LEAST_DIGITS`` digits: stretches without are not searched.
-Null text counts as empty and has no spans. Repeated rows are judged one by one. The work is
-linear in the text's length; a text is never cut. Offsets are code points, ends exclusive.
+stretches: neighbouring chunks that hold a digit or an at sign, with any white space and lone
+separators between them, cut into atoms (runs of letters and digits, runs of white space, or
+single other characters). A candidate segment is up to ``MAX_ATOMS`` atoms with one type, at
+least ``LEAST_DIGITS`` digits or an at sign and, without one, at most ``MOST_DIGITS`` digits;
+features of the whole segment (its shape, digit count, checksum, octets, separators, neighbours)
+and of the transition between types score it, and a dynamic program over atoms chooses
+boundaries and types jointly. It is trained by likelihood (semi-Markov forward and backward
+sums) on a bounded sample of stretches drawn by kind, where the base spans are the labels; so it
+generalises their formats to spans that break a pattern in a detail. A decoded span that
+overlaps no base span is added; base spans always stay.
+
+A stretch without a candidate is not searched, as it has no span but a base one. The dynamic
+program keeps the scores of the last ``MAX_ATOMS`` atoms and two small numbers for each atom and
+type, so time and memory are linear in the text's length; a text is never cut. Null text counts
+as empty and has no spans. Repeated rows are judged one by one. Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, texts
@@ -32,7 +38,8 @@ from .common import small_batches, texts
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 MAX_ATOMS = 24
-LEAST_DIGITS = 7
+#: Digits of a candidate without an at sign; cards, the longest kind, have 19.
+LEAST_DIGITS, MOST_DIGITS = 4, 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,8 +48,10 @@ QUAD = re.compile(r"[0-9]++(?:(?:\.[0-9]++){3})?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SEED = re.compile(r"[0-9@]")
-STRETCH = re.compile(r"[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+")
-ATOM = re.compile(r"[^\W_]+|.", re.S)
+#: Chunks with a digit or an at sign; between two of them white space and chunks of one to three separators.
+STRETCH = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\s++(?:[^\w\s@]{1,3}+\s++)*+[^\s0-9@]*+[0-9@]\S*+)*+")
+ATOM = re.compile(r"[^\W_]+|\s+|.", re.S)
+SPACE = re.compile(r"\s+")
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -103,7 +112,8 @@ RUNS = re.compile(r"[0-9]+|[^\W\d_]+")
 
 
 def segment_features(text: str, left: str, right: str) -> list[str]:
-    """What the whole candidate segment shows."""
+    """What the whole candidate segment shows. White space of any length and kind counts as one space."""
+    text = SPACE.sub(" ", text)
     digits = "".join(c for c in text if "0" <= c <= "9")
     shape = RUNS.sub(lambda m: "D" if m[0][0].isdigit() else "a", text)
     name, _, host = text.partition("@")
@@ -129,28 +139,37 @@ class Field:
     moves: np.ndarray = field(default_factory=lambda: np.zeros((OTHER + 1, OTHER + 1)))
 
 
-def candidates(text: str, left: str, right: str) -> tuple[list[int], list[tuple[int, int, int, list[tuple[str, int]]]]]:
-    """Starts of the atoms (and the end), and each candidate: first atom, atom after, type, features."""
-    cuts = [m.start() for m in ATOM.finditer(text)] + [len(text)]
+Segment = tuple[int, int, tuple[int, ...], list[str]]  # first atom, atom after, types, features
+
+
+def segments(text: str, cuts: list[int], left: str, right: str) -> Iterator[Segment]:
+    """The candidates by first atom, one after the other: each atom by itself, then entities from it on."""
     n = len(cuts) - 1
-    out = []
-    heads = [text[cuts[i]] for i in range(n)]
     for i in range(n):
+        head = text[cuts[i]]
         before = text[cuts[i] - 1] if i else left
-        out.append((i, i + 1, OTHER, [("atom " + _class(heads[i]) + _class(before), OTHER)]))
-        if not (heads[i].isalnum() or heads[i] in "+("):
+        yield i, i + 1, (OTHER,), ["atom " + _class(head) + _class(before)]
+        if not (head.isalnum() or head in "+("):
             continue
         digits, at_sign = 0, False
         for j in range(i + 1, min(n, i + MAX_ATOMS) + 1):
             atom = text[cuts[j - 1] : cuts[j]]
             digits += sum(map(atom.count, "0123456789"))
             at_sign = at_sign or atom == "@"
-            if not atom[-1].isalnum() or not (at_sign or digits >= 4):
-                continue
-            shown = segment_features(text[cuts[i] : cuts[j]], before, text[cuts[j]] if j < n else right)
-            kinds = (0,) if at_sign else (1, 2, 3)
-            out += [(i, j, y, [(f, y) for f in shown]) for y in kinds]
-    return cuts, out
+            if atom[-1].isalnum() and (at_sign or LEAST_DIGITS <= digits <= MOST_DIGITS):
+                shown = segment_features(text[cuts[i] : cuts[j]], before, text[cuts[j]] if j < n else right)
+                yield i, j, (0,) if at_sign else (1, 2, 3), shown
+
+
+def atoms(text: str) -> list[int]:
+    """Where atoms start, and the end."""
+    return [m.start() for m in ATOM.finditer(text)] + [len(text)]
+
+
+def candidates(text: str, left: str, right: str) -> tuple[list[int], list[tuple[int, int, int, list[tuple[str, int]]]]]:
+    """``atoms``, and each candidate with each of its types: first atom, atom after, type, features."""
+    cuts = atoms(text)
+    return cuts, [(i, j, y, [(f, y) for f in shown]) for i, j, kinds, shown in segments(text, cuts, left, right) for y in kinds]
 
 
 def _scores(model: Field, cands) -> list[float]:
@@ -160,23 +179,34 @@ def _scores(model: Field, cands) -> list[float]:
 
 def decode(model: Field, text: str, left: str = "", right: str = "") -> list[Span]:
     """The best segmentation's entities (Viterbi over atoms and types)."""
-    cuts, cands = candidates(text, left, right)
-    n = len(cuts) - 1
-    best = np.full((n + 1, OTHER + 1), -np.inf)
-    best[0, OTHER] = 0.0
-    back: dict[tuple[int, int], tuple[int, int]] = {}
-    for (i, j, y, _), s in sorted(zip(cands, _scores(model, cands)), key=lambda x: (x[0][0], x[0][1], x[0][2])):
-        come = best[i] + model.moves[:, y]
-        k = int(np.argmax(come))
-        if come[k] + s > best[j, y]:
-            best[j, y] = come[k] + s
-            back[j, y] = (i, k)
-    at, y, found = n, int(np.argmax(best[n])), []
+    cuts = atoms(text)
+    n, types, get = len(cuts) - 1, range(OTHER + 1), model.weights.get
+    moves = [[float(model.moves[k, y]) for k in types] for y in types]
+    nothing = [-np.inf] * (OTHER + 1)
+    best: dict[int, list[float]] = {0: [*nothing[:OTHER], 0.0]}  # of the atoms that a candidate can still reach
+    # For each place and type: how many atoms the segment that ends there has, and the type before it.
+    length, prior = array("b", bytes((n + 1) * (OTHER + 1))), array("b", bytes((n + 1) * (OTHER + 1)))
+    at = -1
+    for i, j, kinds, shown in segments(text, cuts, left, right):
+        if i != at:
+            here = best.pop(i)
+            came = [max(types, key=lambda k, y=y: here[k] + moves[y][k]) for y in types]
+            into = [here[k] + moves[y][k] for y, k in zip(types, came)]
+            at = i
+        row = best.get(j)
+        if row is None:
+            row = best[j] = nothing[:]
+        for y in kinds:
+            value = into[y] + sum(get((f, y), 0.0) for f in shown)
+            if value > row[y]:
+                row[y] = value
+                length[j * (OTHER + 1) + y], prior[j * (OTHER + 1) + y] = j - i, came[y]
+    at, y, found = n, max(types, key=best[n].__getitem__), []
     while at:
-        i, before = back[at, y]
+        place = at * (OTHER + 1) + y
         if y != OTHER:
-            found.append((y, cuts[i], cuts[at]))
-        at, y = i, before
+            found.append((y, cuts[at - length[place]], cuts[at]))
+        at, y = at - length[place], prior[place]
     return found[::-1]
 
 
@@ -250,28 +280,47 @@ def fit(samples: list[tuple[str, str, str]], rounds: int = 6, step: float = 0.5,
     return model
 
 
+#: What a text of each kind holds somewhere (for drawing a sample only), linear on any text.
+HINTS = (
+    "[A-Za-z0-9._%+-]@[A-Za-z0-9-]",
+    r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]",
+    r"[0-9]([\x20-]?[0-9]){15}",
+    r"\+[0-9][\x20().0-9-]{6}",
+)
+
+
+def _least(rows: DataFrame, kind: str, names: list[str], quota: int) -> DataFrame:
+    """At most ``quota`` rows of each kind, by the least hash of the named columns; a task sends no more on."""
+    w = Window.partitionBy(kind).orderBy(F.xxhash64(*names, F.lit("pii")), *names)
+    return rows.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= quota).drop("__rank")
+
+
 def train(docs: DataFrame, max_docs: int = 3_000, max_stretches: int = 500, max_chars: int = 160) -> Field:
-    """Fits on at most ``max_stretches`` stretches of ``max_docs`` documents, by least hashes of ids.
+    """Fits on at most ``max_stretches`` stretches of ``max_docs`` documents, by least hashes, drawn by kind.
 
-    ``docs`` as of ``texts``. Longer stretches than ``max_chars`` are not learnt from (all are decoded).
+    ``docs`` as of ``texts``. A fifth of the documents may hold each kind (``HINTS``) and a fifth
+    are any; an eighth of the stretches hold a base span of each kind and half hold none.
+    Longer stretches than ``max_chars`` are not learnt from (all are decoded).
     """
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<struct<text:string,left:string,right:string>>")
+    @F.pandas_udf("array<struct<kind:int,text:string,left:string,right:string>>")
     def cut(column: pd.Series) -> pd.Series:
-        return pd.Series([[(t[a:b], t[max(0, a - 1) : a], t[b : b + 1]) for a, b in stretches(t) if b - a <= max_chars] for t in column])
+        out = []
+        for t in column:
+            found = [(t[a:b], t[max(0, a - 1) : a], t[b : b + 1]) for a, b in stretches(t) if b - a <= max_chars]
+            out.append([(min((s[0] for s in base_spans(x[0])), default=OTHER), *x) for x in found])
+        return pd.Series(out)
 
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit("pii")), "doc_id").limit(max_docs)
-    rows = (
-        docs.join(F.broadcast(ids), "doc_id")
-        .select(F.explode(cut("text")).alias("s"))
-        .select("s.*")
-        .distinct()
-        .orderBy(F.xxhash64("text", "left", "right"), "text", "left", "right")
-        .limit(max_stretches)
-        .collect()
-    )
-    return fit([(r["text"], r["left"], r["right"]) for r in rows])
+    hinted = F.array_compact(F.array(*[F.when(F.col("text").rlike(h), F.lit(k)) for k, h in enumerate(HINTS)], F.lit(OTHER)))
+    kinds = docs.filter("doc_id is not null").select("doc_id", F.explode(hinted).alias("kind")).distinct()
+    ids = _least(kinds, "kind", ["doc_id"], max_docs // (OTHER + 1)).select("doc_id").distinct()
+    found = docs.join(F.broadcast(ids), "doc_id").select(F.explode(cut("text")).alias("s")).select("s.*").distinct()
+    names = ["text", "left", "right"]
+    entities = _least(found.filter(F.col("kind") != OTHER), "kind", names, max_stretches // (2 * OTHER))
+    others = _least(found.filter(F.col("kind") == OTHER), "kind", names, max_stretches // 2)
+    rows = entities.union(others).select(*names).collect()
+    return fit(sorted(tuple(r) for r in rows))
 
 
 def all_spans(model: Field, text: str, base: list[Span]) -> list[Span]:
@@ -280,9 +329,14 @@ def all_spans(model: Field, text: str, base: list[Span]) -> list[Span]:
         return base
     added = []
     taken = sorted((a, b) for _, a, b in base)
+    starts, reach, end = [a for a, _ in taken], [0], 0
+    for _, b in taken:
+        end = max(end, b)
+        reach.append(end)
     for a, b in stretches(text):
         for y, s, e in decode(model, text[a:b], text[max(0, a - 1) : a], text[b : b + 1]):
-            if not any(s + a < end and start < e + a for start, end in taken if start < b and end > a):
+            # Base spans that start before this one ends must have ended before it starts.
+            if reach[bisect_left(starts, e + a)] <= s + a:
                 added.append((y, s + a, e + a))
     return sorted(base + added)
 

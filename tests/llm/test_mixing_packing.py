@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import random
+import re
 import zlib
 
 import numpy as np
@@ -155,3 +156,30 @@ def test_registered_queries(spark, tables):
     pieces = queries.op6_sum_of_squares_packing(spark, tables)
     assert pieces.select("doc_id").distinct().count() == n
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_ranges_of_files_in_order(spark, documents, tmp_path):
+    """Ranges follow from the pieces before each block, over many files; each is packed by itself."""
+    rows = [(i, "w " * (i * 37 % 90)) for i in range(400)] + [(7, None), (None, "x"), (7, None)]
+    folder = f"file://{tmp_path}/ordered"
+    documents(rows).repartition(7, "doc_id").write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    out = packing.pack_in_order(stored, queries.vocabulary(), size=64, pieces_a_range=50, rows_a_block=10).collect()
+    stood = stored.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+    stood.sort(key=lambda r: (int(re.search(r"part-(\d+)", r.file_name)[1]), r.row_index))
+    count = collections.Counter(r.doc_id for r in out)
+    twice = collections.Counter(r.doc_id for r in stood)
+    blocks = collections.defaultdict(list)
+    for r in stood:
+        blocks[r.file_name, r.row_index // 10].append(r.doc_id)
+    want, before = collections.Counter(), 0
+    for ids in blocks.values():
+        want.update((d, before // 50) for d in ids for _ in range(count[d] // twice[d]))
+        before += sum(count[d] // twice[d] for d in ids)
+    assert before == len(out) and want == collections.Counter((r.doc_id, r.sequence_id >> 32) for r in out)
+    places = collections.defaultdict(list)
+    for r in out:
+        places[r.sequence_id].append((r.offset, r.length))
+    for parts in places.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 64

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -168,3 +169,39 @@ def test_registered_queries(spark, tables):
         assert r.base_failed == (len(words) < 50 or 100 * len(inside) > 50 * len(words)) and not (r.kept and r.base_failed)
     for r in queries.op2_personal_data(spark, tables).collect():
         assert r.base_sha256 == hashlib.sha256(pii.written(plain_spans(texts[r.doc_id] or "")).encode()).hexdigest()
+
+
+ENTITIES = (
+    "4111111111111111", "5500005555555559", "4111 1111 1111 1111", "5500-0055-5555-5559", "340000000000009", "10.2.3.4", "192.168.0.1", "172.16.9.30",
+    "ann@mail.example.com", "bob.c@x.org", "+1 (202) 555-0147", "+1 (303) 555-0199", "+49 171 555 1234", "12345678", "2020-10-10", "1999", "12,500", "10:45",
+)
+
+
+def test_spans_across_other_white_space_and_lone_separators():
+    model = pii.fit([(t, " ", " ") for t in ENTITIES], rounds=12)
+    for kind, span in (("card", "4111  1111  1111  1111"), ("card", "4111\t1111\t1111\t1111"), ("ip", "10.0.0,1"), ("phone", "0171 / 55 / 1234")):
+        text = f"call {span} now"
+        assert pii.written(pii.all_spans(model, text, pii.base_spans(text))) == f"{kind}:5:{5 + len(span)}"
+    for plain in ("in 1999 and 2020", "at @ noon", "9 - 9 - 9", ""):
+        assert pii.all_spans(model, plain, []) == []
+
+
+def test_a_long_text_of_numbers_and_a_long_word_take_linear_memory():
+    random.seed(3)
+    numbers = "\t".join(str(random.randrange(10 ** random.randrange(1, 9))) for _ in range(40_000))
+    tracemalloc.start()
+    pii.all_spans(pii.Field(), numbers, pii.base_spans(numbers))
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+    assert list(pii.stretches("a" * 300_000 + " 12345")) == [(300_001, 300_006)]
+
+
+def test_the_sample_holds_every_kind(spark, documents, monkeypatch):
+    """A kind in one document of 2,000 is learnt from; repeated rows count once."""
+    rows = [(i, f"on {i} we sold {i * 7919 % 100_000} and {i * 31 % 977}") for i in range(2000)]
+    rows += [(5000, "host 10.1.2.3"), (5001, "mail ann@x.org"), (5002, "pay 4111 1111 1111 1111"), (5002, "pay 4111 1111 1111 1111"), (5003, "ring +1 (202) 555-0147")]
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda samples: seen.extend(samples))
+    pii.train(pii.texts(documents(rows)), max_docs=100, max_stretches=64)
+    kinds = collections.Counter(k for t, _, _ in seen for k, _, _ in pii.base_spans(t))
+    assert kinds == {0: 1, 1: 1, 2: 1, 3: 1} and len(seen) == len(set(seen)) <= 64 // 8 * 4 + 32
