@@ -160,7 +160,7 @@ def test_registered_queries(spark, tables):
 
 def test_ranges_of_files_in_order(spark, documents, tmp_path):
     """Ranges follow from the pieces before each block, over many files; each is packed by itself."""
-    rows = [(i, "w " * (i * 37 % 90)) for i in range(400)] + [(7, None), (None, "x"), (7, None)]
+    rows = [(i, "w " * (i * 37 % 90)) for i in range(400)] + [(1007, None), (None, "x"), (1007, None)]
     folder = f"file://{tmp_path}/ordered"
     documents(rows).repartition(7, "doc_id").write.parquet(folder)
     stored = spark.read.parquet(folder)
