@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import BILLING_CYCLE, BillingCalendar
 from ..functions.ratios import currency, flag, money_pct, pct, sum_if
 from ..sources.canonical import CARD
+from . import distinct
 from .lifecycle import between, period_activity
 
 
@@ -65,32 +66,34 @@ def totals_with_rollup(
 ) -> DataFrame:
     """Payments, volume and distinct leases by method and in total, one period.
 
-    The total row is recognised by ``grouping``, so a null method keeps its own row.
-    Rows are reduced per lease and method before they are restricted to ``leases`` and
-    before the rollup doubles them.
+    Rows are reduced per lease and method before they are restricted to ``leases``. The total's
+    leases are the ``or`` of the methods' bitmaps, so no row is doubled; a null method keeps its
+    own row.
     """
     per_lease = (
         payments.filter(cal.within("created", period, period))
         .groupBy(F.lower("method").alias("method"), "lease_id")
-        .agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+        .agg(F.count("*").alias("payments"), F.sum("cents").alias("cents"))
     )
     if leases is not None:
         per_lease = per_lease.join(leases.select("lease_id"), "lease_id", "left_semi")
-    return (
-        per_lease.rollup("method")
-        .agg(
-            F.grouping("method").alias("_total"),
-            F.sum("n").alias("payments"),
-            currency(F.sum("cents")).alias("volume"),
-            F.count_distinct("lease_id").alias("leases"),
-        )
-        .select(
-            F.when(F.col("_total") == 1, "TOTAL").otherwise(F.col("method")).alias("method"),
-            "payments",
-            "volume",
-            "leases",
-        )
+    sums = ["payments", "cents"]
+    cells = distinct.bitmaps(distinct.numbered(per_lease, "lease_id"), ["method"], *sums)
+    total = distinct.counts(cells, [], "leases", *sums).withColumn("method", F.lit("TOTAL"))
+    both = distinct.counts(cells, ["method"], "leases", *sums).unionByName(total)
+    return both.select("method", "payments", currency("cents").alias("volume"), "leases")
+
+
+def distinct_levels(
+    payments: DataFrame, first: date, last: date, key: str = "lease_id", cal: BillingCalendar = BILLING_CYCLE
+) -> DataFrame:
+    """Distinct keys by period and method, by either, and over all, from the bitmaps of period and method."""
+    rows = payments.filter(cal.within("created", first, last)).select(
+        cal.period("created").alias("period"), "method", key
     )
+    cells = distinct.bitmaps(distinct.numbered(rows.distinct(), key), ["period", "method"])
+    groups = (["period", "method"], ["period"], ["method"], [])
+    return distinct.levels(cells, groups, "keys", {"period": "date", "method": "string"})
 
 
 def first_period_detail(

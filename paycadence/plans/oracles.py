@@ -462,6 +462,12 @@ ORACLES["c39_totals_with_rollup"] = f"""WITH {PAY}
 SELECT COALESCE(method, 'TOTAL') AS method, COUNT(*) AS payments, CAST(SUM(amount) AS DOUBLE) AS volume, COUNT(DISTINCT lease) AS leases
 FROM pay WHERE rent AND day BETWEEN '1997-04-25' AND '1997-05-24' GROUP BY ROLLUP (method)"""
 
+ORACLES["a13_distinct_levels"] = f"""WITH {PAY}, p AS (SELECT * FROM pay WHERE cyc {_REPORTED})
+SELECT 'period,method' AS level, cyc AS period, method, COUNT(DISTINCT lease) AS keys FROM p GROUP BY ALL
+UNION ALL SELECT 'period', cyc, NULL, COUNT(DISTINCT lease) FROM p GROUP BY ALL
+UNION ALL SELECT 'method', NULL, method, COUNT(DISTINCT lease) FROM p GROUP BY ALL
+UNION ALL SELECT '', NULL, NULL, COUNT(DISTINCT lease) FROM p"""
+
 # Published results ---------------------------------------------------------------
 
 _R01 = f"""WITH {PAY}, two AS (SELECT * FROM pay WHERE method <> 'cash payment'),

@@ -404,6 +404,13 @@ def totals_with_rollup(t: Tables, w: Windows) -> DataFrame:
     return report.ordered(mix.totals_with_rollup(payments, w.cycle, t.recurring_leases()), "-volume")
 
 
+@report_named("a13_distinct_levels")
+def distinct_levels(t: Tables, w: Windows) -> DataFrame:
+    """Leases that paid, by period and method and on every level above."""
+    payments = t.payments(**inclusive_days(w.first, w.last), customers=False)
+    return mix.distinct_levels(payments, w.first, w.last)
+
+
 # Published results ---------------------------------------------------------------
 
 

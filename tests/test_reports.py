@@ -59,7 +59,7 @@ def skewed(tables, tmp_path_factory):
 SKEWED = (
     "c01_activation_kpi c04_censored_transitions c06_retention_any c11_eligible_retention c12_lease_retention "
     "c15_low_mix_batches c20_first_payment_size c22_heavy_hitters c24_mix_decomposition c27_churn_series "
-    "c33_charge_allocation c36_reactivated_charges c39_totals_with_rollup r02_first_payers_by_account_age "
+    "c33_charge_allocation c36_reactivated_charges c39_totals_with_rollup a13_distinct_levels r02_first_payers_by_account_age "
     "r12_state_transitions r17_method_stickiness"
 ).split()
 
