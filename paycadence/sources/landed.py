@@ -2,7 +2,7 @@
 
 Column names on the left of each mapping are the stored ones. Flags stored as
 text become booleans, identifiers become strings, and semi-structured columns
-(JSON text or typed structs) become typed fields, so no operator has to cast.
+(JSON text, variants or typed structs) become typed fields, so no operator has to cast.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .base import Tables
 from .canonical import ALL_METHODS, FREQUENCIES
+from .layout import is_variant
 
 # Schemas of the semi-structured columns when they are stored as JSON text.
 TENANT_LIST = "array<struct<tenant: string>>"
@@ -30,9 +31,11 @@ def is_true(column: Column | str) -> Column:
 
 
 def typed(df: DataFrame, column: str, schema: str) -> Column:
-    """The column as a struct or array: parsed if stored as text, as it is otherwise."""
+    """The column as a struct or array: parsed if stored as text, read from a variant, as it is otherwise."""
     if isinstance(df.schema[column].dataType, T.StringType):
         return F.from_json(column, schema)
+    if is_variant(df, column):
+        return F.try_variant_get(column, "$", schema)
     return F.col(column)
 
 
@@ -162,6 +165,8 @@ def events(
     def prop(name: str) -> Column:
         if isinstance(raw.schema["properties"].dataType, T.StringType):
             return F.get_json_object("properties", f"$.{name}")
+        if is_variant(raw, "properties"):
+            return F.try_variant_get("properties", f"$.{name}", "string")
         return F.col(f"properties.{name}").cast("string")
 
     return df.select(

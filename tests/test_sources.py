@@ -16,6 +16,7 @@ from paycadence.plans.run import run, shared_folder
 from paycadence.plans.windows import TEST_WINDOWS, Windows
 from paycadence.sources import landed, marts
 from paycadence.sources.canonical import FREQUENCIES, INVITE, PAGE_VIEW
+from paycadence.sources.layout import with_variants
 from paycadence.sources.tables import StarTables
 
 RAW_PAYMENTS = "id string, customer_id string, lease_id long, je_id string, type string, amounttotransfer decimal(18,2), fee double, created timestamp_ntz"
@@ -248,6 +249,16 @@ SAME = (
 ).split()
 
 
+@pytest.mark.parametrize("name", ["c33_charge_allocation", "c34_invite_coverage", "c02_event_funnel"])
+def test_report_over_variant_columns_equals_that_over_text(spark, warehouse, tmp_path, name):
+    raw = dict(warehouse.raw)
+    for role, column in (("leases", "tenants"), ("tenants", "portalinfo"), ("entries", "leasepayment"), ("events", "properties")):
+        with_variants(raw[role], [column]).write.parquet(f"{tmp_path}/{role}")
+        raw[role] = spark.read.parquet(f"{tmp_path}/{role}")
+    over_variants, over_text = (BUILDERS[name](t, TEST_WINDOWS) for t in (landed.LandedTables(spark, raw, segment="tier"), warehouse))
+    assert records(over_variants, *over_text.columns) == records(over_text, *over_text.columns)
+
+
 @pytest.mark.parametrize("name", SAME)
 def test_report_over_landed_tables_equals_the_star_report(spark, tables, warehouse, name):
     ours = BUILDERS[name](warehouse, TEST_WINDOWS)
