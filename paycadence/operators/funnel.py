@@ -12,6 +12,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.calendar import BILLING_CYCLE, BillingCalendar, day_diff
 from ..functions.labels import invoice_age_label, tenure_label
@@ -169,8 +170,16 @@ def lease_outcomes(
 
     A lease converts when it is portal-active and pays within ``attach_days`` of
     activation. ``kept_<i>`` says whether it paid again more than ``low`` and at most
-    ``high`` days after that first payment, for the i-th window (low, high).
+    ``high`` days after that first payment, for the i-th window (low, high). Where payments
+    have a time of day, so has the first one, and windows are counted from that time: a
+    second payment of the same day is later than the first.
     """
+    timed = isinstance(payments.schema["created"].dataType, T.TimestampNTZType)
+
+    def after_first(days: int) -> Column:
+        day = F.col("first_paid")
+        return day + F.make_dt_interval(days=F.lit(days)) if timed else F.date_add(day, days)
+
     flags = rows.select(
         "lease_id",
         "account",
@@ -186,9 +195,8 @@ def lease_outcomes(
     keys = flags.columns
     in_time = F.col("portal_active") & (F.col("paid_on") <= F.date_add("activated", attach_days))
     first = F.min(F.when(in_time, F.col("paid_on"))).over(Window.partitionBy("lease_id"))
-    since_first = day_diff("first_paid", "paid_on")
     kept = [
-        flag((since_first > low) & (since_first <= high)).alias(f"kept_{i}")
+        flag((F.col("paid_on") > after_first(low)) & (F.col("paid_on") <= after_first(high))).alias(f"kept_{i}")
         for i, (low, high) in enumerate(windows, start=1)
     ]
     # The join, the window and this aggregation share one partitioning by lease.

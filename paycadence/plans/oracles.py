@@ -123,6 +123,14 @@ SELECT cohort, label, COUNT(*) AS leases, COUNT(*) FILTER (WHERE portal_active)
   COUNT(*) FILTER (WHERE was_sent) AS invites_sent
 FROM outcomes GROUP BY cohort, label"""
 
+_TIMED = OUTCOMES.replace("JOIN pay p", "JOIN timed p")
+for _n in (180, 360, 30, 240):
+    _TIMED = _TIMED.replace(f"first_paid + {_n}", f"first_paid + INTERVAL {_n} DAY")
+ORACLES["f06_kpi_by_time"] = ORACLES["c01_activation_kpi"].replace(
+    OUTCOMES,
+    "timed AS (SELECT lease, CAST(day AS TIMESTAMP) + to_hours(CAST(round(amount * 100) AS BIGINT) % 24) AS day FROM pay), " + _TIMED,
+)
+
 ORACLES["c02_event_funnel"] = f"""WITH {FUNNEL}, {JOURNEY}, {OUTCOMES}
 SELECT cohort, label, COUNT(*) AS leases, COUNT(*) FILTER (WHERE was_invited) AS invited,
   COUNT(*) FILTER (WHERE was_viewed) AS viewed, COUNT(*) FILTER (WHERE portal_active) AS registered,

@@ -102,6 +102,19 @@ def activation_kpi(t: Tables, w: Windows) -> DataFrame:
     return funnel.activation_kpi(_outcomes(t, w, w.outcome_windows))
 
 
+@report_named("f06_kpi_by_time")
+def kpi_by_time(t: Tables, w: Windows) -> DataFrame:
+    """C-01 at time grain: windows run from the time of the first payment.
+
+    Tables without times of day get an hour from the amount, so that payments of one day differ.
+    """
+    payments = t.payments(since=w.since, until=w.followed, customers=False, methods=None)
+    if payments.schema["created"].dataType.typeName() == "date":
+        hour = F.make_dt_interval(hours=(F.col("cents") % 24).cast("int"))
+        payments = payments.withColumn("created", F.col("created").cast("timestamp_ntz") + hour)
+    return funnel.activation_kpi(funnel.lease_outcomes(_journeys(t, w), payments, w.attach_days, w.outcome_windows))
+
+
 @report_named("c02_event_funnel")
 def event_funnel(t: Tables, w: Windows) -> DataFrame:
     return funnel.event_funnel(_outcomes(t, w, w.outcome_windows, events=True))

@@ -468,3 +468,20 @@ def test_a_payment_between_the_cycle_start_and_its_month_counts(spark):
     cohort = spark.createDataFrame([("l", date(2024, 2, 1), "Onboarding")], "lease_id string, cohort date, label string")
     paid = payments(spark, [("p", "l", "a", "charge", 100, "2024-01-28")])
     assert records(cohorts.contract_retention(cohort, paid))[0]["m0"] == 1
+
+
+def test_windows_run_from_the_time_of_the_first_payment(spark):
+    """A second payment of the same day, and ones just before and after the end of a window, by time and by day."""
+    rows = spark.createDataFrame(
+        [(k, "a", date(2024, 1, 1), date(2024, 1, 5), "Mature", datetime(2024, 1, 5), None, None, None) for k in ("same", "before", "after", "never", "once")],
+        "lease_id string, account string, cohort date, activated date, label string, accepted_at timestamp_ntz, last_sent_at timestamp_ntz, invited_at timestamp_ntz, viewed_at timestamp_ntz",
+    )
+    first = datetime(2024, 1, 10, 12)
+    paid = [("same", first), ("same", first.replace(hour=13)), ("before", first), ("before", datetime(2024, 2, 24, 11)), ("after", first), ("after", datetime(2024, 2, 24, 13)), ("once", first), ("once", first)]
+    timed = spark.createDataFrame(paid, "lease_id string, created timestamp_ntz")
+    by_time = {r.lease_id: (r.first_paid, r.kept_1, r.kept_2) for r in funnel.lease_outcomes(rows, timed).collect()}
+    assert by_time["never"][0] is None and by_time["once"] == (first, 0, 0)
+    assert [by_time[k][1:] for k in ("same", "before", "after")] == [(1, 0), (1, 0), (0, 1)]
+    days = timed.withColumn("created", F.col("created").cast("date"))
+    by_day = {r.lease_id: (r.kept_1, r.kept_2) for r in funnel.lease_outcomes(rows, days).collect()}
+    assert [by_day[k] for k in ("same", "before", "after", "once")] == [(0, 0), (1, 0), (1, 0), (0, 0)]
