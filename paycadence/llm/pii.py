@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import kept, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -280,26 +280,36 @@ def fit(samples: list[tuple[str, str, str]], rounds: int = 6, step: float = 0.5,
     return model
 
 
-#: What a text of each kind holds somewhere (for drawing a sample only), linear on any text.
+#: What most texts with a span of each kind hold somewhere: cheap patterns, for drawing a sample only.
 HINTS = (
-    "[A-Za-z0-9._%+-]@[A-Za-z0-9-]",
-    r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]",
-    r"[0-9]([\x20-]?[0-9]){15}",
-    r"\+[0-9][\x20().0-9-]{6}",
+    "@[A-Za-z0-9-]",
+    r"\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]",
+    r"[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}",
+    r"\+[0-9]",
 )
+DRAWS = 1 << 40
 
 
-def _least(rows: DataFrame, kind: str, names: list[str], quota: int) -> DataFrame:
-    """At most ``quota`` rows of each kind, by the least hash of the named columns; a task sends no more on."""
-    w = Window.partitionBy(kind).orderBy(F.xxhash64(*names, F.lit("pii")), *names)
-    return rows.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= quota).drop("__rank")
+def _drawn(docs: DataFrame, quota: int) -> DataFrame:
+    """Ids of at most ``quota`` documents for each hint and as many of any, by the least hash of the id.
+
+    Each kind's ids are counted first; only those with a hash below about twice the quota's share are ranked.
+    """
+    hinted = F.array_compact(F.array(*[F.when(F.col("text").rlike(h), F.lit(k)) for k, h in enumerate(HINTS)], F.lit(OTHER)))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(DRAWS)).alias("draw")
+    kinds = kept(docs.filter("doc_id is not null").select("doc_id", draw, F.explode(hinted).alias("kind")).distinct())
+    below = F.lit(False)
+    for kind, n in kinds.groupBy("kind").count().collect():
+        below = below | ((F.col("kind") == kind) & (F.col("draw") < min(DRAWS, -(-2 * quota * DRAWS // n))))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("draw", "doc_id"))
+    return kinds.filter(below).withColumn("rank", rank).filter(F.col("rank") <= quota).select("doc_id").distinct()
 
 
 def train(docs: DataFrame, max_docs: int = 3_000, max_stretches: int = 500, max_chars: int = 160) -> Field:
     """Fits on at most ``max_stretches`` stretches of ``max_docs`` documents, by least hashes, drawn by kind.
 
-    ``docs`` as of ``texts``. A fifth of the documents may hold each kind (``HINTS``) and a fifth
-    are any; an eighth of the stretches hold a base span of each kind and half hold none.
+    ``docs`` as of ``texts``. A fifth of the documents are drawn from those with each of ``HINTS`` and a fifth
+    from all; an eighth of the stretches hold a base span of each kind and half hold none.
     Longer stretches than ``max_chars`` are not learnt from (all are decoded).
     """
     small_batches(docs.sparkSession)
@@ -312,14 +322,12 @@ def train(docs: DataFrame, max_docs: int = 3_000, max_stretches: int = 500, max_
             out.append([(min((s[0] for s in base_spans(x[0])), default=OTHER), *x) for x in found])
         return pd.Series(out)
 
-    hinted = F.array_compact(F.array(*[F.when(F.col("text").rlike(h), F.lit(k)) for k, h in enumerate(HINTS)], F.lit(OTHER)))
-    kinds = docs.filter("doc_id is not null").select("doc_id", F.explode(hinted).alias("kind")).distinct()
-    ids = _least(kinds, "kind", ["doc_id"], max_docs // (OTHER + 1)).select("doc_id").distinct()
-    found = docs.join(F.broadcast(ids), "doc_id").select(F.explode(cut("text")).alias("s")).select("s.*").distinct()
     names = ["text", "left", "right"]
-    entities = _least(found.filter(F.col("kind") != OTHER), "kind", names, max_stretches // (2 * OTHER))
-    others = _least(found.filter(F.col("kind") == OTHER), "kind", names, max_stretches // 2)
-    rows = entities.union(others).select(*names).collect()
+    ids = _drawn(docs, max_docs // (OTHER + 1))
+    found = docs.join(F.broadcast(ids), "doc_id").select(F.explode(cut("text")).alias("s")).select("s.*").distinct()
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64(*names), *names))
+    quota = F.when(F.col("kind") == OTHER, max_stretches // 2).otherwise(max_stretches // (2 * OTHER))
+    rows = found.withColumn("rank", rank).filter(F.col("rank") <= quota).select(*names).collect()
     return fit(sorted(tuple(r) for r in rows))
 
 
