@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import short_month_label
-from ..functions.ratios import pct, ratio
+from ..functions.calendar import month_label, short_month_label
+from ..functions.ratios import pct, ratio, rounded, scaled
 
 
 def complete_periods(mart: DataFrame, cutoff: date, period: str = "period") -> DataFrame:
@@ -49,6 +49,15 @@ def report_series(
     return out.withColumn("total", total)
 
 
+def presented(mart: DataFrame, digits: Mapping[str, int], units: Mapping[str, float] | None = None) -> DataFrame:
+    """The mart as it is published: ``period`` as month (``1996-05``), amounts in thousands or millions, rounded.
+
+    Only for showing: ratios of presented numbers are off by their rounding.
+    """
+    month = mart.withColumn("period", month_label("period")).withColumnRenamed("period", "month")
+    return rounded(scaled(month, units or {}), digits)
+
+
 def with_label(series: DataFrame, period: str = "period") -> DataFrame:
     return series.withColumn("label", short_month_label(period))
 

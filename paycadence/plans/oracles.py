@@ -297,6 +297,9 @@ SELECT cyc AS period, COUNT(*) AS payers, {share('SUM(amount)', 'COUNT(*)')} AS
   CAST(MEDIAN(CAST(amount AS DOUBLE)) AS DOUBLE) AS median_amount
 FROM f WHERE cyc {_REPORTED} GROUP BY cyc"""
 
+ORACLES["f09_first_payment_size_by_month"] = f"""SELECT strftime(period, '%Y-%m') AS month, payers, round(mean_amount, 0) AS mean_amount,
+  round(median_amount, 0) AS median_amount FROM ({ORACLES["c20_first_payment_size"]})"""
+
 # Contribution and mix ------------------------------------------------------------
 
 
@@ -348,6 +351,8 @@ ORACLES["c25_volume_and_fee"] = f"""WITH {PAY}
 SELECT method, CAST(SUM(amount) AS DOUBLE) AS volume, CAST(SUM(fee) AS DOUBLE) AS fees,
   {pct('SUM(fee)', 'SUM(amount)')} AS fee_pct, COUNT(*) AS payments
 FROM pay WHERE cyc = '1997-05-01' GROUP BY method"""
+ORACLES["f17_volume_in_millions"] = f"""SELECT '1997-05' AS month, method, round(volume / 1e6, 1) AS volume, round(fees / 1e3, 1) AS fees,
+  round(fee_pct, 3) AS fee_pct, payments FROM ({ORACLES["c25_volume_and_fee"]})"""
 ORACLES["c26_churn_mix"] = f"""WITH {PAY},
 cells AS (SELECT payer, datediff('month', DATE '1997-03-01', cyc) AS k, SUM(amount) AS amount, {_if("method = 'charge'", 'amount')} AS card
   FROM pay WHERE rent AND method IN ('charge', 'payment') AND cyc BETWEEN '1997-03-01' AND '1997-05-01' GROUP BY ALL),

@@ -261,6 +261,12 @@ def first_payment_size(t: Tables, w: Windows) -> DataFrame:
     return first_payers.amount_stats(firsts, w.first, w.last)
 
 
+@report_named("f09_first_payment_size_by_month")
+def first_payment_size_by_month(t: Tables, w: Windows) -> DataFrame:
+    whole = {"mean_amount": 0, "median_amount": 0}
+    return report.ordered(report.presented(first_payment_size(t, w), whole), "month")
+
+
 # Contribution and mix ------------------------------------------------------------
 
 
@@ -301,6 +307,14 @@ def volume_and_fee(t: Tables, w: Windows) -> DataFrame:
     return mix.volume_and_fee(t.payments(**inclusive_days(w.cycle, w.cycle), customers=False), w.cycle)
 
 
+@report_named("f17_volume_in_millions")
+def volume_in_millions(t: Tables, w: Windows) -> DataFrame:
+    """Volume in millions, fees in thousands, as published for the cycle."""
+    rows = volume_and_fee(t, w).withColumn("period", F.lit(w.cycle))
+    shown = report.presented(rows, {"volume": 1, "fees": 1, "fee_pct": 3}, {"volume": 1e6, "fees": 1e3})
+    return report.ordered(shown, "method")
+
+
 @report_named("c26_churn_mix")
 def churn_mix(t: Tables, w: Windows) -> DataFrame:
     before, earlier = shift_month(w.cycle, -1), shift_month(w.cycle, -2)

@@ -485,3 +485,12 @@ def test_windows_run_from_the_time_of_the_first_payment(spark):
     days = timed.withColumn("created", F.col("created").cast("date"))
     by_day = {r.lease_id: (r.kept_1, r.kept_2) for r in funnel.lease_outcomes(rows, days).collect()}
     assert [by_day[k] for k in ("same", "before", "after", "once")] == [(0, 0), (1, 0), (1, 0), (0, 0)]
+
+
+def test_presented_marts_have_months_units_and_rounded_numbers(spark):
+    rows = [(date(2026, 5, 1), 1_250_000.0, 12.3456), (date(2026, 4, 1), None, None), (None, 40_000.0, 0.0005)]
+    df = spark.createDataFrame(rows, "period date, volume double, share double")
+    out = report.presented(df, {"volume": 1, "share": 3}, {"volume": 1e6})
+    assert out.columns == ["month", "volume", "share"]
+    assert [tuple(r.values()) for r in records(out, "month")] == [("2026-04", None, None), ("2026-05", 1.3, 12.346), (None, 0.0, 0.001)]
+    assert records(report.presented(df.limit(0), {"share": 1})) == []
